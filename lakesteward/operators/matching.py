@@ -11,10 +11,13 @@ def autoregister_parents(
 ) -> DataFrame:
     """``parents`` plus one default row per child key they lack.
 
-    Child keys are made distinct first, so a hot key shrinks to one row per task before any
-    shuffle. ``defaults`` gives column expressions over ``key``; other columns are null.
+    ``defaults`` gives column expressions over ``key``; other columns are null. Child keys are made
+    distinct first, so a hot key shrinks to one row per task before any shuffle. An anti join
+    would be pushed below that step; an outer join that keeps the unmatched rows is not.
     """
-    unseen = children.select(key).filter(F.col(key).isNotNull()).distinct().join(parents, key, "left_anti")
+    keys = children.select(key).filter(F.col(key).isNotNull()).distinct()
+    known = parents.select(key, F.lit(True).alias("_known"))
+    unseen = keys.join(known, key, "left").filter(F.col("_known").isNull()).select(key)
     filled = {key: F.col(key), **(defaults or {})}
     rows = unseen.select(
         *(filled.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in parents.schema.fields)

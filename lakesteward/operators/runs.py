@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from lakesteward.functions.logs import is_cause_line, strip_line
 from lakesteward.functions.runs import RUN_STATES, TERMINAL_STATES, duration_s
 
 
+_FIXED_WIDTH = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
+
+
 def failure_summary(
     lines: DataFrame,
     runs: DataFrame | None = None,
@@ -57,6 +61,9 @@ def run_stats(
 def latest_state(events: DataFrame, key: list[str], order: str, values: list[str] | None = None) -> DataFrame:
     """Last write per key. Combined within each task, so only one row per key and task moves."""
     kept = values or [c for c in events.columns if c not in key]
+    if all(isinstance(events.schema[c].dataType, _FIXED_WIDTH) for c in [*kept, order]):
+        # buffers of fixed width are hashed; a struct or text would make Spark sort the events
+        return events.groupBy(*key).agg(*(F.max_by(c, order).alias(c) for c in kept))
     picked = events.groupBy(*key).agg(F.max_by(F.struct(*kept), F.col(order)).alias("_last"))
     return picked.select(*key, "_last.*")
 

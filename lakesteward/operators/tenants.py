@@ -8,6 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakesteward.sources.basic import rows_source
+
+# beyond this many literals a tenant list is joined instead of written into the predicate
+MAX_LITERAL_KEYS = 1000
+
 
 @dataclass(frozen=True)
 class TenantTable:
@@ -25,55 +30,69 @@ class TenantTable:
     unique_key: tuple[str, ...] = ()
 
 
-def tenant_key_list(keys: DataFrame | Iterable, tenant: TenantTable) -> DataFrame:
-    """Distinct non-null tenant keys under the name and type of the table's tenant column."""
-    spark = tenant.df.sparkSession
-    column = tenant.tenant_col
-    kind = tenant.df.schema[column].dataType
+@dataclass(frozen=True)
+class Mark:
+    """The values of one column that single out the tenants' rows: a short list or a DataFrame.
+
+    A list becomes a predicate, which reaches the scan and prunes partitions on both sides: the
+    rows owned are found without reading the others, and the others without reading the owned.
+    """
+
+    column: str
+    values: list | DataFrame
+
+    def owned(self, df: DataFrame) -> DataFrame:
+        if isinstance(self.values, DataFrame):
+            return df.join(self.values, self.column, "left_semi").select(*df.columns)
+        return df.filter(F.col(self.column).isin(self.values) if self.values else F.lit(False))
+
+    def others(self, df: DataFrame) -> DataFrame:
+        """All rows not owned. Rows without a value stay, which NOT IN alone would lose."""
+        if isinstance(self.values, DataFrame):
+            return df.join(self.values, self.column, "left_anti").select(*df.columns)
+        column = F.col(self.column)
+        return df.filter(~column.isin(self.values) | column.isNull()) if self.values else df
+
+
+def tenant_mark(keys: DataFrame | Iterable, table: TenantTable) -> Mark:
+    """Mark of a table with a tenant column. Keys are made distinct and null keys are dropped."""
+    column, kind = table.tenant_col, table.df.schema[table.tenant_col].dataType
     if not isinstance(keys, DataFrame):
-        keys = spark.createDataFrame([(k,) for k in keys], f"{column} {kind.simpleString()}")
+        wanted = list(dict.fromkeys(k for k in keys if k is not None))
+        if len(wanted) <= MAX_LITERAL_KEYS:
+            return Mark(column, wanted)
+        keys = rows_source(table.df.sparkSession, [(k,) for k in wanted], f"`{column}` {kind.simpleString()}")
     renamed = keys.toDF(column).select(F.col(column).cast(kind).alias(column))
-    return renamed.filter(F.col(column).isNotNull()).distinct()
+    return Mark(column, renamed.filter(F.col(column).isNotNull()).distinct())
 
 
 def ownership(
     tables: list[TenantTable],
     tenant_keys: DataFrame | Iterable,
     save: Callable[[DataFrame, str], DataFrame] | None = None,
-) -> dict[str, tuple[str, DataFrame]]:
-    """Per table the column and the set of its values that mark the tenants' rows.
+) -> dict[str, Mark]:
+    """Mark of every table; parents come before their children.
 
-    Parents come before their children. Each set is distinct and free of nulls. ``save`` may
-    store a set and return it reread, so that children do not recompute the chain and the
-    optimizer knows its true size when it chooses between a broadcast and a shuffle.
+    A child is marked by the distinct keys of its parent's owned rows. ``save`` may store such a
+    set and return it reread, so that children do not recompute the chain and the optimizer knows
+    its true size when it chooses between a broadcast and a shuffle.
     """
-    marks: dict[str, tuple[str, DataFrame]] = {}
+    marks: dict[str, Mark] = {}
     by_name = {t.name: t for t in tables}
     for table in tables:
         if table.tenant_col:
-            marks[table.name] = (table.tenant_col, tenant_key_list(tenant_keys, table))
+            marks[table.name] = tenant_mark(tenant_keys, table)
         elif table.parent in marks:
             parent = by_name[table.parent]
-            column, values = marks[table.parent]
-            owned = parent.df.join(values, column, "left_semi").select(F.col(parent.key).alias(table.fk))
+            kind = table.df.schema[table.fk].dataType
+            owned = marks[parent.name].owned(parent.df).select(F.col(parent.key).cast(kind).alias(table.fk))
             owned = owned.filter(F.col(table.fk).isNotNull()).distinct()
-            marks[table.name] = (table.fk, save(owned, table.name) if save else owned)
+            marks[table.name] = Mark(table.fk, save(owned, table.name) if save else owned)
         else:
             raise ValueError(f"{table.name}: neither a tenant column nor a parent listed before it")
     return marks
 
 
-def owned_rows(table: TenantTable, marks: dict[str, tuple[str, DataFrame]]) -> DataFrame:
-    column, values = marks[table.name]
-    return table.df.join(values, column, "left_semi").select(*table.df.columns)
-
-
-def other_rows(table: TenantTable, marks: dict[str, tuple[str, DataFrame]]) -> DataFrame:
-    """All rows not owned. Rows without a key stay: an anti join keeps nulls where NOT IN drops all."""
-    column, values = marks[table.name]
-    return table.df.join(values, column, "left_anti").select(*table.df.columns)
-
-
 def tenant_delete(tables: list[TenantTable], tenant_keys: DataFrame | Iterable) -> dict[str, DataFrame]:
     """What is left of each table without the tenants' rows and the rows that hang on them.
 
@@ -81,7 +100,7 @@ def tenant_delete(tables: list[TenantTable], tenant_keys: DataFrame | Iterable)
     beyond it the anti join shuffles, and AQE splits a hot key on the big side.
     """
     marks = ownership(tables, tenant_keys)
-    return {table.name: other_rows(table, marks) for table in tables}
+    return {table.name: marks[table.name].others(table.df) for table in tables}
 
 
 def tenant_recovery(
@@ -96,13 +115,13 @@ def tenant_recovery(
     now = {t.name: t for t in current}
     restored = {}
     for old in snapshot:
-        table, lost = now[old.name], owned_rows(old, marks)
+        table, mark = now[old.name], marks[old.name]
+        lost = mark.owned(old.df)
         if old.unique_key:
             keys = list(old.unique_key)
             missing = lost.join(table.df.select(*keys), keys, "left_anti").select(*table.df.columns)
         else:
-            column, values = marks[old.name]
-            present = table.df.join(values, column, "left_semi").select(*old.df.columns)
+            present = mark.owned(table.df).select(*old.df.columns)
             missing = lost.exceptAll(present).select(*table.df.columns)
         restored[old.name] = table.df.unionByName(missing)
     return restored

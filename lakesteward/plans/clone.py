@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from lakesteward.operators.maintenance import vacuum_execute
 from lakesteward.operators.manifests import data_files, manifest_summary, table_roots
 from lakesteward.operators.scope import CLONE_ORDER, filter_scope, parse_scope, scope_predicate
+from lakesteward.sources.basic import rows_source
 from lakesteward.sources.manifest import file_manifest, path_exists
 from lakesteward.sources.sinks import overwrite_sink, same_or_nested
 
@@ -102,5 +103,5 @@ def clone_prefixes(
         cloned = reduce(or_, (F.col("path").startswith(t + "/") for t in targets), F.lit(False))
         vacuum_execute(everything.filter(~cloned), dry_run=False)
     if not path_exists(dst_root):
-        return spark.createDataFrame([(0, 0)], "objects BIGINT, bytes BIGINT")
+        return rows_source(spark, [(0, 0)], "objects BIGINT, bytes BIGINT")
     return manifest_summary(data_files(file_manifest(spark, [dst_root])))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesteward.operators.quality import row_count
-from lakesteward.operators.tenants import TenantTable, other_rows, owned_rows, ownership
+from lakesteward.operators.tenants import TenantTable, ownership
 from lakesteward.session import saved
+from lakesteward.sources.basic import rows_source
 from lakesteward.sources.catalog import point_table_at
 from lakesteward.sources.sinks import overwrite_sink
 
@@ -38,11 +39,11 @@ def offboard_tenant(
     marks = ownership(tables, tenant_keys, save=lambda df, name: saved(df, f"owned-{name}"))
     versions: dict[str, DataFrame] = {}
     for table in tables:
-        versions[table.name] = overwrite_sink(other_rows(table, marks), os.path.join(root, table.name))
+        versions[table.name] = overwrite_sink(marks[table.name].others(table.df), os.path.join(root, table.name))
     counts = []
     for table in tables:
         for part, df in (
-            ("n_before", table.df), ("n_after", versions[table.name]), ("n_deleted", owned_rows(table, marks))
+            ("n_before", table.df), ("n_after", versions[table.name]), ("n_deleted", marks[table.name].owned(table.df))
         ):
             counts.append(row_count(df).select(F.lit(table.name).alias("tbl"), F.lit(part).alias("part"), "n"))
     stacked = counts[0]
@@ -60,4 +61,4 @@ def offboard_tenant(
         entry = (catalog_names or {}).get(table.name)
         if entry:
             point_table_at(spark, entry, table.df.schema, os.path.join(root, table.name))
-    return spark.createDataFrame(report, REPORT_SCHEMA)
+    return rows_source(spark, report, REPORT_SCHEMA)

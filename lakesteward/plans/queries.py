@@ -394,7 +394,7 @@ def run_logs_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("stderr").alias("stream"), F.col("event_id").alias("line_no"), "line",
     )
     write_run_logs(lines, path)
-    return runs.failure_summary(read_run_logs(spark, path).filter("stream = 'stderr'"))
+    return runs.failure_summary(read_run_logs(spark, path, scope="stream = 'stderr'"))
 
 
 def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

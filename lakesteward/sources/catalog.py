@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.types import StructType
 
+from lakesteward.sources.basic import rows_source
+
 OUTCOME_SCHEMA = "idx INT, total INT, path STRING, ok BOOLEAN, error STRING"
 
 
@@ -177,7 +179,7 @@ def register_batch(spark: SparkSession, definitions: DataFrame) -> DataFrame:
             outcome.append((idx, total, row["path"], error is None, error))
     finally:
         ordered.unpersist()
-    return spark.createDataFrame(outcome, OUTCOME_SCHEMA)
+    return rows_source(spark, outcome, OUTCOME_SCHEMA)
 
 
 def referenced_locations(spark: SparkSession, tables: list[str]) -> list[str]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesteward.session import workspace
+from lakesteward.sources.basic import rows_source
 
 MANIFEST_SCHEMA = "prefix STRING, path STRING, is_dir BOOLEAN, length BIGINT, mtime TIMESTAMP"
 _ROWS_PER_BATCH = 8192
@@ -69,8 +70,8 @@ def _list_one_level(batches: Iterator) -> Iterator:
 
 def list_prefix(spark: SparkSession, path: str) -> DataFrame:
     """One level below ``path``, directories included; a missing path is an error."""
-    start = spark.createDataFrame([(path, path)], "prefix STRING, path STRING")
-    return start.mapInArrow(_list_one_level, MANIFEST_SCHEMA)
+    start = rows_source(spark, [(path, path)], "prefix STRING, path STRING")
+    return start.coalesce(1).mapInArrow(_list_one_level, MANIFEST_SCHEMA)
 
 
 def file_manifest(spark: SparkSession, prefixes: Iterable[str], recursive: bool = True) -> DataFrame:
@@ -82,7 +83,7 @@ def file_manifest(spark: SparkSession, prefixes: Iterable[str], recursive: bool
     """
     root = workspace(spark, "manifest")
     slots = max(8, spark.sparkContext.defaultParallelism)
-    frontier = spark.createDataFrame([(p, p) for p in dict.fromkeys(prefixes)], "prefix STRING, path STRING")
+    frontier = rows_source(spark, [(p, p) for p in dict.fromkeys(prefixes)], "prefix STRING, path STRING")
     level = 0
     while True:
         # a fixed number of partitions, as AQE would merge small rows that are slow to serve

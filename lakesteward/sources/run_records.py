@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesteward.functions.logs import LINE_SEPARATOR, decode_utf8_replace
@@ -18,28 +18,34 @@ def read_run_status(spark: SparkSession, path: str, one_per_file: bool = True) -
 DRIVER_LOG_PATH = r"([^/]+)/jobs/([^/]+)/containers/[^/]+/[^/]+/(stdout|stderr)\.[^/]*$"
 
 
-def read_run_logs(spark: SparkSession, root: str, layout: str = "partitions") -> DataFrame:
+def read_run_logs(
+    spark: SparkSession, root: str, layout: str = "partitions", scope: Column | str | None = None
+) -> DataFrame:
     """Log lines as (vc_id, jr_id, stream, position, line), read as a stream and never file by file.
 
     ``position`` sorts the lines of one run and stream: part number, file, byte range and the
     row's place in that range. Use ``with_line_numbers`` where a dense number is needed.
-    ``layout="driver"`` takes the ids from the path the run API writes its logs to.
+    ``scope`` is a predicate on vc_id, jr_id and stream; given here it prunes directories, which a
+    filter on the result cannot, as rows are numbered in between. ``layout="driver"`` takes the ids from the path the run API writes its logs to.
     """
     if layout == "partitions":
         raw = spark.read.schema("value STRING, vc_id STRING, jr_id STRING, stream STRING").text(root)
-        ids = [F.col("vc_id"), F.col("jr_id"), F.col("stream")]
     elif layout == "driver":
         raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "std*.gz").text(root)
         file_path = F.col("_metadata.file_path")
-        ids = [
-            F.regexp_extract(file_path, DRIVER_LOG_PATH, i).alias(name)
-            for i, name in enumerate(["vc_id", "jr_id", "stream"], start=1)
-        ]
+        raw = raw.withColumns(
+            {
+                name: F.regexp_extract(file_path, DRIVER_LOG_PATH, i)
+                for i, name in enumerate(["vc_id", "jr_id", "stream"], start=1)
+            }
+        )
     else:
         raise ValueError(f"unknown layout {layout!r}")
+    if scope is not None:
+        raw = raw.filter(scope)
     part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).try_cast("bigint")
     placed = raw.select(
-        *ids,
+        "vc_id", "jr_id", "stream",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.coalesce(part, F.lit(0).cast("bigint")).alias("part"),
