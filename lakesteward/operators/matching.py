@@ -65,6 +65,30 @@ def upsert(base: DataFrame, updates: DataFrame, key: str | list[str], order: str
     return existing.unionByName(created)
 
 
+# rows that one task writes out of a single counted row
+COPIES_PER_BLOCK = 10_000
+
+
+def missing_copies(wanted: DataFrame, present: DataFrame) -> DataFrame:
+    """Rows of ``wanted`` that ``present`` lacks, as multisets.
+
+    Copies are counted within each task first, so only one row per distinct row is shuffled and
+    joined. The struct key compares nulls as equal. What is missing is written out again in
+    blocks spread over the tasks, so a row with very many copies is not produced by one of them.
+    """
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        row = F.struct(*(F.col(c) for c in wanted.columns)).alias("_row")
+        return df.select(row).groupBy("_row").agg(F.count("*").alias(name))
+
+    joined = counted(wanted, "_want").join(counted(present, "_have"), "_row", "left")
+    lacking = joined.select("_row", (F.col("_want") - F.coalesce("_have", F.lit(0))).alias("_n")).filter("_n > 0")
+    last = F.floor((F.col("_n") - 1) / COPIES_PER_BLOCK)
+    blocks = lacking.select("_row", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_block"))
+    spread = blocks.repartition(F.xxhash64("_row", "_block"))
+    size = F.least(F.lit(COPIES_PER_BLOCK), F.col("_n") - F.col("_block") * COPIES_PER_BLOCK).cast("int")
+    return spread.select("_row", F.explode(F.array_repeat(F.lit(0), size))).select("_row.*")
+
+
 def runs_with_cluster(runs: DataFrame, clusters: DataFrame) -> DataFrame:
     """Runs with ``cluster_name`` and ``cluster_state``; runs of deleted clusters stay, with nulls.
 

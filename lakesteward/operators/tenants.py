@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakesteward.operators.matching import missing_copies
 from lakesteward.sources.basic import rows_source
 
 # beyond this many literals a tenant list is joined instead of written into the predicate
@@ -121,7 +122,6 @@ def tenant_recovery(
             keys = list(old.unique_key)
             missing = lost.join(table.df.select(*keys), keys, "left_anti").select(*table.df.columns)
         else:
-            present = mark.owned(table.df).select(*old.df.columns)
-            missing = lost.exceptAll(present).select(*table.df.columns)
+            missing = missing_copies(lost, mark.owned(table.df)).select(*table.df.columns)
         restored[old.name] = table.df.unionByName(missing)
     return restored

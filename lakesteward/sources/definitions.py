@@ -47,8 +47,7 @@ def read_table_defs(
     files = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
-        .option("wholetext", True)
-        .text(root)
+        .text(root, wholetext=True)
     )
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     bare = re.sub(r"^[A-Za-z0-9]+:/*|^\./", "", root).strip("/")

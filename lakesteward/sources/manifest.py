@@ -82,18 +82,19 @@ def file_manifest(spark: SparkSession, prefixes: Iterable[str], recursive: bool
     so no listing is repeated and neither paths nor file names pass through the driver.
     """
     root = workspace(spark, "manifest")
-    slots = max(8, spark.sparkContext.defaultParallelism)
-    frontier = rows_source(spark, [(p, p) for p in dict.fromkeys(prefixes)], "prefix STRING, path STRING")
-    level = 0
+    most = 4 * spark.sparkContext.defaultParallelism
+    starts = [(p, p) for p in dict.fromkeys(prefixes)]
+    frontier = rows_source(spark, starts, "prefix STRING, path STRING")
+    level, directories = 0, len(starts)
     while True:
         # a fixed number of partitions, as AQE would merge small rows that are slow to serve
-        spread = frontier.repartition(slots, F.xxhash64("path"))
+        spread = frontier.repartition(max(1, min(directories, most)), F.xxhash64("path"))
         spread.mapInArrow(_list_one_level, MANIFEST_SCHEMA).write.parquet(f"{root}/level={level}")
         listed = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/level={level}")
         frontier = listed.filter("is_dir").select("prefix", "path")
-        if not recursive or frontier.isEmpty():
+        directories = frontier.count() if recursive else 0
+        if directories == 0:
             break
         level += 1
-        slots = max(slots, 4 * spark.sparkContext.defaultParallelism)
     every_level = spark.read.schema(MANIFEST_SCHEMA + ", level INT").parquet(root)
     return every_level.filter(~F.col("is_dir")).drop("is_dir", "level")

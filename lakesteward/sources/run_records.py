@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakesteward.functions.logs import LINE_SEPARATOR, decode_utf8_replace
+from lakesteward.functions.logs import decode_utf8_replace, split_at_line_ends
 from lakesteward.functions.runs import STATUS_SCHEMA
 
 
@@ -49,7 +49,7 @@ def read_run_logs(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.coalesce(part, F.lit(0).cast("bigint")).alias("part"),
-        F.explode(F.split(decode_utf8_replace(F.col("value")), LINE_SEPARATOR)).alias("line"),
+        F.explode(split_at_line_ends(decode_utf8_replace(F.col("value")))).alias("line"),
     )
     return placed.select(
         "vc_id", "jr_id", "stream",

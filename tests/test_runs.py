@@ -1,0 +1,177 @@
+import json
+
+import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from lakesteward.functions import runs as fn
+from lakesteward.operators import matching, runs, scope
+from lakesteward.sources.run_records import read_run_status
+
+
+def fold(spark, events):
+    schema = "run STRING, at INT, state STRING, rc INT, exited BOOLEAN, cancel BOOLEAN"
+    frame = spark.createDataFrame(events, schema)
+    out = runs.fold_run_state(
+        frame, ["run"], "at", F.col("state"), F.col("rc"), F.col("exited"), F.col("cancel")
+    )
+    return {r["run"]: r["state"] for r in out.collect()}
+
+
+def test_fold_run_state(spark):
+    def state(run, at, name):
+        return (run, at, name, None, False, False)
+
+    def end(run, at, rc):
+        return (run, at, None, rc, True, False)
+
+    def cancel(run, at):
+        return (run, at, None, None, False, True)
+
+    got = fold(
+        spark,
+        [
+            state("ok", 1, "SUBMITTED"), state("ok", 2, "RUNNING"), end("ok", 3, 0),
+            end("bad", 1, 137),
+            end("no_code", 1, None),
+            state("cancelled", 1, "RUNNING"), cancel("cancelled", 2), end("cancelled", 3, 0),
+            cancel("early", 1), state("early", 2, "RUNNING"), end("early", 3, 1),
+            cancel("waiting", 1), state("waiting", 2, "RUNNING"),
+            end("late_cancel", 1, 0), cancel("late_cancel", 2),
+            end("twice", 1, 0), end("twice", 2, 1), state("twice", 3, "RUNNING"),
+            state("reported", 1, "FAILED"), cancel("reported", 2),
+            state("running", 1, "SUBMITTED"), state("running", 2, "RUNNING"),
+            (("fresh"), 1, None, None, False, False),
+            (("nulls"), 1, None, None, None, None),
+        ],
+    )
+    assert got == {
+        "ok": "COMPLETED", "bad": "FAILED", "no_code": "FAILED", "cancelled": "CANCELLED", "early": "CANCELLED",
+        "waiting": "CANCEL_PENDING", "late_cancel": "COMPLETED", "twice": "COMPLETED", "reported": "FAILED",
+        "running": "RUNNING", "fresh": "PENDING", "nulls": "PENDING",
+    }
+
+
+def test_latest_state_keeps_nulls_and_hashes_fixed_width_values(spark):
+    events = spark.createDataFrame([("a", 1, 5, "x"), ("a", 2, None, "y"), ("b", 1, 7, None)], "k STRING, at INT, v INT, s STRING")
+    assert {tuple(r) for r in runs.latest_state(events, ["k"], "at").select("k", "v", "s").collect()} == {
+        ("a", None, "y"), ("b", 7, None),
+    }
+    narrow = runs.latest_state(events, ["k"], "at", ["v"])
+    assert {tuple(r) for r in narrow.collect()} == {("a", None), ("b", 7)}
+    assert "SortAggregate" not in narrow._jdf.queryExecution().executedPlan().toString()
+
+
+def test_override_last_wins(spark):
+    kv = spark.createDataFrame([("r", "k", "old", 1), ("r", "k", "new", 9), ("r", "j", "v", 2)], "g STRING, k STRING, v STRING, at INT")
+    got = runs.override_last_wins(kv, ["g"], "at").collect()
+    assert {(r["k"], r["v"]) for r in got} == {("k", "new"), ("j", "v")}
+
+
+def test_submit_conf(column):
+    params = [
+        "--conf spark.a=1 --conf spark.b=x=y --deploy-mode cluster --conf=spark.a=2",
+        """--conf "spark.opts=-Da=b -Dc" --conf spark.n='q r'""",
+        "--name x",
+        "",
+    ]
+    got = column(params, fn.submit_conf)
+    assert [[(e["pos"], e["key"], e["value"]) for e in row] for row in got] == [
+        [(0, "spark.a", "1"), (1, "spark.b", "x=y"), (2, "spark.a", "2")],
+        [(0, "spark.opts", "-Da=b -Dc"), (1, "spark.n", "q r")],
+        [],
+        [],
+    ]
+    maps = column(params, lambda c: fn.conf_map(fn.submit_conf(c)))
+    assert maps[0] == {"spark.a": "2", "spark.b": "x=y"} and maps[2] == {}
+
+
+@pytest.mark.parametrize(
+    ("state", "rc", "summary", "expected"),
+    [
+        ("COMPLETED", 0, "", "stdout: o"),
+        ("CANCELLED", 143, "", "cancelled. stdout: o"),
+        ("FAILED", 1, "xError", "spark-submit exit 1: xError\nstdout: o\nstderr: e"),
+        ("FAILED", None, "", "spark-submit exit None: (no exception summary in stderr; see stderr.gz for context)\nstdout: o\nstderr: e"),
+    ],
+)
+def test_state_details(spark, state, rc, summary, expected):
+    row = spark.createDataFrame([(state, rc, summary, "o", "e")], "s STRING, rc INT, m STRING, o STRING, e STRING")
+    assert row.select(fn.state_details(F.col("s"), F.col("rc"), F.col("m"), F.col("o"), F.col("e"))).first()[0] == expected
+
+
+def test_log_uri_is_null_safe(spark):
+    schema = "o STRUCT<monitoringConfiguration: STRUCT<s3MonitoringConfiguration: STRUCT<logUri: STRING>>>"
+    rows = [((Row(Row(Row("s3://l"))),)), (Row(Row(None)),), (Row(None),), (None,)]
+    frame = spark.createDataFrame(rows, schema)
+    assert [r[0] for r in frame.select(fn.log_uri(F.col("o"))).collect()] == ["s3://l", None, None, None]
+
+
+def test_log_object_uri(column):
+    got = column(["s3://l", "s3://l/"], lambda c: fn.log_object_uri(c, F.lit("vc"), F.lit("jr"), F.lit("stderr.gz")))
+    assert got == ["s3://l/vc/jobs/jr/containers/spark-jr/spark-jr-driver/stderr.gz"] * 2
+
+
+def test_log_location_and_times(spark):
+    frame = spark.createDataFrame([("", "l", 10.0, 12.5), (None, "l", 0.0, None), ("r", "l", 1.0, 1.0)], "r STRING, l STRING, a DOUBLE, b DOUBLE")
+    got = frame.select(
+        fn.log_location(F.col("r"), F.col("l")), fn.duration_s(F.col("a"), F.col("b")),
+        F.unix_seconds(fn.epoch_to_ts(F.col("a"))),
+    ).collect()
+    assert [tuple(r) for r in got] == [("l", 2.5, 10), ("l", None, 0), ("r", 0.0, 1)]
+
+
+def test_status_files(spark, tmp_path):
+    record = {
+        "id": "jr-1", "virtualClusterId": "vc-1", "name": "n", "state": "FAILED", "exitCode": 1, "startedAt": 1.5,
+        "finishedAt": 3.0, "logUri": None, "stdoutS3": None, "stderrS3": None, "stdoutLocal": "/o", "stderrLocal": "/e",
+    }
+    (tmp_path / "jr-1").mkdir()
+    (tmp_path / "jr-1" / "status.json").write_text(json.dumps(record, indent=2))
+    read = read_run_status(spark, f"{tmp_path}/*/status.json")
+    assert read.first().asDict() == record
+    text = read.select(fn.to_status_json()).first()[0]
+    assert json.loads(text) == record
+
+
+def test_run_stats(spark):
+    frame = spark.createDataFrame([("v", "F", 1.0, 3.0), ("v", "F", 2.0, 8.0), ("v", "R", 5.0, None)], "vc STRING, state STRING, startedAt DOUBLE, finishedAt DOUBLE")
+    got = {r["state"]: tuple(r)[2:] for r in runs.run_stats(frame, ["vc", "state"]).collect()}
+    assert got == {"F": (2, 1.0, 8.0, 2.0, 6.0, 4.0), "R": (1, 5.0, None, None, None, None)}
+
+
+def test_lookups_and_defaults(spark):
+    frame = spark.createDataFrame([("j1", "v1", None), ("j2", "v1", ""), ("j3", "v2", "n")], "id STRING, virtualClusterId STRING, name STRING")
+    assert scope.runs_of_cluster(frame, "v1").count() == 2 and scope.runs_of_cluster(frame, "nope").isEmpty()
+    assert scope.find_run(frame, "v2", "j3").count() == 1 and scope.find_run(frame, "v1", "j3").isEmpty()
+    absent = scope.with_defaults(frame, {"name": "unnamed"}).orderBy("id").collect()
+    blank = scope.with_defaults(frame, {"name": "unnamed"}, empty_is_missing=True).orderBy("id").collect()
+    assert [r["name"] for r in absent] == ["unnamed", "", "n"]
+    assert [r["name"] for r in blank] == ["unnamed", "unnamed", "n"]
+
+
+def test_runs_outlive_their_cluster(spark):
+    frame = spark.createDataFrame([("j1", "v1"), ("j2", "gone")], "id STRING, virtualClusterId STRING")
+    clusters = spark.createDataFrame([("v1", "main", "RUNNING")], "id STRING, name STRING, state STRING")
+    got = {r["id"]: r["cluster_name"] for r in matching.runs_with_cluster(frame, clusters).collect()}
+    assert got == {"j1": "main", "j2": None}
+
+
+def test_autoregister_parents(spark):
+    children = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "id STRING")
+    parents = spark.createDataFrame([("a", "A", "RUNNING")], "id STRING, name STRING, state STRING")
+    got = matching.autoregister_parents(children, parents, "id", {"name": matching.auto_name("id"), "state": F.lit("RUNNING")})
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "A", "RUNNING"), ("b", "auto-b", "RUNNING")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate"), "keys must be made distinct below the join"
+
+
+def test_upsert(spark):
+    base = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (2, "b2", 2.5), (None, "n", 0.0)], "k INT, s STRING, d DOUBLE")
+    updates = spark.createDataFrame([(2, None, 1), (3, "c", 1), (3, "C", 2)], "k INT, s STRING, at INT")
+    got = matching.upsert(base, updates, "k", order="at")
+    assert got.columns == ["k", "s", "d", "action"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(1, "a", 1.0, "keep"), (2, None, 2.0, "update"), (2, None, 2.5, "update"), (None, "n", 0.0, "keep"), (3, "C", None, "create")],
+        key=str,
+    )
