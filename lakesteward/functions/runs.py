@@ -56,23 +56,32 @@ def submit_conf(params: Column) -> Column:
     """``--conf k=v`` options of a submit string as ordered structs (pos, key, value)."""
     token = r"""((?:[^\s"']|"[^"]*"|'[^']*')+)"""
     raw = F.regexp_extract_all(params, F.lit(r"(?:^|\s)--conf(?:\s+|=)" + token), F.lit(1))
+    plain = F.transform(raw, lambda text: F.regexp_replace(text, r""""([^"]*)"|'([^']*)'""", "$1$2"))
 
     def entry(text: Column, pos: Column) -> Column:
-        plain = F.regexp_replace(text, r""""([^"]*)"|'([^']*)'""", "$1$2")
-        key = F.substring_index(plain, "=", 1)
-        value = F.substring(plain, F.char_length(key) + F.lit(2), F.char_length(plain))
+        key = F.substring_index(text, "=", 1)
+        value = F.substring(text, F.char_length(key) + F.lit(2), F.char_length(text))
         return F.struct(pos.alias("pos"), key.alias("key"), value.alias("value"))
 
-    return F.transform(raw, entry)
+    return F.transform(plain, entry)
 
 
 def conf_map(entries: Column) -> Column:
-    """Map from the entries of one run; a later entry for the same key wins."""
-    last = F.filter(
-        entries,
-        lambda e: ~F.exists(entries, lambda o: (o["key"] == e["key"]) & (o["pos"] > e["pos"])),
-    )
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+    """Map from the ordered entries of one run; a later entry for the same key wins.
+
+    The entries are folded from the last one, so that the expression is evaluated once per row.
+    """
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("keys"), none.alias("values"))
+
+    def add(kept: Column, entry: Column) -> Column:
+        more = F.struct(
+            F.array_append(kept["keys"], entry["key"]).alias("keys"),
+            F.array_append(kept["values"], entry["value"]).alias("values"),
+        )
+        return F.when(F.array_contains(kept["keys"], entry["key"]), kept).otherwise(more)
+
+    return F.aggregate(F.reverse(entries), start, add, lambda kept: F.map_from_arrays(kept["keys"], kept["values"]))
 
 
 def log_location(remote: Column, local: Column) -> Column:

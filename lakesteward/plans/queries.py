@@ -452,11 +452,12 @@ def submit_options(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("--conf spark.app.name=run-"), F.col("event_id"), F.lit(" --conf spark.kind="), F.col("event_type"),
         F.lit(" --deploy-mode cluster --conf spark.app.name=again=\""), F.col("props"), F.lit('"'),
     )
-    options = run_fn.submit_conf(F.regexp_replace(params, r'(?<=\{)"k"', "k"))
-    conf = run_fn.conf_map(options)
-    return table(spark, sf_dir, "events").select(
-        "event_id", F.size(options).alias("n_options"),
-        conf["spark.app.name"].alias("app_name"), conf["spark.kind"].alias("kind"),
+    options = run_fn.submit_conf(F.replace(params, F.lit('{"k"'), F.lit("{k")))
+    parsed = table(spark, sf_dir, "events").select("event_id", options.alias("options"))
+    mapped = parsed.select("event_id", F.size("options").alias("n"), run_fn.conf_map(F.col("options")).alias("conf"))
+    return mapped.select(
+        "event_id", F.col("n").alias("n_options"),
+        F.col("conf")["spark.app.name"].alias("app_name"), F.col("conf")["spark.kind"].alias("kind"),
     )
 
 

@@ -82,7 +82,7 @@ def file_manifest(spark: SparkSession, prefixes: Iterable[str], recursive: bool
     so no listing is repeated and neither paths nor file names pass through the driver.
     """
     root = workspace(spark, "manifest")
-    most = 4 * spark.sparkContext.defaultParallelism
+    most = spark.sparkContext.defaultParallelism
     starts = [(p, p) for p in dict.fromkeys(prefixes)]
     frontier = rows_source(spark, starts, "prefix STRING, path STRING")
     level, directories = 0, len(starts)
