@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesteward.session import saved
-from lakesteward.sources.manifest import filesystem_of
+from lakesteward.sources.manifest import storage_opener, storage_options
 
 
 def file_count_for(total_bytes: int, target_bytes: int = 512 * 1024 * 1024) -> int:
@@ -40,16 +41,17 @@ def vacuum_plan(
     return manifest.filter(F.col(age) < F.lit(cutoff)).join(names, key, "left_anti")
 
 
-def _delete(batches: Iterator) -> Iterator:
+def _delete(batches: Iterator, options: dict[str, str]) -> Iterator:
     import pyarrow as pa
 
     schema = pa.schema([("path", pa.string()), ("status", pa.string()), ("error", pa.string())])
+    open_path = storage_opener(options)
     for batch in batches:
         paths, states, errors = batch.column("path").to_pylist(), [], []
         for path in paths:
             state, error = "deleted", None
             try:
-                store, inner = filesystem_of(path)
+                store, inner = open_path(path)
                 store.delete_file(inner)
             except FileNotFoundError:
                 pass  # an earlier attempt of this task got that far
@@ -73,4 +75,8 @@ def vacuum_execute(plan: DataFrame, dry_run: bool = True) -> DataFrame:
     if dry_run:
         return paths.select("path", F.lit("planned").alias("status"), F.lit(None).cast("string").alias("error"))
     fixed = saved(paths, "vacuum-plan")
-    return saved(fixed.mapInArrow(_delete, "path STRING, status STRING, error STRING"), "vacuum-outcome")
+    # spread evenly and by number, as AQE would merge small rows that are slow to serve
+    tasks = max(1, min(fixed.count(), plan.sparkSession.sparkContext.defaultParallelism))
+    fixed = fixed.repartition(tasks, F.xxhash64("path"))
+    delete = partial(_delete, options=storage_options(plan.sparkSession))
+    return saved(fixed.mapInArrow(delete, "path STRING, status STRING, error STRING"), "vacuum-outcome")

@@ -33,17 +33,15 @@ def clone_table(
 
     Rows are selected by predicate, never files by name, so the copy is always readable. By
     default everything at ``dst`` is replaced; ``replace="partitions"`` replaces only the
-    partitions written. ``rebalance`` lays rows out by partition with files of AQE's advisory
-    size, splitting a huge partition over many tasks; turn it off when the source already has
-    the same partitioning, and the copy needs no shuffle.
+    partitions written, so one that has become empty at the source stays as it was. Turn
+    ``rebalance`` off when the source already has the same partitioning: the copy then needs no
+    shuffle.
     """
     if same_or_nested(src, dst):
         raise ValueError(f"{dst} overlaps {src}: overwriting a path that is being read destroys it")
     reader = spark.read.format(fmt)
     rows = filter_scope((reader.schema(schema) if schema is not None else reader).load(src), scope)
-    if partition_by and rebalance:
-        rows = rows.hint("rebalance", *(F.col(c) for c in partition_by))
-    return overwrite_sink(rows, dst, fmt, partition_by, replace)
+    return overwrite_sink(rows, dst, fmt, partition_by, replace, rebalance=rebalance)
 
 
 def remap(prefix: str, source: str, target: str) -> str:
@@ -79,7 +77,7 @@ def clone_prefixes(
     layouts: dict[str, list[str]] = {}
     for prefix in wanted:
         folder = f"{src_root}/{prefix}"
-        if not path_exists(folder):
+        if not path_exists(spark, folder):
             continue
         # one row per table, of which a lake has thousands rather than billions
         for row in table_roots(data_files(file_manifest(spark, [folder]))).toLocalIterator():
@@ -98,10 +96,10 @@ def clone_prefixes(
             scope = reduce(or_, (scope_predicate(values) for values in choices))
         clone_table(spark, source, target, scope, replace, fmt, columns, schema, rebalance=False)
         targets.append(target)
-    if replace == "all" and path_exists(dst_root):
+    if replace == "all" and path_exists(spark, dst_root):
         everything = file_manifest(spark, [dst_root])
         cloned = reduce(or_, (F.col("path").startswith(t + "/") for t in targets), F.lit(False))
         vacuum_execute(everything.filter(~cloned), dry_run=False)
-    if not path_exists(dst_root):
+    if not path_exists(spark, dst_root):
         return rows_source(spark, [(0, 0)], "objects BIGINT, bytes BIGINT")
     return manifest_summary(data_files(file_manifest(spark, [dst_root])))

@@ -300,8 +300,8 @@ def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = {"gold": "supplier", "silver": "customer", "bronze": "orders"}
     columns = {"supplier": ["s_nationkey"], "customer": ["c_nationkey"], "orders": ["o_orderstatus"]}
     for section, name in sections.items():
-        rows = table(spark, sf_dir, name).hint("rebalance", *map(F.col, columns[name]))
-        overwrite_sink(rows, f"{path}/{section}/{name}", partition_by=columns[name])
+        rows = table(spark, sf_dir, name)
+        overwrite_sink(rows, f"{path}/{section}/{name}", partition_by=columns[name], rebalance=True)
     found = manifests.data_files(file_manifest(spark, [f"{path}/{s}" for s in sections]))
     folder = path_fn.relative_key(path_fn.dirname(F.col("path")), F.col("prefix"))
     filled = found.select(folder.alias("folder"), F.col("length")).groupBy("folder")

@@ -32,6 +32,9 @@ def build_session(app_name: str, master: str | None = None, conf: dict[str, str]
         # a union inside a union of co-partitioned joins can fail under AQE in Spark 4.1 with
         # "Can't zip RDDs with unequal numbers of partitions"
         "spark.sql.unionOutputPartitioning": "false",
+        # streaming state on the executors' disks instead of in their heaps
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **(conf or {}),
     }
     for key, value in settings.items():

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,28 +16,64 @@ MANIFEST_SCHEMA = "prefix STRING, path STRING, is_dir BOOLEAN, length BIGINT, mt
 _ROWS_PER_BATCH = 8192
 
 
-def filesystem_of(path: str):
-    """Arrow file system and the path inside it; ``s3a`` is the same store as ``s3``."""
+# Settings of Spark's object-store connector and what Arrow calls them.
+_S3_SETTINGS = {
+    "spark.hadoop.fs.s3a.endpoint": "endpoint_override",
+    "spark.hadoop.fs.s3a.endpoint.region": "region",
+    "spark.hadoop.fs.s3a.access.key": "access_key",
+    "spark.hadoop.fs.s3a.secret.key": "secret_key",
+    "spark.hadoop.fs.s3a.session.token": "session_token",
+}
+
+
+def storage_options(spark: SparkSession) -> dict[str, str]:
+    """Object-store options for tasks, taken from the settings Spark's own connector uses."""
+    conf = spark.sparkContext.getConf()
+    found = {option: conf.get(key) for key, option in _S3_SETTINGS.items()}
+    options = {option: value for option, value in found.items() if value}
+    if conf.get("spark.hadoop.fs.s3a.connection.ssl.enabled") == "false":
+        options["scheme"] = "http"
+    if "endpoint_override" in options:
+        options["endpoint_override"] = re.sub("^https?://", "", options["endpoint_override"])
+    return options
+
+
+def storage_opener(options: dict[str, str] | None = None) -> Callable[[str], tuple]:
+    """Function from a path to its Arrow file system and the path inside it.
+
+    File systems are kept from call to call. ``s3a`` is the same store as ``s3``.
+    """
     from pyarrow import fs
 
-    match = re.match(r"^([A-Za-z][A-Za-z0-9+.\-]*):(//[^/]*)?(.*)$", path)
-    if match is None or match.group(1) == "file":
-        return fs.LocalFileSystem(), path if match is None else match.group(3)
-    scheme = {"s3a": "s3", "s3n": "s3"}.get(match.group(1), match.group(1))
-    authority = (match.group(2) or "//")[2:]
-    store, _ = fs.FileSystem.from_uri(f"{scheme}://{authority}")
-    inner = match.group(3) if scheme in ("hdfs", "viewfs") else authority + match.group(3)
-    return store, inner
+    stores: dict[str, fs.FileSystem] = {}
+
+    def open_path(path: str) -> tuple:
+        match = re.match(r"^([A-Za-z][A-Za-z0-9+.\-]*):(//[^/]*)?(.*)$", path)
+        scheme, inner = ("file", path) if match is None else (match.group(1), match.group(3))
+        scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+        authority = "" if match is None else (match.group(2) or "//")[2:]
+        place = f"{scheme}://{authority}"
+        if place not in stores:
+            if scheme == "file":
+                stores[place] = fs.LocalFileSystem()
+            elif scheme == "s3" and options:
+                stores[place] = fs.S3FileSystem(**options)
+            else:
+                stores[place] = fs.FileSystem.from_uri(place)[0]
+        # object stores take the bucket as part of the path
+        return stores[place], inner if scheme in ("file", "hdfs", "viewfs") else authority + inner
+
+    return open_path
 
 
-def path_exists(path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     from pyarrow import fs
 
-    store, inner = filesystem_of(path)
+    store, inner = storage_opener(storage_options(spark))(path)
     return store.get_file_info(inner.rstrip("/") or "/").type != fs.FileType.NotFound
 
 
-def _list_one_level(batches: Iterator) -> Iterator:
+def _list_one_level(batches: Iterator, options: dict[str, str]) -> Iterator:
     import pyarrow as pa
     from pyarrow import fs
 
@@ -44,9 +81,10 @@ def _list_one_level(batches: Iterator) -> Iterator:
         ("prefix", pa.string()), ("path", pa.string()), ("is_dir", pa.bool_()),
         ("length", pa.int64()), ("mtime", pa.timestamp("us", tz="UTC")),
     ])
+    open_path = storage_opener(options)
     for batch in batches:
         for prefix, path in zip(batch.column("prefix").to_pylist(), batch.column("path").to_pylist()):
-            store, inner = filesystem_of(path)
+            store, inner = open_path(path)
             own = store.get_file_info(inner.rstrip("/") or "/")
             if own.type == fs.FileType.NotFound:
                 raise FileNotFoundError(path)
@@ -68,10 +106,14 @@ def _list_one_level(batches: Iterator) -> Iterator:
                 )
 
 
+def _lister(spark: SparkSession) -> Callable[[Iterator], Iterator]:
+    return partial(_list_one_level, options=storage_options(spark))
+
+
 def list_prefix(spark: SparkSession, path: str) -> DataFrame:
     """One level below ``path``, directories included; a missing path is an error."""
     start = rows_source(spark, [(path, path)], "prefix STRING, path STRING")
-    return start.coalesce(1).mapInArrow(_list_one_level, MANIFEST_SCHEMA)
+    return start.coalesce(1).mapInArrow(_lister(spark), MANIFEST_SCHEMA)
 
 
 def file_manifest(spark: SparkSession, prefixes: Iterable[str], recursive: bool = True) -> DataFrame:
@@ -85,11 +127,11 @@ def file_manifest(spark: SparkSession, prefixes: Iterable[str], recursive: bool
     most = spark.sparkContext.defaultParallelism
     starts = [(p, p) for p in dict.fromkeys(prefixes)]
     frontier = rows_source(spark, starts, "prefix STRING, path STRING")
-    level, directories = 0, len(starts)
+    level, directories, lister = 0, len(starts), _lister(spark)
     while True:
         # a fixed number of partitions, as AQE would merge small rows that are slow to serve
         spread = frontier.repartition(max(1, min(directories, most)), F.xxhash64("path"))
-        spread.mapInArrow(_list_one_level, MANIFEST_SCHEMA).write.parquet(f"{root}/level={level}")
+        spread.mapInArrow(lister, MANIFEST_SCHEMA).write.parquet(f"{root}/level={level}")
         listed = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/level={level}")
         frontier = listed.filter("is_dir").select("prefix", "path")
         directories = frontier.count() if recursive else 0

@@ -35,10 +35,18 @@ def overwrite_sink(
     partition_by: list[str] | None = None,
     replace: str = "all",
     options: dict[str, str] | None = None,
+    rebalance: bool = False,
 ) -> DataFrame:
-    """Replace ``path`` (or, with ``replace="partitions"``, only the partitions written) and read it back."""
+    """Replace ``path`` (or, with ``replace="partitions"``, only the partitions written) and read it back.
+
+    ``rebalance`` gathers rows by partition into files of AQE's advisory size, splitting a huge
+    partition over many tasks. Without it every task writes a file to each partition it meets,
+    which is right only where the input is already laid out that way.
+    """
     if replace not in ("all", "partitions"):
         raise ValueError(f"replace must be 'all' or 'partitions', not {replace!r}")
+    if rebalance and partition_by:
+        df = df.hint("rebalance", *(F.col(c) for c in partition_by))
     mode = "dynamic" if replace == "partitions" else "static"
     writer = df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", mode)
     writer = writer.options(**(options or {}))
@@ -62,7 +70,7 @@ def publish_version(
     leaves the table as it was. Superseded directories are for ``vacuum_plan`` to find.
     """
     location = f"{root.rstrip('/')}/version-{uuid.uuid4().hex}"
-    overwrite_sink(df, location, fmt, partition_by)
+    overwrite_sink(df, location, fmt, partition_by, rebalance=True)
     point_table_at(df.sparkSession, table, df.schema, location, fmt, partition_by)
     return location
 

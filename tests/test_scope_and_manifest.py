@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakesteward.operators import manifests, scope
 from lakesteward.sources.basic import range_source, rows_source
-from lakesteward.sources.manifest import file_manifest, filesystem_of, list_prefix
+from lakesteward.sources.manifest import file_manifest, list_prefix, storage_opener, storage_options
 
 
 def put(root, *names):
@@ -63,7 +63,7 @@ def test_empty_manifest_has_totals(spark, tmp_path):
 
 
 def test_local_uri_forms():
-    assert [filesystem_of(p)[1] for p in ("/a/b", "file:/a/b", "file:///a/b")] == ["/a/b"] * 3
+    assert [storage_opener()(p)[1] for p in ("/a/b", "file:/a/b", "file:///a/b")] == ["/a/b"] * 3
 
 
 def test_table_roots(spark):
@@ -74,7 +74,6 @@ def test_table_roots(spark):
 
 
 def test_sync_plan(spark):
-    schema = "key STRING, length BIGINT, mtime TIMESTAMP"
     def at(n):
         return F.timestamp_seconds(F.lit(n))
     src = spark.createDataFrame([("same", 1), ("new", 1), ("longer", 2), ("newer", 1), ("unknown", None)], "key STRING, length BIGINT")
@@ -89,7 +88,6 @@ def test_sync_plan(spark):
     # once everything is copied, nothing is left to do
     again = manifests.sync_plan(src, src).select("action").distinct().collect()
     assert [r[0] for r in again] == ["same"]
-    assert schema
 
 
 def test_filters(spark):
@@ -118,3 +116,23 @@ def test_parse_scope():
 def test_name_collisions(spark):
     frame = spark.createDataFrame([("a/x.py",), ("b/x.py",), ("b/y.py",)], "path STRING")
     assert [tuple(r) for r in manifests.name_collisions(frame, "local").collect()] == [("local_x.py", 2)]
+
+
+def test_storage_options_follow_the_spark_settings():
+    class Context:
+        def getConf(self):
+            return {
+                "spark.hadoop.fs.s3a.endpoint": "http://store:4566",
+                "spark.hadoop.fs.s3a.access.key": "k",
+                "spark.hadoop.fs.s3a.connection.ssl.enabled": "false",
+            }
+
+    class Session:
+        sparkContext = Context()
+
+    options = storage_options(Session())
+    assert options == {"endpoint_override": "store:4566", "access_key": "k", "scheme": "http"}
+    open_path = storage_opener({**options, "secret_key": "s", "region": "eu-west-1"})
+    store, inner = open_path("s3a://bucket/a b/c")
+    assert open_path("s3://bucket/d")[0] is store
+    assert (store.type_name, inner) == ("s3", "bucket/a b/c")
