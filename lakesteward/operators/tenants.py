@@ -20,6 +20,7 @@ class TenantTable:
     """A table and how its rows belong to a tenant: by its own column, or through a parent row.
 
     ``key`` is the column children refer to. ``unique_key`` identifies a row, where there is one.
+    ``partition_by`` is how the table is stored.
     """
 
     name: str
@@ -29,6 +30,7 @@ class TenantTable:
     parent: str | None = None
     fk: str | None = None
     unique_key: tuple[str, ...] = ()
+    partition_by: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)

@@ -39,7 +39,13 @@ def offboard_tenant(
     marks = ownership(tables, tenant_keys, save=lambda df, name: saved(df, f"owned-{name}"))
     versions: dict[str, DataFrame] = {}
     for table in tables:
-        versions[table.name] = overwrite_sink(marks[table.name].others(table.df), os.path.join(root, table.name))
+        versions[table.name] = overwrite_sink(
+            marks[table.name].others(table.df),
+            os.path.join(root, table.name),
+            partition_by=list(table.partition_by),
+            # a predicate leaves the rows where the scan found them, a join may scatter them
+            rebalance=isinstance(marks[table.name].values, DataFrame),
+        )
     counts = []
     for table in tables:
         for part, df in (
@@ -60,5 +66,6 @@ def offboard_tenant(
     for table in tables:
         entry = (catalog_names or {}).get(table.name)
         if entry:
-            point_table_at(spark, entry, table.df.schema, os.path.join(root, table.name))
+            location = os.path.join(root, table.name)
+            point_table_at(spark, entry, table.df.schema, location, partition_by=list(table.partition_by))
     return rows_source(spark, report, REPORT_SCHEMA)

@@ -20,9 +20,16 @@ def compact_table(
     cluster_cols: list[str],
     target_bytes: int = 512 * 1024 * 1024,
 ) -> str:
-    """Rewrite a catalogued table into files of about ``target_bytes`` and publish the result."""
+    """Rewrite a catalogued table into files of about ``target_bytes`` and publish the result.
+
+    A partitioned table keeps its partitions: they lead the clustering, so that each task writes
+    to few of them and a huge one is shared out over many tasks.
+    """
     size = manifest_summary(data_files(file_manifest(spark, [table_location(spark, table)]))).first()["bytes"]
-    return publish_version(compact(spark.table(table), file_count_for(size, target_bytes), cluster_cols), table, root)
+    partitions = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    order = [*partitions, *(c for c in cluster_cols if c not in partitions)]
+    packed = compact(spark.table(table), file_count_for(size, target_bytes), order)
+    return publish_version(packed, table, root, partition_by=partitions, rebalance=False)
 
 
 def vacuum_tables(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,37 +75,47 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return store.get_file_info(inner.rstrip("/") or "/").type != fs.FileType.NotFound
 
 
+def _entries(store, inner: str, path: str) -> Iterator[tuple[str, bool, int, int | None]]:
+    """(path, is_dir, length, mtime in microseconds) of a file, or of what a directory holds."""
+    from pyarrow import fs
+
+    def entry(info: fs.FileInfo, shown: str) -> tuple[str, bool, int, int | None]:
+        mtime = None if info.mtime_ns is None else info.mtime_ns // 1000
+        return shown, info.type == fs.FileType.Directory, info.size or 0, mtime
+
+    own = store.get_file_info(inner.rstrip("/") or "/")
+    if own.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    parent = path.rstrip("/")
+    if own.type == fs.FileType.File:
+        yield entry(own, parent)
+    elif store.type_name == "local":
+        # one entry at a time, however many the directory holds
+        with os.scandir(inner) as found:
+            for item in found:
+                try:
+                    status = item.stat()
+                except FileNotFoundError:
+                    continue  # gone since it was listed
+                is_dir = item.is_dir()
+                yield f"{parent}/{item.name}", is_dir, 0 if is_dir else status.st_size, status.st_mtime_ns // 1000
+    else:
+        for info in store.get_file_info(fs.FileSelector(own.path, recursive=False)):
+            yield entry(info, f"{parent}/{info.base_name}")
+
+
 def _list_one_level(batches: Iterator, options: dict[str, str]) -> Iterator:
     import pyarrow as pa
-    from pyarrow import fs
 
-    schema = pa.schema([
-        ("prefix", pa.string()), ("path", pa.string()), ("is_dir", pa.bool_()),
-        ("length", pa.int64()), ("mtime", pa.timestamp("us", tz="UTC")),
-    ])
+    types = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", tz="UTC")]
+    names = ["prefix", "path", "is_dir", "length", "mtime"]
     open_path = storage_opener(options)
     for batch in batches:
         for prefix, path in zip(batch.column("prefix").to_pylist(), batch.column("path").to_pylist()):
-            store, inner = open_path(path)
-            own = store.get_file_info(inner.rstrip("/") or "/")
-            if own.type == fs.FileType.NotFound:
-                raise FileNotFoundError(path)
-            single = own.type == fs.FileType.File
-            infos = [own] if single else store.get_file_info(fs.FileSelector(own.path, recursive=False))
-            parent = path.rstrip("/")
-            for start in range(0, len(infos), _ROWS_PER_BATCH):
-                part = infos[start : start + _ROWS_PER_BATCH]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([prefix] * len(part), pa.string()),
-                        pa.array([parent if single else f"{parent}/{i.base_name}" for i in part], pa.string()),
-                        pa.array([i.type == fs.FileType.Directory for i in part], pa.bool_()),
-                        pa.array([0 if i.size is None else i.size for i in part], pa.int64()),
-                        pa.array([None if i.mtime_ns is None else i.mtime_ns // 1000 for i in part],
-                                 pa.timestamp("us", tz="UTC")),
-                    ],
-                    schema=schema,
-                )
+            entries = _entries(*open_path(path), path)
+            while part := list(islice(entries, _ROWS_PER_BATCH)):
+                columns = [[prefix] * len(part), *map(list, zip(*part))]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, types)), names=names)
 
 
 def _lister(spark: SparkSession) -> Callable[[Iterator], Iterator]:

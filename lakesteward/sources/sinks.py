@@ -63,6 +63,7 @@ def publish_version(
     root: str,
     fmt: str = "parquet",
     partition_by: list[str] | None = None,
+    rebalance: bool = True,
 ) -> str:
     """Write a new directory below ``root``, then point the catalog entry at it.
 
@@ -70,7 +71,7 @@ def publish_version(
     leaves the table as it was. Superseded directories are for ``vacuum_plan`` to find.
     """
     location = f"{root.rstrip('/')}/version-{uuid.uuid4().hex}"
-    overwrite_sink(df, location, fmt, partition_by, rebalance=True)
+    overwrite_sink(df, location, fmt, partition_by, rebalance=rebalance)
     point_table_at(df.sparkSession, table, df.schema, location, fmt, partition_by)
     return location
 

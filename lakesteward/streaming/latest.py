@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from lakesteward.sources.manifest import list_prefix, path_exists
+
 
 def event_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
     """Parquet files below a directory or matching a glob, as a stream."""
@@ -50,8 +52,47 @@ def stream_latest_state(
 
 
 def latest_snapshot(spark: SparkSession, root: str, key: list[str]) -> DataFrame:
-    """The newest row per key among the changes written so far."""
-    changes = spark.read.parquet(os.path.join(root, "changes"))
-    kept = [c for c in changes.columns if c not in key and c != "batch"]
+    """The newest row per key: the last folded state and the changes written since."""
+    return _newest(_changes(spark, root), key).drop("batch")
+
+
+def fold_changes(spark: SparkSession, root: str, key: list[str]) -> int | None:
+    """Store the newest row per key as one folded state, so that a snapshot need not read every
+    batch ever written. Returns the number of the last batch that it covers.
+
+    Folded states have their own directories: nothing that is being read is replaced, and one
+    that was not finished is ignored. The batches covered may then be vacuumed.
+    """
+    changes = _changes(spark, root)
+    upto = changes.agg(F.max("batch").alias("b")).first()["b"]
+    if upto is None or upto == _folded_upto(spark, root):
+        return upto
+    # without the directory of a later batch, which may arrive in the meantime
+    folded = _newest(changes.filter(F.col("batch") <= upto), key)
+    folded.write.mode("overwrite").parquet(os.path.join(root, "folded", f"upto={upto}"))
+    return upto
+
+
+def _newest(changes: DataFrame, key: list[str]) -> DataFrame:
+    kept = [c for c in changes.columns if c not in key]
     newest = changes.groupBy(*key).agg(F.max_by(F.struct(*kept), F.col("batch")).alias("_row"))
     return newest.select(*key, "_row.*")
+
+
+def _folded_upto(spark: SparkSession, root: str) -> int | None:
+    folder = os.path.join(root, "folded")
+    if not path_exists(spark, folder):
+        return None
+    names = [os.path.basename(r["path"]) for r in list_prefix(spark, folder).filter("is_dir").collect()]
+    found = [int(n.split("=")[1]) for n in names if path_exists(spark, os.path.join(folder, n, "_SUCCESS"))]
+    return max(found, default=None)
+
+
+def _changes(spark: SparkSession, root: str) -> DataFrame:
+    """Rows with their batch number: the folded state, if any, and the batches after it."""
+    batches = spark.read.parquet(os.path.join(root, "changes")).withColumn("batch", F.col("batch").cast("bigint"))
+    upto = _folded_upto(spark, root)
+    if upto is None:
+        return batches
+    folded = spark.read.parquet(os.path.join(root, "folded", f"upto={upto}"))
+    return folded.unionByName(batches.filter(F.col("batch") > upto))

@@ -122,3 +122,14 @@ def test_compact_and_vacuum_a_table(spark, tmp_path):
     spark.catalog.refreshTable(name)
     assert spark.table(name).count() == 1000
     assert all(n.startswith(os.path.basename(new)) for n in names(root))
+
+
+def test_compacting_keeps_partitions(spark, tmp_path):
+    root, name = str(tmp_path / "versions"), f"parted_{os.path.basename(tmp_path).replace('-', '_')}"
+    rows = spark.range(900).select("id", (F.col("id") % 3).cast("int").alias("k"))
+    publish_version(rows, name, root, partition_by=["k"])
+    compact_table(spark, name, root, ["id"])
+    assert spark.table(name).count() == 900
+    assert [c.name for c in spark.catalog.listColumns(name) if c.isPartition] == ["k"]
+    plan = spark.table(name).filter("k = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(k" in plan

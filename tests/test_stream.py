@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lakesteward.streaming.latest import event_stream, latest_snapshot, stream_latest_state
+from lakesteward.streaming.latest import event_stream, fold_changes, latest_snapshot, stream_latest_state
 
 SCHEMA = "run STRING, at BIGINT, state STRING"
 
@@ -24,3 +24,10 @@ def test_states_are_kept_across_restarts(spark, tmp_path):
     assert run() == {"a": ("COMPLETED", 3, 3), "b": ("RUNNING", 1, 1), "c": ("FAILED", 5, 1)}
     batches = spark.read.parquet(f"{root}/changes").agg(F.count_distinct("batch")).first()[0]
     assert batches == 3
+    before = {tuple(r) for r in latest_snapshot(spark, root, ["run"]).collect()}
+    assert fold_changes(spark, root, ["run"]) == fold_changes(spark, root, ["run"]) == 2
+    (tmp_path / "out" / "folded" / "upto=9").mkdir()  # one that was not finished
+    assert {tuple(r) for r in latest_snapshot(spark, root, ["run"]).collect()} == before
+    arrive(("b", 7, "CANCELLED"))
+    assert run() == {"a": ("COMPLETED", 3, 3), "b": ("CANCELLED", 7, 2), "c": ("FAILED", 5, 1)}
+    assert fold_changes(spark, root, ["run"]) == 3

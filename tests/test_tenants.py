@@ -88,6 +88,17 @@ def test_offboard_reports_and_repoints(spark, tables, tmp_path):
     assert all(f"{tmp_path}/new" in table_location(spark, c) for c in catalog.values())
 
 
+def test_offboarding_keeps_partitions(spark, tables, tmp_path):
+    org = tables[0]
+    name = "offboard_parted"
+    publish_version(org.df, name, str(tmp_path / "old"), partition_by=["organization_id"])
+    live = TenantTable("org", spark.table(name), "organization_id", "id", partition_by=("organization_id",))
+    offboard_tenant(spark, [live], [6], str(tmp_path / "new"), {"org": name})
+    assert sorted(map(tuple, spark.table(name).collect()), key=str) == sorted([(3, 7), (4, None), (5, 8)], key=str)
+    assert [c.name for c in spark.catalog.listColumns(name) if c.isPartition] == ["organization_id"]
+    assert not (tmp_path / "new" / "org" / "organization_id=6").exists()
+
+
 def test_literal_keys_reach_the_scan(spark, sf_dir):
     customer = TenantTable("customer", spark.read.parquet(f"{sf_dir}/customer.parquet"), tenant_col="c_nationkey")
     plan = tenants.tenant_delete([customer], [6])["customer"]._jdf.queryExecution().executedPlan().toString()
