@@ -11,8 +11,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Line ends, blanks and the line shapes that decide a failure summary.
-LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+# Blanks and the line shapes that decide a failure summary.
 BLANKS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -46,9 +45,11 @@ def split_at_line_ends(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Array of lines; a final line end does not add an empty line."""
-    without = F.when(text.endswith("\r\n"), 2).when(F.right(text, F.lit(1)).isin(list(LINE_ENDS)), 1).otherwise(0)
-    body = F.substring(text, F.lit(1), F.char_length(text) - without)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(split_at_line_ends(body))
+    def without_empty_end(parts: Column) -> Column:
+        return F.slice(parts, F.lit(1), F.size(parts) - (F.element_at(parts, -1) == "").cast("int"))
+
+    # wrapped as a lambda over one element, so that the text is split once and not per mention
+    return F.get(F.transform(F.array(split_at_line_ends(text)), without_empty_end), 0)
 
 
 def is_log4j_line(line: Column) -> Column:

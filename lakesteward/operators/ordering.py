@@ -15,8 +15,12 @@ def priority_rank(column: str, order: list[str]) -> Column:
 
 
 def priority_order(df: DataFrame, column: str, order: list[str], then: list[str] | None = None) -> DataFrame:
-    """Sort by a custom order, unknown values last. ``then`` breaks ties and spreads a hot value."""
-    return df.orderBy(priority_rank(column, order), *(then or []))
+    """Sort by a custom order, unknown values last, with ``then`` breaking ties.
+
+    Rows that are still equal keep their input order, which also spreads a hot value over tasks.
+    """
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    return placed.orderBy(priority_rank(column, order), *(then or []), "_place").drop("_place")
 
 
 def first_n(df: DataFrame, order: list[str | Column], n: int) -> DataFrame:

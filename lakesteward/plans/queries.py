@@ -501,10 +501,10 @@ def object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     bytes_in = log_fn.decode_utf8_replace(F.encode("text", "UTF-8"))
     lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(log_fn.split_lines(bytes_in)).alias("raw"))
-    stripped = log_fn.strip_line(F.col("raw"))
-    marked = lines.select(
-        "doc_id", stripped.alias("line"), log_fn.is_log4j_line(stripped).alias("chatter"),
-        log_fn.is_cause_line(stripped).alias("cause"),
+    stripped = lines.select("doc_id", log_fn.strip_line(F.col("raw")).alias("line"))
+    marked = stripped.select(
+        "doc_id", "line", log_fn.is_log4j_line(F.col("line")).alias("chatter"),
+        log_fn.is_cause_line(F.col("line")).alias("cause"),
     )
     return marked.groupBy("doc_id").agg(
         F.count("*").alias("n_lines"),
