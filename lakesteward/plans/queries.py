@@ -349,7 +349,7 @@ def catalog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = table_location(spark, f"good_{tag}").endswith(os.path.basename(path))
     return spark.table(f"good_{tag}").select(
         "s_suppkey", "s_name",
-        F.lit(totals["failed"]).alias("failed"), F.lit(totals["exit_code"]).alias("exit_code"), F.lit(kept).alias("kept"),
+        F.lit(totals["failed"]).cast("bigint").alias("failed"), F.lit(totals["exit_code"]).alias("exit_code"), F.lit(kept).alias("kept"),
     )
 
 

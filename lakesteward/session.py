@@ -29,6 +29,8 @@ def build_session(app_name: str, master: str | None = None, conf: dict[str, str]
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        # once every partition of the smaller side has proved this small, hash it instead of sorting both
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
         # a union inside a union of co-partitioned joins can fail under AQE in Spark 4.1 with
         # "Can't zip RDDs with unequal numbers of partitions"
         "spark.sql.unionOutputPartitioning": "false",

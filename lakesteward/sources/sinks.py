@@ -86,7 +86,8 @@ def write_run_logs(
 
     Range partitioning over the ids and the order keeps a run's lines in sequence while letting a
     huge run span many tasks: its part files are numbered in line order, which ``read_run_logs``
-    relies on. ``order`` names other columns than ``line_no`` to sequence the lines by.
+    relies on. Choosing the ranges evaluates the input once more, so save an expensive one first.
+    ``order`` names other columns than ``line_no`` to sequence the lines by.
     """
     keys = [*LOG_PARTITIONS, *(order or ["line_no"])]
     (
