@@ -56,6 +56,13 @@ def uri_parts(uri: Column) -> Column:
     )
 
 
+def canonical_path(path: Column) -> Column:
+    """One spelling for paths that name the same object: ``/a``, ``file:/a`` and ``file:///a``, or
+    ``s3``, ``s3a`` and ``s3n``."""
+    local = F.regexp_replace(path, "^(?:file:)?/+", "/")
+    return F.regexp_replace(local, "^s3[an]?://", "s3://")
+
+
 def relative_key(path: Column, prefix: Column) -> Column:
     """The part of ``path`` below ``prefix``."""
     bare = F.regexp_replace(prefix, "/+$", "")

@@ -62,6 +62,8 @@ def expectations(df: DataFrame, rules: list[Rule], strict: bool = False) -> Data
     All count and predicate rules share one aggregation over one scan. Uniqueness counts rows per
     key, combined before the shuffle, and reads the key columns only.
     """
+    if not rules:
+        raise ValueError("no rules given")
     reports = []
     simple = [r for r in rules if not isinstance(r, Unique)]
     if simple:

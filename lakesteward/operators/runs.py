@@ -18,14 +18,19 @@ def failure_summary(
     runs: DataFrame | None = None,
     run_key: list[str] | None = None,
     order: str = "position",
+    stream: str = "stderr",
 ) -> DataFrame:
     """Per run, the last line that names a cause, or empty text.
 
+    Where lines have a ``stream`` column only the given one is searched.
     With ``runs`` the logs are first cut down to their cause lines, and runs without logs are
     kept by a left join. Without it the runs are those seen in the logs, in the same single scan.
     """
     keys = run_key or ["vc_id", "jr_id"]
-    stripped = lines.select(*keys, F.col(order).alias("_at"), strip_line(F.col("line")).alias("_line"))
+    searched = F.col("line")
+    if "stream" in lines.columns:
+        searched = F.when(F.col("stream") == stream, searched)
+    stripped = lines.select(*keys, F.col(order).alias("_at"), strip_line(searched).alias("_line"))
     cause = is_cause_line(F.col("_line"))
     if runs is None:
         named = stripped.select(*keys, F.when(cause, F.struct("_at", "_line")).alias("_c"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lakesteward.functions.paths import canonical_path
 from lakesteward.operators.maintenance import compact, file_count_for, vacuum_execute, vacuum_plan
 from lakesteward.operators.manifests import data_files, manifest_summary
 from lakesteward.sources.catalog import referenced_locations, table_location
 from lakesteward.sources.manifest import file_manifest
-from lakesteward.sources.sinks import publish_version
+from lakesteward.sources.sinks import lies_below, publish_version
 
 
 def compact_table(
@@ -38,18 +40,16 @@ def vacuum_tables(
     """Files below ``root`` that no current location of the requested tables contains.
 
     ``request`` has the form ``{"vacuum_delta_tables": ["db.table", …]}``. ``root`` must hold
-    versions of these tables only.
+    versions of these tables only, and the current version of each. Files are matched by the
+    canonical form of their paths, as a catalog may spell a location differently.
     """
     live = referenced_locations(spark, request["vacuum_delta_tables"])
-    plan = vacuum_plan(file_manifest(spark, [root]), _same_spelling(file_manifest(spark, live), root), cutoff)
-    return vacuum_execute(plan, dry_run)
-
+    outside = [location for location in live if not lies_below(location, root)]
+    if outside or not live:
+        raise ValueError(f"the tables' locations are not below {root}: {outside or request}")
 
-def _same_spelling(manifest: DataFrame, root: str) -> DataFrame:
-    """Catalogue paths carry a scheme (``file:/a``) that ``root`` may not have, or spell differently."""
-    from pyspark.sql import functions as F
+    def keyed(manifest: DataFrame) -> DataFrame:
+        return manifest.withColumn("key", canonical_path(F.col("path")))
 
-    if "://" in root:
-        scheme = root.split("://", 1)[0]
-        return manifest.withColumn("path", F.regexp_replace("path", r"^[A-Za-z0-9]+:/+", f"{scheme}://"))
-    return manifest.withColumn("path", F.regexp_replace("path", r"^file:/+", "/"))
+    plan = vacuum_plan(keyed(file_manifest(spark, [root])), keyed(file_manifest(spark, live)), cutoff, key="key")
+    return vacuum_execute(plan, dry_run)

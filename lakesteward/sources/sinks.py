@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,21 +12,20 @@ from pyspark.sql import functions as F
 from lakesteward.sources.catalog import point_table_at
 
 
+def _bare(path: str) -> str:
+    if path.startswith("file:") or ":" not in path.split("/", 1)[0]:
+        return os.path.abspath(re.sub("^file:/+", "/", path)).rstrip("/") + "/"
+    return re.sub("^s3[an]?://", "s3://", path).rstrip("/") + "/"
+
+
+def lies_below(path: str, folder: str) -> bool:
+    """Whether ``path`` is ``folder`` or below it, however their schemes are spelt."""
+    return _bare(path).startswith(_bare(folder))
+
+
 def same_or_nested(a: str, b: str) -> bool:
-    """Whether one of two paths is the other or lies below it (scheme spelling ignored)."""
-    def bare(path: str) -> str:
-        path = path.rstrip("/")
-        for scheme in ("s3a://", "s3n://", "s3://", "file://", "file:"):
-            if path.startswith(scheme):
-                head = "s3/" if scheme.startswith("s3") else ""
-                path = head + path[len(scheme):]
-                break
-        else:
-            path = path if "://" in path else os.path.abspath(path)
-        return path + "/"
-
-    left, right = bare(a), bare(b)
-    return left.startswith(right) or right.startswith(left)
+    """Whether one of two paths is the other or lies below it."""
+    return lies_below(a, b) or lies_below(b, a)
 
 
 def overwrite_sink(

@@ -115,6 +115,10 @@ def test_compact_and_vacuum_a_table(spark, tmp_path):
     assert old != new and file_manifest(spark, [new]).filter("path LIKE '%.parquet'").count() == 1
     request, soon = {"vacuum_delta_tables": [name]}, datetime.now() + timedelta(days=1)
     assert vacuum_tables(spark, request, root, datetime(2000, 1, 1)).isEmpty()
+    with pytest.raises(ValueError, match="not below"):
+        vacuum_tables(spark, request, str(tmp_path / "elsewhere"), soon)
+    for spelling in (f"file://{root}", f"file:{root}/"):
+        assert vacuum_tables(spark, request, spelling, soon).filter("path LIKE '%.parquet'").count() == 20
     planned = vacuum_tables(spark, request, root, soon)
     assert planned.filter("path LIKE '%.parquet'").count() == 20
     assert not any(r["path"].startswith(new.replace("file:", "")) for r in planned.collect())

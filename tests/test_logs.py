@@ -118,6 +118,9 @@ def test_driver_layout_and_raw_bytes(spark, tmp_path):
     assert [r["line"] for r in numbered] == ["one", "two", "bad\ufffdbyte", "", "Caused by: z", "25/05/08 12:34:56 INFO x"]
     assert {(r["vc_id"], r["jr_id"], r["stream"]) for r in numbered} == {("vc-1", "jr-9", "stderr")}
     assert failure_summary(read).first()["summary"] == "Caused by: z"
+    everything = read_run_logs(spark, str(tmp_path), layout="driver")
+    assert failure_summary(everything).first()["summary"] == "Caused by: z"
+    assert failure_summary(everything, stream="stdout").first()["summary"] == "fooError"
 
 
 def test_uncompressed_log_read_in_several_ranges(spark, tmp_path):

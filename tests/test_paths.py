@@ -45,6 +45,11 @@ def test_uri_parts(column):
     ]
 
 
+def test_canonical_path(column):
+    given = ["/a/b", "file:/a/b", "file:///a/b", "s3a://b/k", "s3://b/k", "hdfs://n/a"]
+    assert column(given, paths.canonical_path) == ["/a/b"] * 3 + ["s3://b/k"] * 2 + ["hdfs://n/a"]
+
+
 def test_relative_key(column):
     assert column(["/r/a/b", "/r/a/c/d"], lambda c: paths.relative_key(c, F.lit("/r/a/"))) == ["b", "c/d"]
 
