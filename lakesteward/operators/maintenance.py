@@ -10,6 +10,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakesteward.operators.ordering import TIES, with_ties_placed
 from lakesteward.session import saved
 from lakesteward.sources.manifest import storage_opener, storage_options
 
@@ -18,16 +19,15 @@ def file_count_for(total_bytes: int, target_bytes: int = 512 * 1024 * 1024) -> i
     return max(1, math.ceil(total_bytes / target_bytes))
 
 
-def compact(df: DataFrame, files: int, cluster_cols: list[str]) -> DataFrame:
+def compact(df: DataFrame, files: int, cluster_cols: list[str], from_scan: bool = False) -> DataFrame:
     """The same rows in ``files`` partitions, ranged and sorted on ``cluster_cols``.
 
-    Range bounds take in the row's place in the input as a last column, so a value that holds a
-    third of the rows, or a row repeated that often, is spread over its share of the files.
-    ``df`` should come straight from a scan, whose row order does not change between attempts.
+    Range bounds also tell rows of equal values apart, so a value that holds a third of the rows,
+    or a row repeated that often, is spread over its share of the files. Choosing the bounds
+    reads the input once more. ``from_scan`` as in ``with_ties_placed``.
     """
-    placed = df.withColumn("_place", F.monotonically_increasing_id())
-    ranged = placed.repartitionByRange(files, *cluster_cols, "_place")
-    return ranged.sortWithinPartitions(*cluster_cols, "_place").drop("_place")
+    ranged = with_ties_placed(df, cluster_cols, from_scan).repartitionByRange(files, *cluster_cols, *TIES)
+    return ranged.sortWithinPartitions(*cluster_cols, *TIES).drop(*TIES)
 
 
 def vacuum_plan(

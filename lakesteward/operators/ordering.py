@@ -14,13 +14,33 @@ def priority_rank(column: str, order: list[str]) -> Column:
     return F.coalesce(F.nullif(position, F.lit(0).cast("bigint")), F.lit(len(order) + 1).cast("bigint"))
 
 
-def priority_order(df: DataFrame, column: str, order: list[str], then: list[str] | None = None) -> DataFrame:
+TIES = ["_hash", "_place"]
+
+
+def with_ties_placed(df: DataFrame, order: list[str | Column], from_scan: bool = False) -> DataFrame:
+    """Add ``_hash`` and ``_place``, which tell rows of equal ``order`` apart, even copies.
+
+    As last columns of a range partitioning they spread a hot value over tasks. The place of a
+    row is its position in its task, taken after a sort within the task: a task that is repeated
+    after an executor is lost may read its input in another order, and must still give the same
+    number of copies to each range. With ``from_scan`` the caller states that ``df`` is a scan with
+    filters and projections at most; its order repeats by itself and needs no sort.
+    """
+    comparable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    hashed = df.withColumn("_hash", F.xxhash64(*comparable))
+    repeatable = hashed if from_scan else hashed.sortWithinPartitions(*order, "_hash")
+    return repeatable.withColumn("_place", F.monotonically_increasing_id())
+
+
+def priority_order(
+    df: DataFrame, column: str, order: list[str], then: list[str] | None = None, from_scan: bool = False
+) -> DataFrame:
     """Sort by a custom order, unknown values last, with ``then`` breaking ties.
 
-    Rows that are still equal keep their input order, which also spreads a hot value over tasks.
+    Rows that are still equal are told apart, so that a hot value is sorted by many tasks.
     """
-    placed = df.withColumn("_place", F.monotonically_increasing_id())
-    return placed.orderBy(priority_rank(column, order), *(then or []), "_place").drop("_place")
+    keys = [priority_rank(column, order), *(then or [])]
+    return with_ties_placed(df, keys, from_scan).orderBy(*keys, *TIES).drop(*TIES)
 
 
 def first_n(df: DataFrame, order: list[str | Column], n: int) -> DataFrame:
@@ -28,21 +48,15 @@ def first_n(df: DataFrame, order: list[str | Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def ordinal_of_total(df: DataFrame, order: list[str]) -> DataFrame:
+def ordinal_of_total(df: DataFrame, order: list[str], from_scan: bool = False) -> DataFrame:
     """Add a global 1-based ``idx`` in ``order`` and the row count ``total``.
 
     A global window would run in one task. Instead the rows are range-sorted once and saved to
     the shared folder, so that the row ids given there stay fixed; each sorted partition then
     needs only an offset, and there are no more offsets than partitions. Rows with equal order
-    values are told apart by a hash and their place in the input, so a hot value also spreads.
+    values are told apart, so a hot value also spreads.
     """
-    placed = df.withColumns(
-        {
-            "_hash": F.xxhash64(*(c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString())),
-            "_place": F.monotonically_increasing_id(),
-        }
-    )
-    ranged = placed.sort(*order, "_hash", "_place").drop("_hash", "_place")
+    ranged = with_ties_placed(df, order, from_scan).sort(*order, *TIES).drop(*TIES)
     rows = saved(ranged.withColumn("_row", F.monotonically_increasing_id()), "ordinal")
     part, within = F.shiftright("_row", 33), F.col("_row").bitwiseAND(2**33 - 1)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -150,7 +150,7 @@ def expectation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ordinal_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return ordering.ordinal_of_total(orders, ["o_custkey", "o_orderkey"])
+    return ordering.ordinal_of_total(orders, ["o_custkey", "o_orderkey"], from_scan=True)
 
 
 def _step_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +207,8 @@ def compacted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     size = manifests.manifest_summary(list_prefix(spark, f"{sf_dir}/orders.parquet")).first()["bytes"]
     files = file_count_for(size, 1024 * 1024)
-    return overwrite_sink(compact(orders, files, ["o_orderstatus", "o_custkey"]), workspace(spark, "compact"))
+    packed = compact(orders, files, ["o_orderstatus", "o_custkey"], from_scan=True)
+    return overwrite_sink(packed, workspace(spark, "compact"))
 
 
 def vacuum_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +268,9 @@ def priority_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def priority_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return ordering.priority_order(customer, "c_mktsegment", ["MACHINERY", "BUILDING"], then=["c_custkey"])
+    return ordering.priority_order(
+        customer, "c_mktsegment", ["MACHINERY", "BUILDING"], then=["c_custkey"], from_scan=True
+    )
 
 
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def compact_table(
     size = manifest_summary(data_files(file_manifest(spark, [table_location(spark, table)]))).first()["bytes"]
     partitions = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
     order = [*partitions, *(c for c in cluster_cols if c not in partitions)]
-    packed = compact(spark.table(table), file_count_for(size, target_bytes), order)
+    packed = compact(spark.table(table), file_count_for(size, target_bytes), order, from_scan=True)
     return publish_version(packed, table, root, partition_by=partitions, rebalance=False)
 
 

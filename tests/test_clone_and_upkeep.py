@@ -70,12 +70,13 @@ def test_clone_prefixes(spark, tmp_path):
         clone_prefixes(spark, str(src), str(src / "inside"))
 
 
-def test_compact_keeps_rows_and_splits_a_hot_value(spark, tmp_path):
+@pytest.mark.parametrize("from_scan", [True, False])
+def test_compact_keeps_rows_and_splits_a_hot_value(spark, tmp_path, from_scan):
     # two thirds of the rows are copies of one row
     rows = spark.range(30000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("k"))
     overwrite_sink(rows.repartition(25), str(tmp_path / "in"))
     source = spark.read.parquet(str(tmp_path / "in"))
-    packed = compact(source, 6, ["k"])
+    packed = compact(source, 6, ["k"], from_scan)
     overwrite_sink(packed, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.exceptAll(source).isEmpty() and source.exceptAll(back).isEmpty()
