@@ -2,6 +2,8 @@ import oracle
 import pytest
 
 import __spark_entry__ as contract
+from lakesteward.plans.oracles import ORACLES
+from lakesteward.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -10,13 +12,14 @@ def connection(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.items() <= contract.queries().items() and ORACLES.items() <= contract.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, sf_dir, connection, name):
-    names, rows = oracle.rows_of_frame(contract.queries()[name](spark, sf_dir))
-    expected_names, expected = oracle.rows_of_sql(connection, contract.oracle_sql()[name])
+    names, rows = oracle.rows_of_frame(QUERIES[name](spark, sf_dir))
+    expected_names, expected = oracle.rows_of_sql(connection, ORACLES[name])
     assert names == expected_names
     assert rows == expected
 
