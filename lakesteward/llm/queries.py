@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakesteward.llm import oracles
+from lakesteward.llm.compression import quality_scores
+from lakesteward.llm.contamination import leaks
+from lakesteward.llm.hyperminhash import near_duplicates
 from lakesteward.llm.sharding import sharded
 from lakesteward.llm.warc import archived_pages
 
@@ -21,16 +24,32 @@ def warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(spark, table(spark, sf_dir, "pages"))
 
 
+def compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def hyperminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def sharded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"), 16)
 
 
 QUERIES: dict[str, Query] = {
     "op2_warc": warc_pages,
+    "op3_compression_quality": compression_quality,
     "op6_sharding": sharded_documents,
+    "op8_benchmark_leaks": benchmark_leaks,
+    "op10_hyperminhash": hyperminhash_groups,
 }
 
 ORACLES: dict[str, str] = {
     "op2_warc": oracles.WARC,
     "op6_sharding": oracles.SHARDING,
+    "op10_hyperminhash": oracles.NEAR_DUPLICATES,
 }
