@@ -3,7 +3,7 @@
 A page becomes an HTTP response in chunked transfer framing. A record whose block is longer than
 ``segment_bytes`` is cut: its first part keeps the type and the headers, and each ``continuation``
 record carries the origin's identifier, its number, and, in the last one, the total length.
-Archives are gzip files of a bounded number of bytes, written by Spark's text sink with the record
+Archives are gzip files of a bounded number of records, written by Spark's text sink with the record
 end as line separator, and read as whole files, each as a stream of records.
 
 Reassembly: records without segments are complete; the others are dealt by origin identifier, each
@@ -28,7 +28,8 @@ from lakesteward.llm.common import saved, workspace
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
-ARCHIVE_BYTES = 8 << 20
+#: with segments of bounded size, this bounds an archive
+ARCHIVE_RECORDS = 4096
 RECORD_END = "\r\n\r\n"
 
 RECORDS = (
@@ -111,7 +112,7 @@ def page_records(page_id, url, html: bytes, digest: str, refers_to, serial: str,
         )
 
 
-def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, archive_records: int = ARCHIVE_RECORDS) -> None:
     """Write ``pages`` (page_id, url, html) as gzip WARC files below ``path``.
 
     Of pages with equal payloads, empty ones included, those with the largest page_id are written as
@@ -119,12 +120,10 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    digest = F.unhex(F.sha1("html")).alias("sha1")
-    largest = rows.groupBy(digest).agg(F.max("page_id").alias("leader"), F.sum(F.octet_length("html") + 700).alias("bytes"))
-    largest = saved(largest, "warc-leaders")
-    files = max(1, int((largest.agg(F.sum("bytes")).first()[0] or 0) // archive_bytes))
-    # the big side is the left one, which a skewed join can split
-    chosen = rows.withColumn("sha1", F.unhex(F.sha1("html"))).join(largest.select("sha1", "leader"), "sha1", "left")
+    rows = rows.withColumn("sha1", F.unhex(F.sha1("html")))
+    largest = rows.groupBy("sha1").agg(F.max("page_id").alias("leader"))
+    # the big side is the left one, which a skewed join can split; it is the only time that html is shuffled
+    chosen = rows.join(largest, "sha1", "left")
     chosen = chosen.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("leader")), F.col("leader")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +137,9 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
                 out += page_records(page_id, url, body, base64.b32encode(sha).decode(), refers_to, f"{path}/{task}/{n}", segment_bytes)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    # dealt by a hash of the whole row, so that a payload with many copies spreads and a repeated task gets the same rows
-    spread = chosen.repartition(files, "page_id", "url", "sha1")
-    records = spread.select("page_id", "url", "html", "sha1", "refers_to").mapInArrow(build, "value BINARY")
-    records.select(F.col("value").cast("string")).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
+    records = chosen.select("page_id", "url", "html", "sha1", "refers_to").mapInArrow(build, "value BINARY")
+    writer = records.select(F.col("value").cast("string")).write.option("lineSep", RECORD_END).option("compression", "gzip")
+    writer.option("maxRecordsPerFile", archive_records).text(path)
 
 
 def _inflated(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
