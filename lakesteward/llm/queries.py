@@ -10,7 +10,10 @@ from lakesteward.llm import oracles
 from lakesteward.llm.compression import quality_scores
 from lakesteward.llm.contamination import leaks
 from lakesteward.llm.hyperminhash import near_duplicates
+from lakesteward.llm.pivots import nearest_vectors
+from lakesteward.llm.sampling import sampled_segmentations
 from lakesteward.llm.sharding import sharded
+from lakesteward.llm.token_counts import token_counts
 from lakesteward.llm.warc import archived_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pivot_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(spark, table(spark, sf_dir, "pages"))
 
@@ -28,6 +35,14 @@ def compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_segmentations(table(spark, sf_dir, "documents"))
+
+
 def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,10 +56,13 @@ def sharded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_permutation_index": pivot_neighbours,
     "op2_warc": warc_pages,
     "op3_compression_quality": compression_quality,
+    "op5_token_counts": trie_token_counts,
     "op6_sharding": sharded_documents,
     "op8_benchmark_leaks": benchmark_leaks,
+    "op9_sampled_pieces": sampled_pieces,
     "op10_hyperminhash": hyperminhash_groups,
 }
 
