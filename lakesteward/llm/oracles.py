@@ -83,3 +83,29 @@ links AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) LEFT JOIN n USING (doc_id)
 """
+
+#: windows are cut from pieces of 200 bytes and the next 199, so that no long text is searched for each one
+REPEATS = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), c AS (
+  SELECT doc_id, n, b, substr(h, (400 * b + 1)::BIGINT, 798) AS piece FROM (SELECT doc_id, h, n, unnest(range(0, n // 200 + 1)) AS b FROM d)
+), w AS (
+  SELECT doc_id, 200 * b + i AS p, md5_number(substr(piece, 2 * i + 1, 400)) AS k
+  FROM (SELECT doc_id, n, b, piece, unnest(range(0, 200)) AS i FROM c) WHERE 200 * b + i + 200 <= n
+), r AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh
+  FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)
+), s AS (
+  SELECT doc_id, g, min(p) AS a, max(p) + 200 AS z
+  FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM r) GROUP BY doc_id, g
+), k AS (
+  SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS z,
+    string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) AS kept
+  FROM (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s) JOIN d USING (doc_id)
+  GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN kept IS NULL THEN h ELSE kept || substr(h, (2 * z + 1)::BIGINT) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

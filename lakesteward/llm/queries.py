@@ -13,6 +13,7 @@ from lakesteward.llm.hyperminhash import near_duplicates
 from lakesteward.llm.pivots import nearest_vectors
 from lakesteward.llm.sampling import sampled_segmentations
 from lakesteward.llm.sharding import sharded
+from lakesteward.llm.suffixes import repeat_removal
 from lakesteward.llm.token_counts import token_counts
 from lakesteward.llm.warc import archived_pages
 
@@ -35,6 +36,10 @@ def compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_removal(table(spark, sf_dir, "documents"))
+
+
 def trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op1_permutation_index": pivot_neighbours,
     "op2_warc": warc_pages,
     "op3_compression_quality": compression_quality,
+    "op4_suffix_repeats": suffix_repeats,
     "op5_token_counts": trie_token_counts,
     "op6_sharding": sharded_documents,
     "op8_benchmark_leaks": benchmark_leaks,
@@ -68,6 +74,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op2_warc": oracles.WARC,
+    "op4_suffix_repeats": oracles.REPEATS,
     "op6_sharding": oracles.SHARDING,
     "op10_hyperminhash": oracles.NEAR_DUPLICATES,
 }
