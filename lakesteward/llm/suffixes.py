@@ -121,7 +121,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        # without the schema's nullability, which the entry held back need not share
+        table = pa.Table.from_arrays(batch.columns, names=batch.schema.names)
+        table = table if held is None else pa.concat_tables([held, table])
         keys = table["key"].to_numpy()
         # two entries of the last key are enough to know that the next one repeats it
         same = np.r_[keys[1:] == keys[:-1], False]
@@ -130,7 +132,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _marked(table.slice(0, ready), again[:ready])
         held = table.slice(ready).combine_chunks()
         if again[-1]:
-            held = held.set_column(held.schema.get_field_index("repeated"), "repeated", pa.array([True]))
+            held = held.set_column(held.schema.get_field_index("repeated"), "repeated", pa.chunked_array([[True]]))
     if held is not None:
         yield _marked(held, np.zeros(1, bool))
 
