@@ -10,6 +10,7 @@ from lakesteward.llm import oracles
 from lakesteward.llm.compression import quality_scores
 from lakesteward.llm.contamination import leaks
 from lakesteward.llm.hyperminhash import near_duplicates
+from lakesteward.llm.passages import near_duplicate_passages
 from lakesteward.llm.pivots import nearest_vectors
 from lakesteward.llm.sampling import sampled_segmentations
 from lakesteward.llm.sharding import sharded
@@ -48,6 +49,10 @@ def sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_segmentations(table(spark, sf_dir, "documents"))
 
 
+def compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op4_suffix_repeats": suffix_repeats,
     "op5_token_counts": trie_token_counts,
     "op6_sharding": sharded_documents,
+    "op7_compact_windows": compact_window_passages,
     "op8_benchmark_leaks": benchmark_leaks,
     "op9_sampled_pieces": sampled_pieces,
     "op10_hyperminhash": hyperminhash_groups,
