@@ -1,15 +1,15 @@
 """Quality from compressed size: one zstandard dictionary per label, one calibrated score.
 
-A text that resembles the good training texts gets smaller under the dictionary trained on them,
-one that resembles the bad ones under theirs. The difference of the two sizes over their sum is the
-only input of the score; a logistic curve, fitted on labelled texts that no dictionary has seen,
-turns it into a probability of the good label.
+A text that resembles the good training texts gets smaller under the dictionary built from them,
+one that resembles the bad ones under theirs. The difference of the two sizes, over the text's
+length and over their sum, is the signal; the sizes over the length, without a dictionary too, say
+how much of it to believe in a text that repeats itself. A logistic curve over these, fitted on
+labelled texts that no dictionary holds, turns them into a probability of the good label.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ from lakesteward.llm.common import text_column
 #: bound of what training takes from the labelled rows: rows per label, and bytes of their texts per label
 SAMPLE_ROWS = 2000
 SAMPLE_BYTES = 16 << 20
-DICTIONARY_BYTES = 112 << 10
+DICTIONARY_BYTES = 512 << 10
 LEVEL = 3
 THRESHOLD = 0.3
 
@@ -35,57 +35,61 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries (null: none), and the curve 1 / (1 + exp(-(slope * difference + offset)))."""
+    """Dictionaries (empty: none), and a logistic curve over scaled features; without weights, 0.5."""
 
-    good: bytes
-    bad: bytes
-    slope: float
-    offset: float
+    good: bytes = b""
+    bad: bytes = b""
+    centre: tuple[float, ...] = ()
+    scale: tuple[float, ...] = ()
+    weights: tuple[float, ...] = ()
 
-    def score(self, difference: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * difference + self.offset, -60, 60)))
+    def score(self, features: np.ndarray) -> np.ndarray:
+        if not self.weights:
+            return np.full(len(features), 0.5)
+        scaled = (features - np.array(self.centre)) / np.array(self.scale)
+        return 1 / (1 + np.exp(-np.clip(scaled @ np.array(self.weights[:-1]) + self.weights[-1], -60, 60)))
 
 
 def dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary trained on whole texts; too few of them are used as they are."""
-    texts = [t for t in texts if t]
-    try:
-        return zstandard.train_dictionary(size, texts, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b"\n".join(texts)[-size:]
+    """Whole texts, as they come, as long as they fit."""
+    chosen, held = [], 0
+    for text in texts:
+        if text and held + len(text) <= size:
+            chosen.append(text)
+            held += len(text) + 1
+    return b"\n".join(chosen)
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     if not content:
         return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-    ready = zstandard.ZstdCompressionDict(content)
+    ready = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     ready.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(dict_data=ready, write_content_size=False, write_dict_id=False)
 
 
-def differences(texts: Iterator[bytes], good: bytes, bad: bytes) -> np.ndarray:
-    """(size under bad - size under good) / their sum per text: positive where good fits better."""
-    by_good, by_bad = _compressor(good), _compressor(bad)
-    sizes = [(len(by_good.compress(t)), len(by_bad.compress(t))) if t else (1, 1) for t in texts]
-    pairs = np.array(sizes, float).reshape(-1, 2)
-    return (pairs[:, 1] - pairs[:, 0]) / pairs.sum(1)
+def features(texts: Iterable[bytes], good: bytes, bad: bytes) -> np.ndarray:
+    """Per text: size difference over length and over the sizes' sum, the three sizes over length, log length."""
+    machines = [_compressor(good), _compressor(bad), _compressor(b"")]
+    rows = [(*(len(m.compress(t)) for m in machines), len(t) + 1) for t in texts]
+    g, b, plain, n = np.array(rows, float).reshape(-1, 4).T
+    return np.column_stack([(b - g) / n, (b - g) / (b + g), g / n, b / n, plain / n, np.log(n)])
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> tuple[float, float]:
-    """Slope and offset by Newton steps on the weighted log-likelihood; x is scaled within."""
-    scale = float(np.sqrt(np.average(x * x, weights=weight))) or 1.0
-    design, weight = np.c_[x / scale, np.ones(len(x))], weight / weight.sum()
-    beta = np.zeros(2)
+def logistic_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
+    """Weights and, last, offset by Newton steps on the weighted log-likelihood with a small ridge."""
+    design, weight = np.c_[x, np.ones(len(x))], weight / weight.sum()
+    beta = np.zeros(design.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -60, 60)))
         slope = design.T @ (weight * (p - y)) + ridge * beta
-        bend = (design * (weight * p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
+        bend = (design * (weight * p * (1 - p))[:, None]).T @ design + ridge * np.eye(len(beta))
         step = np.linalg.solve(bend, slope)
         step *= min(1.0, 5 / max(1e-12, float(np.abs(step).max())))
         beta -= step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0] / scale), float(beta[1])
+    return beta
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
@@ -117,21 +121,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model:
-    """Train both dictionaries on half of a bounded sample and the curve on the other half.
+    """Build both dictionaries from half of a bounded sample and fit the curve on the other half.
 
+    The sample has as many rows of either label as it can; weights give the labels their true shares.
     Without training rows of both labels nothing can be told apart and every score is 0.5.
     """
     sample, counts = labelled_sample(docs, labels, rows, most_bytes)
     by_label = {y: [t for t, label in sample if label == y] for y in (0, 1)}
     if min(map(len, by_label.values())) < 2:
-        return Model(b"", b"", 0.0, 0.0)
+        return Model()
     good, bad = dictionary(by_label[1][::2]), dictionary(by_label[0][::2])
     rest = [(t, y) for y in (0, 1) for t in by_label[y][1::2]]
     y = np.array([label for _, label in rest], float)
-    share = {label: counts[label] / max(1, len(by_label[label][1::2])) for label in (0, 1)}
-    weight = np.where(y == 1, share[1], share[0])
-    slope, offset = logistic_fit(differences((t for t, _ in rest), good, bad), y, weight)
-    return Model(good, bad, slope, offset)
+    share = {label: counts[label] / len(by_label[label][1::2]) for label in (0, 1)}
+    x = features((t for t, _ in rest), good, bad)
+    centre, scale = x.mean(0), x.std(0) + 1e-12
+    beta = logistic_fit((x - centre) / scale, y, np.where(y == 1, share[1], share[0]))
+    return Model(good, bad, tuple(centre.tolist()), tuple(scale.tolist()), tuple(beta.tolist()))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -143,7 +149,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch["text"].cast(pa.large_binary())
-            values = model.score(differences((t.as_py() or b"" for t in text), model.good, model.bad))
+            values = model.score(features((t.as_py() or b"" for t in text), model.good, model.bad))
             columns = [batch[c] for c in names]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(values, pa.float64()), pa.array(values >= THRESHOLD, pa.bool_()).cast(pa.int32())],
