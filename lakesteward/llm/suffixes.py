@@ -321,24 +321,28 @@ def merged_spans(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their repeated ranges."""
-    for batch in batches:
-        rows = []
-        for row, text, ranges in zip(batch["row"].to_pylist(), batch["text"].cast(pa.binary()), batch["ranges"].to_pylist(), strict=True):
-            content, spans = text.as_py(), merged_spans([(r["start"], r["stop"]) for r in ranges])
-            ends = [0, *(x for span in spans for x in span), len(content)]
-            kept = b"".join(content[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-            rows.append((row, len(content) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "n_removed", "n_spans", "kept_sha256", "kept"])
+def _cut(keep: bool):
+    """Measures of texts without their repeated ranges, and with ``keep`` what is left, less characters that were cut apart."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row, text, ranges in zip(batch["row"].to_pylist(), batch["text"].cast(pa.binary()), batch["ranges"].to_pylist(), strict=True):
+                content, spans = text.as_py(), merged_spans([(r["start"], r["stop"]) for r in ranges])
+                ends = [0, *(x for span in spans for x in span), len(content)]
+                kept = b"".join(content[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
+                rows.append((row, len(content) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep else None))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return cut
 
 
-def removals(docs: DataFrame, batches: int = BATCHES, hot_stretches: int = HOT_STRETCHES) -> tuple[DataFrame, DataFrame]:
-    """The stored documents, and of those that lose bytes: row, n_removed, n_spans, kept_sha256, kept.
+def removals(docs: DataFrame, batches: int, hot_stretches: int, keep: bool) -> tuple[DataFrame, DataFrame]:
+    """The stored documents, and of those that lose bytes: row, n_removed, n_spans, kept_sha256, and kept with ``keep``.
 
-    Documents whose text occurs again as a whole are not among the latter; see ``repeated_texts``.
+    A text that several documents have is looked at once, and as if only one had it.
     """
     table = documents_table(docs)
     found = candidates(table, batches)
@@ -356,7 +360,7 @@ def removals(docs: DataFrame, batches: int = BATCHES, hot_stretches: int = HOT_S
     by_row = ranges.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     # rows that repeat id and text come once
     hit = matched.select("row", "text").join(by_row.hint("merge"), "row").dropDuplicates(["row"])
-    return table, saved(hit.mapInArrow(_cut, "row BIGINT, n_removed BIGINT, n_spans BIGINT, kept_sha256 STRING, kept BINARY"), "suffix-cut")
+    return table, saved(hit.mapInArrow(_cut(keep), "row BIGINT, n_removed BIGINT, n_spans BIGINT, kept_sha256 STRING, kept STRING"), "suffix-cut")
 
 
 def repeat_removal(docs: DataFrame, batches: int = BATCHES, hot_stretches: int = HOT_STRETCHES) -> DataFrame:
@@ -367,7 +371,7 @@ def repeat_removal(docs: DataFrame, batches: int = BATCHES, hot_stretches: int =
     that occurs twice as a whole, in rows that repeat each other as well, loses all; a null doc_id
     is a document like any other; other columns are ignored.
     """
-    table, cut = removals(docs, batches, hot_stretches)
+    table, cut = removals(docs, batches, hot_stretches, keep=False)
     times = table.groupBy("sha").agg(F.count("*").alias("times"))
     rows = table.select("row", "doc_id", "sha", "n_bytes").join(times, "sha").join(cut.select("row", "n_removed", "n_spans", "kept_sha256"), "row", "left")
     gone = (F.col("times") > 1) & (F.col("n_bytes") >= LENGTH)
@@ -382,19 +386,20 @@ def repeat_removal(docs: DataFrame, batches: int = BATCHES, hot_stretches: int =
 def without_repeats(docs: DataFrame, batches: int = BATCHES, hot_stretches: int = HOT_STRETCHES) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``; the bytes of a character that was cut apart go too.
 
-    ``n_chars``, where there is one, is that of the text that is left. All rows stay.
+    ``n_chars``, where there is one, becomes that of the text that is left. All rows stay, those
+    without any text left as well.
     """
-    table, cut = removals(docs, batches, hot_stretches)
-    names = docs.columns
+    table, cut = removals(docs, batches, hot_stretches, keep=True)
     times = table.groupBy("sha").agg(F.count("*").alias("times")).filter("times > 1")
-    changed = cut.join(table.select("row", "doc_id", "text_key"), "row").select(
-        F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key"), F.col("kept")
-    )
-    gone = table.filter(F.col("n_bytes") >= LENGTH).join(times, "sha", "left_semi").select(
-        F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key"), F.lit(b"").alias("kept")
-    )
-    changes = saved(gone.unionByName(changed.join(gone.select("cut_key"), "cut_key", "left_anti")).dropDuplicates(["cut_id", "cut_key"]), "suffix-changes")
+    several = table.filter(F.col("n_bytes") >= LENGTH).join(times, "sha", "left_semi")
+    gone = several.select(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key"), F.lit("").alias("kept"))
+    changed = cut.join(table.select("row", "doc_id", "text_key"), "row").select(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key"), "kept")
+    changes = gone.unionByName(changed.join(gone.select("cut_key"), "cut_key", "left_anti"))
+    changes = saved(changes.dropDuplicates(["cut_id", "cut_key"]), "suffix-changes")
     match = docs["doc_id"].cast("bigint").eqNullSafe(changes["cut_id"]) & (F.xxhash64(docs["text"]) == changes["cut_key"])
     left = docs.join(changes.hint("merge"), match, "left")
-    kept = F.when(F.col("cut_key").isNull(), docs["text"]).otherwise(F.decode(F.encode(F.try_validate_utf8(F.col("kept").cast("string")), "UTF-8"), "UTF-8"))
-    return left.select(*[kept.alias(c) if c == "text" else docs[c] for c in names])
+    new = {"text": F.coalesce(changes["kept"], docs["text"])}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(changes["kept"].isNotNull(), F.char_length(changes["kept"]).cast(kind)).otherwise(docs["n_chars"])
+    return left.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
