@@ -315,7 +315,8 @@ def near_groups(
     sizes = near.groupBy("component").agg(F.count("*").alias("members"))
     members = saved(near.join(sizes, "component").join(nodes.select("row", "doc_id", "text_key"), "row"), "members")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("key"), text_column().alias("text"))
-    matched = texts.join(members, texts["id"].eqNullSafe(members["doc_id"]) & (texts["key"] == members["text_key"]))
+    # the same plan at every size, whether or not the members would fit a broadcast
+    matched = texts.join(members.hint("merge"), texts["id"].eqNullSafe(members["doc_id"]) & (texts["key"] == members["text_key"]))
     matched = matched.select("component", "row", "text", "members")
     small = shingle_sets(matched.filter(F.col("members") <= hot_documents), words)
     small = small.repartition("component").sortWithinPartitions("component", "row")
