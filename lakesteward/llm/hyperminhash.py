@@ -27,6 +27,8 @@ from lakesteward.llm.components import components
 from lakesteward.llm.words import Powers, Words, mixed
 
 BAND, BANDS = 4, 24
+#: bands whose links are found first
+FIRST_BANDS = 6
 REGISTERS = BAND * BANDS
 MANTISSA = 10
 EMPTY = 0xFFFF
@@ -101,7 +103,7 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
 
 
 def band_rows(nodes: DataFrame) -> DataFrame:
-    """``band`` key and ``row`` of every band that holds a shingle."""
+    """``band`` key, ``row`` and band ``number`` of every band that holds a shingle."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,19 +112,44 @@ def band_rows(nodes: DataFrame) -> DataFrame:
             keys = mixed(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             full = (packed != EMPTY).any(2)
             rows = np.repeat(batch["row"].to_numpy(), BANDS).reshape(-1, BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[full].view(np.int64)), pa.array(rows[full])], ["band", "row"])
+            numbers = np.broadcast_to(np.arange(BANDS, dtype=np.int32), full.shape)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[full].view(np.int64)), pa.array(rows[full]), pa.array(numbers[full])], ["band", "row", "number"]
+            )
 
-    return nodes.select("row", "sketch").mapInArrow(bands, "band BIGINT, row BIGINT")
+    return nodes.select("row", "sketch").mapInArrow(bands, "band BIGINT, row BIGINT, number INT")
 
 
 def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
+def _forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A smallest set of edges with the same connected components."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    for a, b in edges:
+        p, q = root(a), root(b)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            kept.append((a, b))
+    return kept
+
+
 def _group_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate links within each band key of batches sorted by band and row."""
+    """Candidate links between labels within each band key of batches sorted by band and row.
+
+    Only as many links are given as connect what they connect.
+    """
     for table in key_runs(batches, "band", 20_000):
-        band, row, size = (table[c].to_numpy() for c in ("band", "row", "n_shingles"))
+        band, label, size = (table[c].to_numpy() for c in ("band", "label", "n_shingles"))
         sketch = _unpacked(table["sketch"])
         group = np.cumsum(np.r_[True, band[1:] != band[:-1]]) - 1
         waiting = np.arange(len(band))
@@ -136,10 +163,10 @@ def _group_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fit = np.minimum(size[other], size[lead]) >= EDGE * 0.8 * np.maximum(size[other], size[lead])
             for at in np.array_split(np.flatnonzero(fit), max(1, int(fit.sum()) // 20_000)):
                 near[at] = estimated_jaccard(sketch[lead[at]], sketch[other[at]], size[lead[at]], size[other[at]])
-            link = near >= EDGE
-            found.update(zip(row[lead[link]].tolist(), row[other[link]].tolist(), strict=True))
+            link = (near >= EDGE) & (label[lead] != label[other])
+            found.update(zip(label[lead[link]].tolist(), label[other[link]].tolist(), strict=True))
             waiting = other[near < CLOSE]
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        pairs = np.array(_forest(sorted(found)), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
@@ -160,27 +187,45 @@ def _hot_round(rows: DataFrame) -> DataFrame:
     return saved(pairs.mapInArrow(compare, "a BIGINT, b BIGINT, band BIGINT, near DOUBLE"), "hot-bands")
 
 
-def candidate_links(nodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Candidate links (a, b) between ``nodes`` (row, n_shingles, sketch), stored."""
-    bands = saved(band_rows(nodes), "bands")
-    counts = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = bands.join(counts, "band").select("band", "row", "n")
-    rows = saved(shared.join(nodes.select("row", "n_shingles", "sketch"), "row"), "band-groups")
-    edges = None
+def _band_links(rows: DataFrame, nodes: DataFrame, labels: DataFrame | None, hot_rows: int) -> DataFrame:
+    """Stored candidate links (a, b) of the given rows of band keys, between labels where there are some."""
+    links = None
     ordinary, hot = rows.filter(F.col("n") <= hot_rows), rows.filter(F.col("n") > hot_rows)
     while not hot.isEmpty():
         # one leader per key and round takes its near copies out, until the rest fits a task
         near = _hot_round(hot)
         link = near.filter((F.col("near") >= EDGE) & (F.col("a") != F.col("b"))).select("a", "b")
-        edges = link if edges is None else edges.unionByName(link)
+        links = link if links is None else links.unionByName(link)
         rest = near.filter((F.col("near") < CLOSE) & (F.col("a") != F.col("b"))).select("band", F.col("b").alias("row"))
         left = rest.groupBy("band").agg(F.count("*").alias("n"))
         hot = saved(rest.join(left, "band").join(nodes.select("row", "n_shingles", "sketch"), "row"), "hot-rest")
         ordinary = ordinary.unionByName(hot.filter(F.col("n") <= hot_rows), allowMissingColumns=True)
         hot = hot.filter(F.col("n") > hot_rows)
-    grouped = ordinary.select("band", "row", "n_shingles", "sketch").repartition("band").sortWithinPartitions("band", "row")
+    ordinary = ordinary.select("band", "row", "n_shingles", "sketch")
+    if labels is None:
+        ordinary = ordinary.withColumn("label", F.col("row"))
+    else:
+        ordinary = ordinary.join(labels, "row", "left").withColumn("label", F.coalesce("component", "row")).drop("component")
+    grouped = ordinary.repartition("band").sortWithinPartitions("band", "row")
     found = grouped.mapInArrow(_group_edges, "a BIGINT, b BIGINT")
-    return saved((found if edges is None else found.unionByName(edges)).distinct(), "candidates")
+    return saved((found if links is None else found.unionByName(links)).distinct(), "candidates")
+
+
+def candidate_components(nodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``row`` and ``component`` of the ``nodes`` (row, n_shingles, sketch) with candidates, stored.
+
+    The first bands connect nearly all that belongs together; the others then only give links
+    between what they left apart, so a large group of copies has few links per document.
+    """
+    bands = saved(band_rows(nodes), "bands")
+    counts = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = bands.join(counts, "band").select("band", "number", "row", "n")
+    rows = saved(shared.join(nodes.select("row", "n_shingles", "sketch"), "row"), "band-groups")
+    early = F.col("number") < FIRST_BANDS
+    labels = saved(components(_band_links(rows.filter(early), nodes, None, hot_rows)), "first-components")
+    more = _band_links(rows.filter(~early), nodes, labels, hot_rows)
+    stars = labels.select(F.col("row").alias("a"), F.col("component").alias("b"))
+    return saved(components(stars.unionByName(more)), "candidate-components")
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -310,8 +355,7 @@ def near_groups(
     full = base.filter("n_shingles > 0")
     sets = saved(full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("row").alias("node")), "nodes")
     nodes = full.join(sets.select(F.col("node").alias("row")), "row", "left_semi")
-    candidates = candidate_links(nodes, hot_rows)
-    near = saved(components(candidates), "candidate-components")
+    near = candidate_components(nodes, hot_rows)
     sizes = near.groupBy("component").agg(F.count("*").alias("members"))
     members = saved(near.join(sizes, "component").join(nodes.select("row", "doc_id", "text_key"), "row"), "members")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("key"), text_column().alias("text"))
