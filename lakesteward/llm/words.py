@@ -66,11 +66,12 @@ class Words:
         lengths = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
         first = np.zeros(len(counts) + 1, np.int64)
         np.cumsum(lengths, out=first[1:])
-        runs = np.zeros(max(n - k + 1, 0), np.uint64)
+        most = max(n - k + 1, 0)
+        runs = np.zeros(most, np.uint64)
         factor = np.uint64(1)
         for i in range(k):
             factor = np.uint64((int(factor) * _PRIME + 2 * i) % (1 << 64) | 1)
-            runs += hashes[i : n - k + 1 + i] * factor
+            runs += hashes[i : i + most] * factor
         out = np.zeros(first[-1], np.uint64)
         long = counts >= k
         inner = np.repeat(self.first[:-1][long] - first[:-1][long], lengths[long])
