@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from lakesteward.llm.common import numbered, saved
 
 #: pivots, and how many of them a vector names
-PIVOTS, NEAREST = 128, 64
+PIVOTS, NEAREST = 256, 192
+#: a vector's number in its block takes two bytes and a place one, hence at most 65536 rows and 256 places
 BLOCK_ROWS = 8192
 QUERY_CHUNK = 16384
 #: part of a block that is reranked, and the least number of vectors
-RERANKED_SHARE, RERANKED_LEAST = 0.2, 64
+RERANKED_SHARE, RERANKED_LEAST = 0.2, 200
 
 INDEX = "rows BINARY, ids BINARY, vectors BINARY, files ARRAY<BINARY>"
 
@@ -78,7 +79,7 @@ def build_index(vectors: DataFrame, pivots: np.ndarray, nearest: int = NEAREST,
             files = []
             for p in range(len(pivots)):
                 vector, place = np.nonzero(named == p)
-                files.append(vector.astype(np.int32).tobytes() + place.astype(np.int32).tobytes())
+                files.append(vector.astype(np.uint16).tobytes() + place.astype(np.uint8).tobytes())
             return pa.RecordBatch.from_arrays(
                 [pa.array([x], pa.binary()) for x in (rows[order].tobytes(), ids[order].tobytes(), matrix.tobytes())]
                 + [pa.array([files], pa.list_(pa.binary()))],
@@ -114,8 +115,8 @@ def search(index: DataFrame, queries: list[tuple[int, int, list[float]]], pivots
                 units = _unit(np.frombuffer(block["vectors"], float).reshape(len(ids), -1))
                 places = np.full((len(pivots), len(ids)), nearest, np.int32)
                 for p, content in enumerate(block["files"]):
-                    vector, place = np.frombuffer(content, np.int32).reshape(2, -1)
-                    places[p, vector] = place
+                    named_by = len(content) // 3
+                    places[p, np.frombuffer(content, np.uint16, named_by)] = np.frombuffer(content, np.uint8, offset=2 * named_by)
                 wanted = min(len(ids), max(least, k + 1, int(share * len(ids))))
                 position = np.arange(len(ids))
                 out_query, out_id, out_score = [], [], []

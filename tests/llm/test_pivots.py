@@ -34,7 +34,7 @@ def test_recall_on_the_test_table(spark, sf_dir):
     assert all(abs(exact[r["query_id"], r["vec_id"]] - r["score"]) < 1e-9 for r in found if (r["query_id"], r["vec_id"]) in exact)
 
 
-@pytest.mark.parametrize("options", [{}, {"pivots": 4, "nearest": 3, "chunk": 2, "share": 1.0}])
+@pytest.mark.parametrize("options", [{}, {"pivots": 4, "nearest": 3, "chunk": 2, "share": 1.0, "least": 1000}])
 def test_odd_vectors_ties_and_few_candidates(spark, options):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(1, 30)]
