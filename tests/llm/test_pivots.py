@@ -39,7 +39,7 @@ def test_odd_vectors_ties_and_few_candidates(spark, options):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(1, 30)]
     rows += [(100 + i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(9)]
-    rows += [(50, [1e-30] * 6), (200, None), (201, [0.0] * 6), (202, [1.0, None, 1, 1, 1, 1]), (203, [math.nan] * 6), (204, [math.inf] * 6), (None, [1.0] * 6), (205, [1.0, 2.0]), (206, [])]
+    rows += [(50, [1e-30] * 6), (200, None), (201, [0.0] * 6), (202, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (203, [math.nan] * 6), (204, [math.inf] * 6), (None, [1.0] * 6), (205, [1.0, 2.0]), (206, [])]
     rows += [(10, rows[9][1])]
     found = nearest_vectors(vectors(spark, rows), every=10, k=5, **options).collect()
     expected = brute_force([r for r in rows if r[0] != 205], 10, 5)
