@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from datetime import date, datetime
+from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from lakesteward.operators.matching import missing_copies
+from lakesteward.session import saved
 from lakesteward.sources.basic import rows_source
 
-# beyond this many literals a tenant list is joined instead of written into the predicate
+# beyond this many literals a tenant list is joined instead of written into the predicate; the keys
+# have been converted before, so the two ways mean the same
 MAX_LITERAL_KEYS = 1000
 
 
@@ -57,16 +63,72 @@ class Mark:
         return df.filter(~column.isin(self.values) | column.isNull()) if self.values else df
 
 
+class InexactKey(ValueError):
+    """A tenant key that the tenant column's type cannot hold unchanged."""
+
+
+def exact_key(key: Column, source: DataType, kind: DataType) -> Column:
+    """``key`` in the tenant column's type; one that would not come back unchanged is an error."""
+    if source == kind:
+        return key
+    converted = key.try_cast(kind)
+    same = converted.try_cast(source).eqNullSafe(key)
+    problem = F.concat(F.lit(f"not exactly a {kind.simpleString()}: "), key.cast("string"))
+    return F.when(same, converted).otherwise(F.raise_error(problem).cast(kind))
+
+
+def _key_type(values: list) -> str:
+    """SQL type that holds all the given Python values as they are."""
+    kinds = {type(v) for v in values}
+    if kinds <= {int}:
+        return "bigint" if all(-(2**63) <= v < 2**63 for v in values) else "decimal(38,0)"
+    if kinds <= {int, float}:
+        # a float that is a whole number means that number
+        if all(float(v).is_integer() for v in values):
+            return _key_type([int(v) for v in values])
+        if all(float(v) == v for v in values):
+            return "double"
+    named = {str: "string", Decimal: "decimal(38,18)", bool: "boolean"}
+    if len(kinds) == 1 and (kind := kinds.pop()) in named:
+        return named[kind]
+    raise InexactKey(f"tenant keys of one type are wanted, not {sorted(k.__name__ for k in {type(v) for v in values})}")
+
+
+def listed_keys(keys: Iterable, table: TenantTable) -> list:
+    """Distinct keys of a list as values of the tenant column's type, null keys dropped."""
+    kind = table.df.schema[table.tenant_col].dataType
+    wanted = list(dict.fromkeys(k for k in keys if k is not None))
+    if not wanted:
+        return []
+    if {type(v) for v in wanted} <= {date, datetime}:
+        return wanted  # Spark compares them as they are
+    source = _key_type(wanted)
+    convert = {"bigint": int, "decimal(38,0)": lambda v: Decimal(int(v)), "double": float}.get(source, lambda v: v)
+    frame = rows_source(table.df.sparkSession, [(convert(k),) for k in wanted], f"k {source.upper()}")
+    known = frame.schema[0].dataType
+    converted = F.col("k").try_cast(kind)
+    rows = frame.select("k", converted.alias("v"), converted.try_cast(known).eqNullSafe(F.col("k")).alias("same")).collect()
+    wrong = [r["k"] for r in rows if not r["same"]]
+    if wrong:
+        raise InexactKey(f"{table.tenant_col} is a {kind.simpleString()}; not exactly one: {wrong[:5]}")
+    return list(dict.fromkeys(r["v"] for r in rows))
+
+
 def tenant_mark(keys: DataFrame | Iterable, table: TenantTable) -> Mark:
-    """Mark of a table with a tenant column. Keys are made distinct and null keys are dropped."""
+    """Mark of a table with a tenant column. Keys are made distinct and null keys are dropped.
+
+    Keys are converted to the column's type, and one that does not convert exactly is an error,
+    whatever the number of keys and whether they come as a list or as a DataFrame.
+    """
     column, kind = table.tenant_col, table.df.schema[table.tenant_col].dataType
     if not isinstance(keys, DataFrame):
-        wanted = list(dict.fromkeys(k for k in keys if k is not None))
+        wanted = listed_keys(keys, table)
         if len(wanted) <= MAX_LITERAL_KEYS:
             return Mark(column, wanted)
-        keys = rows_source(table.df.sparkSession, [(k,) for k in wanted], f"`{column}` {kind.simpleString()}")
-    renamed = keys.toDF(column).select(F.col(column).cast(kind).alias(column))
-    return Mark(column, renamed.filter(F.col(column).isNotNull()).distinct())
+        return Mark(column, rows_source(table.df.sparkSession, [(k,) for k in wanted], f"`{column}` {kind.simpleString()}"))
+    renamed = keys.toDF(column)
+    given = renamed.filter(F.col(column).isNotNull()).select(exact_key(F.col(column), renamed.schema[0].dataType, kind).alias(column))
+    return Mark(column, given.distinct())
 
 
 def ownership(
@@ -76,9 +138,10 @@ def ownership(
 ) -> dict[str, Mark]:
     """Mark of every table; parents come before their children.
 
-    A child is marked by the distinct keys of its parent's owned rows. ``save`` may store such a
-    set and return it reread, so that children do not recompute the chain and the optimizer knows
-    its true size when it chooses between a broadcast and a shuffle.
+    A child is marked by the distinct keys of its parent's owned rows, in the parent's type: Spark
+    compares differing types in the wider one. ``save`` may store such a set and return it reread,
+    so that children do not recompute the chain and the optimizer knows its true size when it
+    chooses between a broadcast and a shuffle.
     """
     marks: dict[str, Mark] = {}
     by_name = {t.name: t for t in tables}
@@ -87,8 +150,7 @@ def ownership(
             marks[table.name] = tenant_mark(tenant_keys, table)
         elif table.parent in marks:
             parent = by_name[table.parent]
-            kind = table.df.schema[table.fk].dataType
-            owned = marks[parent.name].owned(parent.df).select(F.col(parent.key).cast(kind).alias(table.fk))
+            owned = marks[parent.name].owned(parent.df).select(F.col(parent.key).alias(table.fk))
             owned = owned.filter(F.col(table.fk).isNotNull()).distinct()
             marks[table.name] = Mark(table.fk, save(owned, table.name) if save else owned)
         else:
@@ -96,13 +158,17 @@ def ownership(
     return marks
 
 
+def _stored(keys: DataFrame, name: str) -> DataFrame:
+    return saved(keys, f"owned-{name}")
+
+
 def tenant_delete(tables: list[TenantTable], tenant_keys: DataFrame | Iterable) -> dict[str, DataFrame]:
     """What is left of each table without the tenants' rows and the rows that hang on them.
 
-    Joins carry no hints. A key set below the broadcast threshold costs the big table no shuffle;
+    Joins carry no hints. Key sets of children are stored, so no chain is computed twice. A key set below the broadcast threshold costs the big table no shuffle;
     beyond it the anti join shuffles, and AQE splits a hot key on the big side.
     """
-    marks = ownership(tables, tenant_keys)
+    marks = ownership(tables, tenant_keys, _stored)
     return {table.name: marks[table.name].others(table.df) for table in tables}
 
 
@@ -112,9 +178,10 @@ def tenant_recovery(
     """Current tables plus the tenants' snapshot rows that are missing from them.
 
     Rows count as present by ``unique_key``, or without one by all columns as a multiset, so a
-    recovery that is run twice adds nothing the second time.
+    recovery that is run twice adds nothing the second time. Null keys are equal to each other.
+    The current table is first cut down to the keys of the snapshot's owned rows.
     """
-    marks = ownership(snapshot, tenant_keys)
+    marks = ownership(snapshot, tenant_keys, _stored)
     now = {t.name: t for t in current}
     restored = {}
     for old in snapshot:
@@ -122,8 +189,17 @@ def tenant_recovery(
         lost = mark.owned(old.df)
         if old.unique_key:
             keys = list(old.unique_key)
-            missing = lost.join(table.df.select(*keys), keys, "left_anti").select(*table.df.columns)
+            named = {k: f"present_{i}" for i, k in enumerate(keys)}
+            wanted = lost.select(*keys).distinct()
+            present = table.df.select(*(F.col(k).alias(n) for k, n in named.items()))
+            present = present.join(wanted, _same_keys(present, wanted, named), "left_semi").distinct()
+            missing = lost.join(present, _same_keys(present, lost, named), "left_anti").select(*table.df.columns)
         else:
             missing = missing_copies(lost, mark.owned(table.df)).select(*table.df.columns)
         restored[old.name] = table.df.unionByName(missing)
     return restored
+
+
+def _same_keys(present: DataFrame, rows: DataFrame, named: dict[str, str]) -> Column:
+    """Null-safe equality of the unique key, whose columns have other names in ``present``."""
+    return reduce(lambda a, b: a & b, (present[n].eqNullSafe(rows[k]) for k, n in named.items()))

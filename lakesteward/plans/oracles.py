@@ -107,14 +107,15 @@ ORACLES: dict[str, str] = {
         FROM b FULL JOIN u ON b.c_custkey = u.c_custkey""",
     "q15_tenant_delete": f"""
         {_TENANT}
-        SELECT 'customer' AS tbl, c_custkey AS k FROM customer WHERE c_nationkey <> 6
-        UNION ALL SELECT 'orders', o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM gone_o)
-        UNION ALL SELECT 'lineitem', l_orderkey FROM lineitem
-        WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone_o)""",
+        SELECT 'customer' AS tbl, * FROM customer WHERE c_nationkey <> 6
+        UNION ALL BY NAME
+        SELECT 'orders' AS tbl, * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM gone_o)
+        UNION ALL BY NAME
+        SELECT 'lineitem' AS tbl, * FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone_o)""",
     "q16_tenant_recovery": """
-        SELECT 'customer' AS tbl, c_custkey AS k FROM customer
-        UNION ALL SELECT 'orders', o_orderkey FROM orders
-        UNION ALL SELECT 'lineitem', l_orderkey FROM lineitem""",
+        SELECT 'customer' AS tbl, * FROM customer
+        UNION ALL BY NAME SELECT 'orders' AS tbl, * FROM orders
+        UNION ALL BY NAME SELECT 'lineitem' AS tbl, * FROM lineitem""",
     "q17_compact": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
     "q18_vacuum_plan": """
         SELECT doc_id FROM documents d

@@ -60,10 +60,10 @@ def tenant_tables(spark: SparkSession, sf_dir: str) -> list[tenants.TenantTable]
     ]
 
 
-def _stacked_keys(tables: dict[str, DataFrame]) -> DataFrame:
-    columns = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
-    parts = [tables[t].select(F.lit(t).alias("tbl"), F.col(k).alias("k")) for t, k in columns.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def _stacked(tables: dict[str, DataFrame]) -> DataFrame:
+    """All columns of the tables; those that a table lacks are null."""
+    customer, orders, lineitem = (tables[t].withColumn("tbl", F.lit(t)) for t in ("customer", "orders", "lineitem"))
+    return customer.unionByName(orders, allowMissingColumns=True).unionByName(lineitem, allowMissingColumns=True)
 
 
 def range_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ def upsert_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tenant_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stacked_keys(tenants.tenant_delete(tenant_tables(spark, sf_dir), [TENANT, None]))
+    return _stacked(tenants.tenant_delete(tenant_tables(spark, sf_dir), [TENANT, None]))
 
 
 def tenant_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ def tenant_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     restored = tenants.tenant_recovery(current, snapshot, [TENANT])
     reread = {name: overwrite_sink(df, os.path.join(root, "restored", name)) for name, df in restored.items()}
-    return _stacked_keys(reread)
+    return _stacked(reread)
 
 
 def compacted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,46 @@ def test_many_keys_are_joined(spark, tables, monkeypatch):
     assert rows(tenants.tenant_delete(tables, [6])) == {k: sorted(v, key=str) for k, v in EXPECTED.items()}
 
 
+@pytest.mark.parametrize("n", [1000, 1001])
+@pytest.mark.parametrize("form", ["list", "frame"])
+def test_number_and_form_of_keys_change_nothing(spark, n, form):
+    def kept(values, kind, column="BIGINT"):
+        rows = spark.range(3000).selectExpr(f"CAST(id AS {column}) AS tenant").unionByName(spark.createDataFrame([(None,)], f"tenant {column}"))
+        table = [TenantTable("t", rows, tenant_col="tenant")]
+        keys = values if form == "list" else spark.createDataFrame([(v,) for v in values], f"k {kind}")
+        return {r["tenant"] for r in tenants.tenant_delete(table, keys)["t"].collect()}
+
+    everyone = {None, *range(3000)}
+    assert kept([*range(n), None], "BIGINT") == everyone - set(range(n))
+    assert kept([str(i) for i in range(n)], "STRING") == everyone - set(range(n))
+    assert kept([float(i) for i in range(n)], "DOUBLE") == everyone - set(range(n))
+    assert kept([str(i) for i in range(n)], "STRING", "STRING") == {None, *(str(i) for i in range(n, 3000))}
+    for values, kind in (
+        ([i + 0.5 for i in range(n)], "DOUBLE"), ([*map(str, range(n - 1)), "x"], "STRING"), ([*map(str, range(n - 1)), "1.5"], "STRING"),
+        ([*map(float, range(n - 1)), 1e30], "DOUBLE"),
+    ):
+        with pytest.raises(Exception, match="not exactly"):
+            kept(values, kind)
+    with pytest.raises(Exception, match="not exactly"):
+        kept([*range(n - 1), 2**40], "BIGINT", "INT")
+
+
+def test_parent_keys_are_compared_in_the_wider_type(spark):
+    parent = spark.createDataFrame([(2**32 + 5, 6), (7, 6)], "id BIGINT, org INT")
+    child = spark.createDataFrame([(5,), (7,), (None,)], "owner INT")
+    tables = [TenantTable("p", parent, tenant_col="org", key="id"), TenantTable("c", child, parent="p", fk="owner")]
+    assert rows(tenants.tenant_delete(tables, [6])) == {"p": [], "c": sorted([(5,), (None,)], key=str)}
+
+
+def test_recovery_of_null_unique_keys_is_idempotent(spark):
+    snapshot = spark.createDataFrame([(None, 6), (1, 6), (2, 7)], "id INT, org INT")
+    old = TenantTable("t", snapshot, tenant_col="org", unique_key=("id",))
+    for current in (snapshot, snapshot.filter("org = 7")):
+        for _ in range(2):
+            current = tenants.tenant_recovery([TenantTable("t", current, tenant_col="org", unique_key=("id",))], [old], [6])["t"]
+            assert sorted(map(tuple, current.collect()), key=str) == sorted(map(tuple, snapshot.collect()), key=str)
+
+
 def test_recovery_undoes_deletion_and_is_idempotent(spark, tables):
     whole = rows({t.name: t.df for t in tables})
     current = tenants.tenant_delete(tables, [6])
