@@ -88,7 +88,8 @@ def glob_to_regex(glob: str) -> str:
             out.append(".")
         elif end > 0:
             body = glob[i + 1 : end]
-            negated, body = body[:1] == "!", body.lstrip("!") if body[:1] == "!" else body
+            negated = body[:1] == "!"
+            body = body[negated:]
             # keep ranges such as a-z, quote everything else
             quoted = "".join(ch if ch == "-" else _quote(ch) for ch in body)
             out.append(f"[{'^' if negated else ''}{quoted}]")

@@ -53,9 +53,18 @@ def duration_s(started: Column, finished: Column) -> Column:
 
 
 def submit_conf(params: Column) -> Column:
-    """``--conf k=v`` options of a submit string as ordered structs (pos, key, value)."""
-    token = r"""((?:[^\s"']|"[^"]*"|'[^']*')+)"""
-    raw = F.regexp_extract_all(params, F.lit(r"(?:^|\s)--conf(?:\s+|=)" + token), F.lit(1))
+    """``--conf k=v`` options of a submit string as ordered structs (pos, key, value).
+
+    The string is cut into words first, a quoted part whole, so an option within quotes is none.
+    """
+    words = F.regexp_extract_all(params, F.lit(r"""((?:[^\s"']|"[^"]*"|'[^']*')+)"""), F.lit(1))
+
+    def option(word: Column, pos: Column) -> Column:
+        after = F.when(pos > 0, F.get(words, pos - 1)) == "--conf"
+        inline = F.when(word.startswith("--conf="), F.substring(word, F.lit(8), F.char_length(word)))
+        return F.when(after, word).otherwise(inline)
+
+    raw = F.filter(F.transform(words, option), lambda text: text.isNotNull())
     plain = F.transform(raw, lambda text: F.regexp_replace(text, r""""([^"]*)"|'([^']*)'""", "$1$2"))
 
     def entry(text: Column, pos: Column) -> Column:
@@ -89,7 +98,7 @@ def log_location(remote: Column, local: Column) -> Column:
 
 
 def state_details(state: Column, exit_code: Column, summary: Column, stdout: Column, stderr: Column) -> Column:
-    """What a user reads about a run: log places always, the cause when it failed."""
+    """Text for a run's page: where its output is, and for a failed run the exit code and the cause."""
     shown = [F.coalesce(c.cast("string"), F.lit("None")) for c in (exit_code, stdout, stderr)]
     code, out, err = shown
     cause = default_value(summary, NO_SUMMARY, empty_is_missing=True)

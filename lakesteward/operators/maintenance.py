@@ -10,7 +10,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesteward.operators.ordering import TIES, with_ties_placed
+from lakesteward.operators.ordering import with_ties_placed
 from lakesteward.session import saved
 from lakesteward.sources.manifest import storage_opener, storage_options
 
@@ -26,8 +26,9 @@ def compact(df: DataFrame, files: int, cluster_cols: list[str], from_scan: bool
     or a row repeated that often, is spread over its share of the files. Choosing the bounds
     reads the input once more. ``from_scan`` as in ``with_ties_placed``.
     """
-    ranged = with_ties_placed(df, cluster_cols, from_scan).repartitionByRange(files, *cluster_cols, *TIES)
-    return ranged.sortWithinPartitions(*cluster_cols, *TIES).drop(*TIES)
+    placed, ties = with_ties_placed(df, cluster_cols, from_scan)
+    ranged = placed.repartitionByRange(files, *cluster_cols, *ties)
+    return ranged.sortWithinPartitions(*cluster_cols, *ties).drop(*ties)
 
 
 def vacuum_plan(

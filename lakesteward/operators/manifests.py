@@ -30,12 +30,13 @@ def table_roots(manifest: DataFrame) -> DataFrame:
     return manifest.select(root.alias("path"), columns.alias("partition_by")).distinct()
 
 
-def sync_plan(source: DataFrame, target: DataFrame, key: str = "key", compare_mtime: bool = False) -> DataFrame:
+def sync_plan(source: DataFrame, target: DataFrame, key: str = "key", compare_mtime: bool = True) -> DataFrame:
     """Label every object ``copy_new``, ``copy_changed``, ``same`` or ``stale`` (never deleted).
 
-    Both manifests hold (key, length[, mtime]) with a key at most once. They are stacked and
+    Both manifests hold (key, length, mtime) with a key at most once. They are stacked and
     aggregated on the key, which costs one shuffle of narrow rows and no sort or join. An object
-    has changed when its length differs or, if asked, when the source is newer.
+    has changed when its length differs or the source is newer; ``compare_mtime=False`` goes by the
+    length alone and needs no mtime.
     """
     columns = [key, "length"] + (["mtime"] if compare_mtime else [])
     sides = source.select(*columns, F.lit(True).alias("is_source")).unionByName(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakesteward.functions.names import spare_names
+
 
 def autoregister_parents(
     children: DataFrame, parents: DataFrame, key: str, defaults: dict[str, Column] | None = None
@@ -16,8 +18,9 @@ def autoregister_parents(
     would be pushed below that step; an outer join that keeps the unmatched rows is not.
     """
     keys = children.select(key).filter(F.col(key).isNotNull()).distinct()
-    known = parents.select(key, F.lit(True).alias("_known"))
-    unseen = keys.join(known, key, "left").filter(F.col("_known").isNull()).select(key)
+    (mark,) = spare_names([key], "_known")
+    known = parents.select(key, F.lit(True).alias(mark))
+    unseen = keys.join(known, key, "left").filter(F.col(mark).isNull()).select(key)
     filled = {key: F.col(key), **(defaults or {})}
     rows = unseen.select(
         *(filled.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in parents.schema.fields)
@@ -34,32 +37,35 @@ def upsert(base: DataFrame, updates: DataFrame, key: str | list[str], order: str
     """Rows of ``base`` with those of ``updates`` applied, and an ``action`` column.
 
     ``update`` takes the non-key values of the update row, ``create`` adds a row, ``keep`` is
-    untouched. A key occurs once in ``updates``; if not, ``order`` picks the highest.
+    untouched. A key occurs once in ``updates``, or it is an error; with ``order`` the row with the
+    highest value counts, a null being the lowest. ``base`` has no column ``action``.
 
     A left join plus an anti join stands in for a full outer join, because AQE can split a skewed
-    left side but neither side of a full outer join. The anti join sees distinct base keys only.
+    left side but neither side of a full outer join. The anti join sees only base keys that occur
+    in the updates.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    if order is not None:
-        others = [c for c in updates.columns if c not in keys]
-        updates = updates.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(order)).alias("_u")).select(
-            *keys, *(F.col(f"_u.{c}").alias(c) for c in others if c in base.columns)
-        )
+    if "action" in {c.lower() for c in base.columns}:
+        raise ValueError("the base has a column action")
+    new, times = spare_names([*base.columns, *updates.columns], "_u", "_n")
+    others = [c for c in updates.columns if c not in keys and c in base.columns]
     values = [c for c in base.columns if c not in keys]
-    changed = updates.select(
-        *keys, F.struct(*(F.col(c) if c in updates.columns else F.lit(None).alias(c) for c in values)).alias("_u")
-    )
-    given = [c for c in values if c in updates.columns]
-    hit = F.col("_u").isNotNull()
+    row = F.struct(*(F.col(f"`{c}`") if c in others else F.lit(None).alias(c) for c in values))
+    if order is not None:
+        # within a struct a null is a value, the lowest one
+        changed = updates.groupBy(*keys).agg(F.max_by(row, F.struct(order)).alias(new))
+    else:
+        repeated = F.raise_error(F.concat(F.lit("repeated update key: "), F.to_json(F.struct(*keys)))).cast("boolean")
+        counted = updates.groupBy(*keys).agg(F.any_value(row).alias(new), F.count("*").alias(times))
+        changed = counted.filter((F.col(times) == 1) | repeated).select(*keys, new)
+    hit = F.col(new).isNotNull()
     existing = base.join(changed, keys, "left").select(
-        *(
-            F.when(hit, F.col(f"_u.{c}")).otherwise(base[c]).alias(c) if c in given else base[c]
-            for c in base.columns
-        ),
+        *(F.when(hit, F.col(f"{new}.`{c}`")).otherwise(base[f"`{c}`"]).alias(c) if c in others else base[f"`{c}`"] for c in base.columns),
         F.when(hit, "update").otherwise("keep").alias("action"),
     )
-    created = changed.join(base.select(*keys).distinct(), keys, "left_anti").select(
-        *(F.col(c) if c in keys else F.col(f"_u.{c}").cast(base.schema[c].dataType).alias(c) for c in base.columns),
+    known = base.select(*keys).join(changed.select(*keys), keys, "left_semi").distinct()
+    created = changed.join(known, keys, "left_anti").select(
+        *(F.col(c) if c in keys else F.col(f"{new}.`{c}`").cast(base.schema[c].dataType).alias(c) for c in base.columns),
         F.lit("create").alias("action"),
     )
     return existing.unionByName(created)

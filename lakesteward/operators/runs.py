@@ -90,8 +90,8 @@ def fold_run_state(
     """Final state of each run from its events.
 
     ``state`` is a reported state or null, ``exited`` marks the end of the process with
-    ``exit_code`` (null counts as failure), ``cancel`` a cancel request. The first end is final.
-    A cancel request before it is sticky and beats the exit code, and leaves a run that has not
+    ``exit_code`` (null counts as failure), ``cancel`` a cancel request; a reported state
+    CANCEL_PENDING is one as well. The first end is final. A cancel request before it is sticky and beats the exit code, and leaves a run that has not
     ended CANCEL_PENDING; one after it changes nothing.
 
     States are carried as integers: all aggregation buffers then have a fixed width, and Spark
@@ -105,7 +105,8 @@ def fold_run_state(
         .otherwise(F.lit(RUN_STATES.index("FAILED") + 1))
     )
     end_at = F.when(F.coalesce(ends, F.lit(False)), at)
-    cancel_at = F.when(F.coalesce(cancel, F.lit(False)), at)
+    asked = F.coalesce(cancel, F.lit(False)) | F.coalesce(state == "CANCEL_PENDING", F.lit(False))
+    cancel_at = F.when(asked, at)
     state_at = F.when(state.isNotNull(), at)
     folded = events.groupBy(*key).agg(
         F.min(end_at).alias("end_at"),

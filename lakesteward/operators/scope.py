@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,18 +32,39 @@ def filter_tables(df: DataFrame, names: Iterable[str] | DataFrame | None = None,
     return df.filter(F.col(column).isin(wanted)) if wanted else df
 
 
-def parse_scope(prefix: str) -> tuple[str, dict[str, str]]:
-    """Split ``gold/t/organization_id=6`` into the table path and its partition values."""
+# Fixed value: the directory name of a null partition value.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
+def parse_scope(prefix: str) -> tuple[str, dict[str, str | None]]:
+    """Split ``gold/t/organization_id=6`` into the table path and its partition values, unescaped; null as None."""
     parts = [p for p in prefix.strip("/").split("/") if p]
     first = next((i for i, p in enumerate(parts) if "=" in p), len(parts))
     values = dict(p.split("=", 1) for p in parts[first:] if "=" in p)
-    return "/".join(parts[:first]), values
-
-
-def scope_predicate(scope: dict[str, Iterable]) -> Column:
-    """Conjunction of ``column IN (values)``: on partition columns it prunes directories."""
-    terms = [F.col(c).isin(list(v)) if not isinstance(v, str) else F.col(c) == v for c, v in scope.items()]
-    return reduce(lambda a, b: a & b, terms, F.lit(True))
+    return "/".join(parts[:first]), {unquote(k): None if v == NULL_PARTITION else unquote(v) for k, v in values.items()}
+
+
+def scope_predicate(scope: dict[str, Iterable | str | None]) -> Column:
+    """Conjunction of ``column IN (values)``, None meaning null: on partition columns it prunes directories."""
+    def term(name: str, values: Iterable | str | None) -> Column:
+        wanted = [values] if values is None or isinstance(values, str) else list(values)
+        given, column = [v for v in wanted if v is not None], F.col(f"`{name}`")
+        found = column.isin(given) if given else F.lit(False)
+        return found | column.isNull() if None in wanted else found
+
+    return reduce(lambda a, b: a & b, (term(c, v) for c, v in scope.items()), F.lit(True))
+
+
+def any_scope(choices: list[dict[str, str | None]]) -> Column:
+    """Rows in any of the partitions: one list per set of leading columns instead of a term per partition."""
+    by_outer: dict[tuple, tuple[str, list]] = {}
+    for choice in choices:
+        *outer, (name, value) = choice.items()
+        by_outer.setdefault((tuple(outer), name), (name, []))[1].append(value)
+    terms = [scope_predicate({**dict(outer), name: values}) for (outer, _), (name, values) in by_outer.items()]
+    while len(terms) > 1:  # in pairs, so that the expression stays shallow
+        terms = [reduce(lambda a, b: a | b, terms[i : i + 2]) for i in range(0, len(terms), 2)]
+    return terms[0]
 
 
 def filter_scope(df: DataFrame, scope: dict[str, Iterable] | Column | None) -> DataFrame:

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lakesteward.functions.paths import canonical_path
 from lakesteward.operators.maintenance import vacuum_execute
 from lakesteward.operators.manifests import data_files, manifest_summary, table_roots
-from lakesteward.operators.scope import CLONE_ORDER, filter_scope, parse_scope, scope_predicate
+from lakesteward.operators.scope import CLONE_ORDER, any_scope, filter_scope, parse_scope
+from lakesteward.session import saved
 from lakesteward.sources.basic import rows_source
-from lakesteward.sources.manifest import file_manifest, path_exists
+from lakesteward.sources.manifest import file_manifest, path_exists, qualified
 from lakesteward.sources.sinks import overwrite_sink, same_or_nested
 
 
@@ -63,43 +63,56 @@ def clone_prefixes(
 ) -> DataFrame:
     """Clone every table below the prefixes, moving ``source_env`` to ``target_env``.
 
-    A prefix is a layer, a table or one partition of a table; by default all four layers. One
-    that does not exist adds nothing, nor does a table log, since rows are cloned and not logs.
-    ``replace="all"`` leaves nothing else below ``dst_root``. Returns the number of objects and
-    bytes there.
+    A prefix is a layer, a table or one partition of a table, as its directory is named; by default
+    all four layers. One that does not exist adds nothing, nor does a table log by itself. A table
+    whose directory holds a transaction log is refused: its files alone do not say which rows are
+    valid. The columns of all files of a table are merged. ``replace="all"`` leaves nothing else
+    below ``dst_root``. Returns the number of objects and bytes there.
     """
     if same_or_nested(src_root, dst_root):
         raise ValueError(f"{dst_root} overlaps {src_root}")
-    src_root, dst_root = src_root.rstrip("/"), dst_root.rstrip("/")
+    src_root, dst_root = (qualified(spark, p.rstrip("/")) for p in (src_root, dst_root))
     wanted = prefixes or [f"{source_env}/{layer}" for layer in CLONE_ORDER]
     wanted = [p.strip("/") for p in wanted if not p.rstrip("/").endswith("/_delta_log")]
-    scopes: dict[str, list[dict[str, str]]] = {}
+    present = [p for p in wanted if path_exists(spark, f"{src_root}/{p}")]
+    scopes: dict[str, list[dict[str, str | None]]] = {}
     layouts: dict[str, list[str]] = {}
-    for prefix in wanted:
-        folder = f"{src_root}/{prefix}"
-        if not path_exists(spark, folder):
-            continue
+    # partition prefixes of one table count as the table here; its partitions are told apart below
+    tables_of = sorted({parse_scope(p)[0] for p in present})
+    listed = saved(file_manifest(spark, [f"{src_root}/{p}" for p in tables_of]), "clone-source") if tables_of else None
+    if listed is not None:
+        logged = listed.filter(F.col("path").rlike("/_delta_log/")).select("path").first()
+        if logged:
+            raise ValueError(f"a table with a transaction log cannot be cloned from its files: {logged['path']}")
         # one row per table, of which a lake has thousands rather than billions
-        for row in table_roots(data_files(file_manifest(spark, [folder]))).toLocalIterator():
+        for row in table_roots(data_files(listed)).toLocalIterator():
             table = row["path"][len(src_root) + 1 :]
-            scopes.setdefault(table, []).append(parse_scope(prefix)[1])
-            layouts[table] = row["partition_by"]
+            for prefix in present:
+                base, values = parse_scope(prefix)
+                if table == base or (not values and f"{table}/".startswith(f"{base}/")):
+                    scopes.setdefault(table, []).append(values)
+                    layouts[table] = row["partition_by"]
     targets = []
     for table, choices in scopes.items():
         source, target = f"{src_root}/{table}", f"{dst_root}/{remap(table, source_env, target_env)}"
         columns = layouts[table]
         # partition values are kept as text, so that "006" is not copied as 6
-        stored = spark.read.format(fmt).load(source).schema
+        stored = spark.read.format(fmt).option("mergeSchema", True).load(source).schema
         schema = StructType([StructField(f.name, StringType()) if f.name in columns else f for f in stored])
-        scope = None
-        if all(choices):
-            scope = reduce(or_, (scope_predicate(values) for values in choices))
+        scope = any_scope(choices) if all(choices) else None
         clone_table(spark, source, target, scope, replace, fmt, columns, schema, rebalance=False)
         targets.append(target)
     if replace == "all" and path_exists(spark, dst_root):
-        everything = file_manifest(spark, [dst_root])
-        cloned = reduce(or_, (F.col("path").startswith(t + "/") for t in targets), F.lit(False))
-        vacuum_execute(everything.filter(~cloned), dry_run=False)
+        remove_others(spark, dst_root, targets)
     if not path_exists(spark, dst_root):
         return rows_source(spark, [(0, 0)], "objects BIGINT, bytes BIGINT")
     return manifest_summary(data_files(file_manifest(spark, [dst_root])))
+
+
+def remove_others(spark: SparkSession, root: str, tables: list[str]) -> DataFrame:
+    """Delete the files below ``root`` that lie directly in, or in a partition of, none of the ``tables``."""
+    everything = file_manifest(spark, [root])
+    directory = F.regexp_replace("path", r"/[^/]*$", "")
+    place = canonical_path(F.regexp_replace(directory, r"(/[^/=]+=[^/]*)+$", ""))
+    names = rows_source(spark, [(t,) for t in tables], "kept STRING").select(canonical_path(F.col("kept")).alias("kept"))
+    return vacuum_execute(everything.join(names, place == F.col("kept"), "left_anti"), dry_run=False)

@@ -52,13 +52,13 @@ ORACLES: dict[str, str] = {
         SELECT source AS prefix, count(*) AS objects, CAST(sum(n_chars) AS BIGINT) AS bytes
         FROM documents GROUP BY source""",
     "q06_sync_plan": """
-        WITH s AS (SELECT 'documents/' || doc_id AS key, n_chars AS len FROM documents),
-             t AS (SELECT 'documents/' || d.doc_id AS key, d.n_chars + l.toxic AS len
+        WITH s AS (SELECT 'documents/' || doc_id AS key, n_chars AS len, doc_id % 7 AS at FROM documents),
+             t AS (SELECT 'documents/' || d.doc_id AS key, d.n_chars + l.toxic AS len, 5 AS at
                    FROM documents d JOIN labels l ON d.doc_id = l.doc_id
-                   UNION ALL SELECT 'benchmark/' || item_id, length(text) FROM benchmark)
+                   UNION ALL SELECT 'benchmark/' || item_id, length(text), 0 FROM benchmark)
         SELECT coalesce(s.key, t.key) AS key,
                CASE WHEN t.key IS NULL THEN 'copy_new' WHEN s.key IS NULL THEN 'stale'
-                    WHEN s.len <> t.len THEN 'copy_changed' ELSE 'same' END AS action
+                    WHEN s.len <> t.len OR s.at > t.at THEN 'copy_changed' ELSE 'same' END AS action
         FROM s FULL JOIN t ON s.key = t.key""",
     "q07_prefix_remap": f"""
         SELECT page_id,
@@ -116,7 +116,8 @@ ORACLES: dict[str, str] = {
         SELECT 'customer' AS tbl, * FROM customer
         UNION ALL BY NAME SELECT 'orders' AS tbl, * FROM orders
         UNION ALL BY NAME SELECT 'lineitem' AS tbl, * FROM lineitem""",
-    "q17_compact": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
+    "q17_compact": """
+        SELECT o_orderkey, o_custkey, o_orderstatus, true AS files_as_asked, true AS ranged FROM orders""",
     "q18_vacuum_plan": """
         SELECT doc_id FROM documents d
         WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND n_chars < 2000""",
@@ -262,5 +263,8 @@ ORACLES: dict[str, str] = {
                count(*) FILTER ({_IS_CAUSE}) AS n_cause
         FROM s GROUP BY doc_id""",
     "q45_vacuumed_rows": "SELECT o_orderkey, o_orderstatus, true AS only_live FROM orders",
-    "q46_priority_sorted": "SELECT c_custkey, c_mktsegment FROM customer",
+    "q46_priority_sorted": """
+        SELECT c_custkey, c_mktsegment, row_number() OVER (
+          ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN 'BUILDING' THEN 1 ELSE 2 END, c_custkey) AS place
+        FROM customer""",
 }

@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesteward.functions import logs as log_fn
@@ -21,7 +21,7 @@ from lakesteward.operators import manifests, matching, ordering, quality, runs,
 from lakesteward.operators.maintenance import compact, file_count_for, vacuum_execute, vacuum_plan
 from lakesteward.plans.clone import clone_table
 from lakesteward.plans.offboard import offboard_tenant
-from lakesteward.session import workspace
+from lakesteward.session import saved, workspace
 from lakesteward.sources.basic import range_source, rows_source
 from lakesteward.sources.catalog import register_batch, table_location
 from lakesteward.sources.definitions import resolve_table_defs
@@ -102,15 +102,19 @@ def manifest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sync_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("documents/"), F.col("doc_id")).alias("key"), "doc_id", F.col("n_chars").alias("length")
+        F.concat(F.lit("documents/"), F.col("doc_id")).alias("key"), "doc_id", F.col("n_chars").alias("length"),
+        (F.col("doc_id") % 7).alias("mtime"),
     )
     labels = table(spark, sf_dir, "labels")
-    copied = documents.join(labels, "doc_id").select("key", (F.col("length") + F.col("toxic")).alias("length"))
+    copied = documents.join(labels, "doc_id").select(
+        "key", (F.col("length") + F.col("toxic")).alias("length"), F.lit(5).cast("bigint").alias("mtime")
+    )
     left_over = table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("benchmark/"), F.col("item_id")).alias("key"),
         F.char_length("text").cast("bigint").alias("length"),
+        F.lit(0).cast("bigint").alias("mtime"),
     )
-    plan = manifests.sync_plan(documents.select("key", "length"), copied.unionByName(left_over))
+    plan = manifests.sync_plan(documents.select("key", "length", "mtime"), copied.unionByName(left_over))
     return plan.select("key", "action")
 
 
@@ -204,11 +208,18 @@ def tenant_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compacted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows, whether their number of files is the one asked for, and whether each file is in order."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     size = manifests.manifest_summary(list_prefix(spark, f"{sf_dir}/orders.parquet")).first()["bytes"]
-    files = file_count_for(size, 1024 * 1024)
+    files = file_count_for(size, 64 * 1024)
     packed = compact(orders, files, ["o_orderstatus", "o_custkey"], from_scan=True)
-    return overwrite_sink(packed, workspace(spark, "compact"))
+    stored = overwrite_sink(packed, workspace(spark, "compact"))
+    rows = stored.select("*", F.col("_metadata.file_name").alias("file"), F.struct("o_orderstatus", "o_custkey").alias("at"))
+    ranges = rows.groupBy("file").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    following = F.lead("low").over(Window.orderBy("low", "high"))
+    apart = ranges.select("file", F.coalesce(F.col("high") <= following, F.lit(True)).alias("ranged"))
+    checks = apart.agg((F.count("*") == files).alias("files_as_asked"), F.every("ranged").alias("ranged")).first()
+    return rows.select("o_orderkey", "o_custkey", "o_orderstatus", *(F.lit(v).alias(n) for n, v in checks.asDict().items()))
 
 
 def vacuum_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,10 +238,13 @@ def run_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
         run_events(spark, sf_dir),
         RUN,
         "event_id",
-        state=F.when(kind == "signup", "SUBMITTED").when(kind == "view", "RUNNING"),
+        # some cancels are requests, the others are recorded as a state
+        state=F.when(kind == "signup", "SUBMITTED").when(kind == "view", "RUNNING").when(
+            (kind == "click") & (F.col("event_id") % 2 == 0), "CANCEL_PENDING"
+        ),
         exit_code=F.when(kind == "purchase", 0).when(kind == "error", 1),
         exited=kind.isin("purchase", "error"),
-        cancel=kind == "click",
+        cancel=(kind == "click") & (F.col("event_id") % 2 == 1),
     )
 
 
@@ -267,10 +281,16 @@ def priority_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def priority_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sorted rows with the place that the sort gave each of them."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return ordering.priority_order(
-        customer, "c_mktsegment", ["MACHINERY", "BUILDING"], then=["c_custkey"], from_scan=True
-    )
+    ranked = ordering.priority_order(customer, "c_mktsegment", ["MACHINERY", "BUILDING"], then=["c_custkey"], from_scan=True)
+    placed = saved(ranked.withColumn("row", F.monotonically_increasing_id()), "sorted")
+    parts = placed.groupBy(F.shiftright("row", 33).alias("part")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = (F.col("offset") + F.col("row").bitwiseAND(2**33 - 1) + 1).cast("bigint")
+    joined = placed.withColumn("part", F.shiftright("row", 33)).join(offsets, "part")
+    return joined.select("c_custkey", "c_mktsegment", place.alias("place"))
 
 
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from lakesteward.functions.paths import canonical_path
 from lakesteward.operators.maintenance import compact, file_count_for, vacuum_execute, vacuum_plan
 from lakesteward.operators.manifests import data_files, manifest_summary
-from lakesteward.sources.catalog import referenced_locations, table_location
+from lakesteward.sources.catalog import catalogued_tables, referenced_locations, table_location
 from lakesteward.sources.manifest import file_manifest
-from lakesteward.sources.sinks import lies_below, publish_version
+from lakesteward.sources.sinks import lies_below, publish_version, same_or_nested
 
 
 def compact_table(
@@ -34,13 +34,20 @@ def compact_table(
     return publish_version(packed, table, root, partition_by=partitions, rebalance=False)
 
 
+def canonical_name(spark: SparkSession, table: str) -> str:
+    """``database.table`` in lower case, the current database where none is named."""
+    database, _, name = table.rpartition(".")
+    return f"{database or spark.catalog.currentDatabase()}.{name}".lower()
+
+
 def vacuum_tables(
     spark: SparkSession, request: dict[str, list[str]], root: str, cutoff: datetime, dry_run: bool = True
 ) -> DataFrame:
     """Files below ``root`` that no current location of the requested tables contains.
 
     ``request`` has the form ``{"vacuum_delta_tables": ["db.table", …]}``. ``root`` must hold
-    versions of these tables only, and the current version of each. Files are matched by the
+    versions of these tables only, and the current version of each; if any other catalogued table
+    lies there, or contains ``root``, nothing is planned. Files are matched by the
     canonical form of their paths, as a catalog may spell a location differently.
     """
     live = referenced_locations(spark, request["vacuum_delta_tables"])
@@ -48,6 +55,15 @@ def vacuum_tables(
     if outside or not live:
         raise ValueError(f"the tables' locations are not below {root}: {outside or request}")
 
+    asked = {canonical_name(spark, t) for t in request["vacuum_delta_tables"]}
+    strangers = []
+    for name in catalogued_tables(spark):
+        location = None if canonical_name(spark, name) in asked else table_location(spark, name)
+        if location and same_or_nested(location, root):
+            strangers.append(name)
+    if strangers:
+        raise ValueError(f"{root} also holds tables that were not asked for: {strangers}")
+
     def keyed(manifest: DataFrame) -> DataFrame:
         return manifest.withColumn("key", canonical_path(F.col("path")))
 

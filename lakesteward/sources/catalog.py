@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql.types import StructType
 
 from lakesteward.sources.basic import rows_source
@@ -68,14 +68,37 @@ def ensure_database(spark: SparkSession, name: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(name)}")
 
 
+def table_details(spark: SparkSession, name: str) -> dict[str, str]:
+    """What the catalog says of a table, without its columns, which may bear the same names."""
+    rows = [(r["col_name"], r["data_type"]) for r in spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(name)}").collect()]
+    begin = next((i for i, (title, _) in enumerate(rows) if title == "# Detailed Table Information"), len(rows))
+    return dict(rows[begin + 1 :])
+
+
 def table_location(spark: SparkSession, name: str) -> str | None:
     """The catalogued location of a table."""
-    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(name)}").filter("col_name = 'Location'").collect()
-    return rows[0]["data_type"] if rows else None
+    return table_details(spark, name).get("Location")
+
+
+def table_properties(spark: SparkSession, name: str) -> dict[str, str]:
+    """Properties that a user has set; Spark keeps its own under other names."""
+    rows = spark.sql(f"SHOW TBLPROPERTIES {quoted(name)}").collect()
+    return {r["key"]: r["value"] for r in rows if not r["key"].startswith(("spark.sql.", "transient_")) and r["key"] != "EXTERNAL"}
+
+
+def catalogued_tables(spark: SparkSession) -> list[str]:
+    """Names of all tables of the current catalog, temporary views left out."""
+    found = []
+    for database in spark.catalog.listDatabases():
+        found += [f"{database.name}.{t.name}" for t in spark.catalog.listTables(database.name) if not t.isTemporary]
+    return found
 
 
 def check_drift(spark: SparkSession, definition: TableDefinition) -> None:
-    """Fail if files exist at the location and their schema differs from the declared columns."""
+    """Fail if files exist at the location and their schema differs from the declared columns.
+
+    A stored column that is not declared is a difference too, as readers would not see it.
+    """
     try:
         stored = spark.read.format(_provider(definition.format)).load(definition.location).schema
     except AnalysisException as error:
@@ -91,6 +114,8 @@ def check_drift(spark: SparkSession, definition: TableDefinition) -> None:
         if f.name not in definition.partition_by
         and (f.name not in actual or actual[f.name].simpleString() != f.dataType.simpleString())
     ]
+    declared = {f.name for f in definition.declared.fields} | set(definition.partition_by)
+    problems += [f"{name} is stored but not declared" for name in actual if name not in declared]
     if problems:
         raise SchemaDrift("; ".join(problems))
 
@@ -129,6 +154,21 @@ def register_table(spark: SparkSession, definition: TableDefinition) -> None:
         spark.sql(f"MSCK REPAIR TABLE {quoted(name)}")
 
 
+def _existing(spark: SparkSession, table: str) -> TableDefinition:
+    """The catalog entry of a table as a definition."""
+    details = table_details(spark, table)
+    database, _, name = table.rpartition(".")
+    return TableDefinition(
+        table=name,
+        location=details.get("Location", ""),
+        columns=[(f.name, f.dataType.simpleString()) for f in spark.table(table).schema.fields],
+        database=database or None,
+        format=details.get("Provider", "parquet"),
+        partition_by=[c.name for c in spark.catalog.listColumns(table) if c.isPartition],
+        properties=table_properties(spark, table),
+    )
+
+
 def point_table_at(
     spark: SparkSession,
     table: str,
@@ -137,34 +177,39 @@ def point_table_at(
     fmt: str = "parquet",
     partition_by: list[str] | None = None,
 ) -> None:
-    """Create ``table`` at ``location``, or move the existing entry there."""
-    if spark.catalog.tableExists(table) and not partition_by:
-        same = [(f.name, f.dataType) for f in spark.table(table).schema] == [(f.name, f.dataType) for f in schema]
-        if same:
-            spark.sql(f"ALTER TABLE {quoted(table)} SET LOCATION {_text(location)}")
-            spark.catalog.refreshTable(table)
-            return
+    """Create ``table`` at ``location``, or move the existing entry there; its properties stay.
+
+    An entry with the same columns and format and without partitions, before and after, is moved in
+    one step. Any other one is dropped and created anew, and for that moment readers do not find
+    the table; if creating it fails, the old entry is put back.
+    """
+    columns = [(f.name, f.dataType.simpleString()) for f in schema.fields]
+    old = _existing(spark, table) if spark.catalog.tableExists(table) else None
     database, _, name = table.rpartition(".")
-    register_table(
-        spark,
-        TableDefinition(
-            table=name,
-            location=location,
-            columns=[(f.name, f.dataType.simpleString()) for f in schema.fields],
-            database=database or None,
-            format=fmt,
-            partition_by=list(partition_by or []),
-        ),
+    new = TableDefinition(
+        table=name, location=location, columns=columns, database=database or None, format=fmt,
+        partition_by=list(partition_by or []), properties=old.properties if old else {},
     )
+    if old and not old.partition_by and not new.partition_by and (old.columns, old.format.lower()) == (new.columns, fmt.lower()):
+        spark.sql(f"ALTER TABLE {quoted(table)} SET LOCATION {_text(location)}")
+        spark.catalog.refreshTable(table)
+        return
+    try:
+        register_table(spark, new)
+    except Exception:
+        if old and not spark.catalog.tableExists(table):
+            register_table(spark, old)
+        raise
 
 
-def register_batch(spark: SparkSession, definitions: DataFrame) -> DataFrame:
+def register_batch(spark: SparkSession, definitions: DataFrame, order: list[Column | str] | None = None) -> DataFrame:
     """Register every definition in this session; a bad one is reported and does not stop the rest.
 
     Definitions are catalog metadata and DDL runs on the driver by nature; they are fetched one
-    partition at a time. The outcome has one row per definition, numbered ``idx`` of ``total``.
+    partition at a time, in ``order``, by default that of their paths. The outcome has one row per
+    definition, numbered ``idx`` of ``total`` in that order.
     """
-    ordered = definitions.orderBy("path").select("path", "definition").persist()
+    ordered = definitions.orderBy(*(order or ["path"])).select("path", "definition").persist()
     try:
         total = ordered.count()
         outcome = []

@@ -71,7 +71,7 @@ def storage_opener(options: dict[str, str] | None = None) -> Callable[[str], tup
 def path_exists(spark: SparkSession, path: str) -> bool:
     from pyarrow import fs
 
-    store, inner = storage_opener(storage_options(spark))(path)
+    store, inner = storage_opener(storage_options(spark))(qualified(spark, path))
     return store.get_file_info(inner.rstrip("/") or "/").type != fs.FileType.NotFound
 
 
@@ -122,14 +122,32 @@ def _lister(spark: SparkSession) -> Callable[[Iterator], Iterator]:
     return partial(_list_one_level, options=storage_options(spark))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path without a scheme in the session's default file system, as Spark's readers take it."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    if re.match(r"^[A-Za-z][A-Za-z0-9+.\-]*:", path) or default.startswith("file:"):
+        return path
+    return default.rstrip("/") + "/" + path.lstrip("/")
+
+
+def outermost(prefixes: Iterable[str]) -> list[str]:
+    """The prefixes that lie below no other one, each once."""
+    kept: list[str] = []
+    for prefix in sorted({p.rstrip("/") or "/" for p in prefixes}, key=lambda p: p.rstrip("/") + "/"):
+        if not kept or not (prefix.rstrip("/") + "/").startswith(kept[-1].rstrip("/") + "/"):
+            kept.append(prefix)
+    return kept
+
+
 def list_prefix(spark: SparkSession, path: str) -> DataFrame:
     """One level below ``path``, directories included; a missing path is an error."""
+    path = qualified(spark, path)
     start = rows_source(spark, [(path, path)], "prefix STRING, path STRING")
     return start.coalesce(1).mapInArrow(_lister(spark), MANIFEST_SCHEMA)
 
 
 def file_manifest(spark: SparkSession, prefixes: Iterable[str], recursive: bool = True) -> DataFrame:
-    """Every file below the prefixes, hidden ones included.
+    """Every file below the prefixes, hidden ones included, once each: a prefix below another one adds nothing.
 
     The walk goes level by level. The directories of a level are spread evenly over the tasks,
     so one huge prefix is listed by many tasks, and each level is written to the shared folder,
@@ -137,7 +155,7 @@ def file_manifest(spark: SparkSession, prefixes: Iterable[str], recursive: bool
     """
     root = workspace(spark, "manifest")
     most = spark.sparkContext.defaultParallelism
-    starts = [(p, p) for p in dict.fromkeys(prefixes)]
+    starts = [(p, p) for p in outermost(qualified(spark, p) for p in prefixes)]
     frontier = rows_source(spark, starts, "prefix STRING, path STRING")
     level, directories, lister = 0, len(starts), _lister(spark)
     while True:

@@ -68,7 +68,8 @@ def publish_version(
     """Write a new directory below ``root``, then point the catalog entry at it.
 
     Readers see the old version or the new one and never a half-written path, and a failed job
-    leaves the table as it was. Superseded directories are for ``vacuum_plan`` to find.
+    leaves the table as it was. A partitioned table, or one whose columns, format or partitions
+    change, is missing from the catalog for a moment, as its entry is made anew. Superseded directories are for ``vacuum_plan`` to find.
     """
     location = f"{root.rstrip('/')}/version-{uuid.uuid4().hex}"
     overwrite_sink(df, location, fmt, partition_by, rebalance=rebalance)

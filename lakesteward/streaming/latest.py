@@ -52,8 +52,11 @@ def stream_latest_state(
 
 
 def latest_snapshot(spark: SparkSession, root: str, key: list[str]) -> DataFrame:
-    """The newest row per key: the last folded state and the changes written since."""
-    return _newest(_changes(spark, root), key).drop("batch")
+    """The newest row per key: the last folded state and the finished batches written since."""
+    changes, _ = _changes(spark, root)
+    if changes is None:
+        raise FileNotFoundError(f"no finished batch below {root}")
+    return _newest(changes, key).drop("batch")
 
 
 def fold_changes(spark: SparkSession, root: str, key: list[str]) -> int | None:
@@ -61,15 +64,13 @@ def fold_changes(spark: SparkSession, root: str, key: list[str]) -> int | None:
     batch ever written. Returns the number of the last batch that it covers.
 
     Folded states have their own directories: nothing that is being read is replaced, and one
-    that was not finished is ignored. The batches covered may then be vacuumed.
+    that was not finished is ignored, as is a batch that is not finished, with all after it. The
+    batches covered may then be vacuumed.
     """
-    changes = _changes(spark, root)
-    upto = changes.agg(F.max("batch").alias("b")).first()["b"]
+    changes, upto = _changes(spark, root)
     if upto is None or upto == _folded_upto(spark, root):
         return upto
-    # without the directory of a later batch, which may arrive in the meantime
-    folded = _newest(changes.filter(F.col("batch") <= upto), key)
-    folded.write.mode("overwrite").parquet(os.path.join(root, "folded", f"upto={upto}"))
+    _newest(changes, key).write.mode("overwrite").parquet(os.path.join(root, "folded", f"upto={upto}"))
     return upto
 
 
@@ -79,20 +80,33 @@ def _newest(changes: DataFrame, key: list[str]) -> DataFrame:
     return newest.select(*key, "_row.*")
 
 
-def _folded_upto(spark: SparkSession, root: str) -> int | None:
-    folder = os.path.join(root, "folded")
+def _finished(spark: SparkSession, folder: str) -> dict[int, bool]:
+    """Numbers of the directories ``name=number`` below ``folder``, and whether each was written to its end."""
     if not path_exists(spark, folder):
-        return None
-    names = [os.path.basename(r["path"]) for r in list_prefix(spark, folder).filter("is_dir").collect()]
-    found = [int(n.split("=")[1]) for n in names if path_exists(spark, os.path.join(folder, n, "_SUCCESS"))]
-    return max(found, default=None)
-
-
-def _changes(spark: SparkSession, root: str) -> DataFrame:
-    """Rows with their batch number: the folded state, if any, and the batches after it."""
-    batches = spark.read.parquet(os.path.join(root, "changes")).withColumn("batch", F.col("batch").cast("bigint"))
-    upto = _folded_upto(spark, root)
-    if upto is None:
-        return batches
-    folded = spark.read.parquet(os.path.join(root, "folded", f"upto={upto}"))
-    return folded.unionByName(batches.filter(F.col("batch") > upto))
+        return {}
+    names = [os.path.basename(r["path"].rstrip("/")) for r in list_prefix(spark, folder).filter("is_dir").collect()]
+    return {int(n.split("=")[1]): path_exists(spark, os.path.join(folder, n, "_SUCCESS")) for n in names if "=" in n}
+
+
+def _folded_upto(spark: SparkSession, root: str) -> int | None:
+    return max((n for n, done in _finished(spark, os.path.join(root, "folded")).items() if done), default=None)
+
+
+def _changes(spark: SparkSession, root: str) -> tuple[DataFrame | None, int | None]:
+    """Rows with their batch number, and the last batch: the folded state, if any, and the batches after it.
+
+    Batches are taken up to the first unfinished one.
+    """
+    folder, upto = os.path.join(root, "changes"), _folded_upto(spark, root)
+    batches = {n: done for n, done in sorted(_finished(spark, folder).items()) if upto is None or n > upto}
+    ready = []
+    for n, done in batches.items():
+        if not done:
+            break
+        ready.append(n)
+    folded = None if upto is None else spark.read.parquet(os.path.join(root, "folded", f"upto={upto}"))
+    if not ready:
+        return folded, upto
+    paths = [os.path.join(folder, f"batch={n}") for n in ready]
+    rows = spark.read.option("basePath", folder).parquet(*paths).withColumn("batch", F.col("batch").cast("bigint"))
+    return (rows if folded is None else folded.unionByName(rows)), ready[-1]

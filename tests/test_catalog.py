@@ -150,3 +150,55 @@ def test_no_definitions_is_success(spark, tmp_path):
 def test_bad_format_name_is_refused(spark, tmp_path, database):
     with pytest.raises(ValueError):
         catalog.register_table(spark, definition(database, "t", tmp_path, format="parquet OPTIONS (x"))
+
+
+def test_layout_change_keeps_properties_and_shows_new_rows(spark, tmp_path):
+    from lakesteward.sources.catalog import table_location
+
+    name, root = f"layout_{tmp_path.name.replace('-', '_')}", str(tmp_path)
+    rows = spark.createDataFrame([(i, i % 2) for i in range(4)], "v INT, k INT")
+    publish_version(rows, name, root, partition_by=["k"])
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('owner_team' = 'lake')")
+    more = spark.createDataFrame([(i, i % 2) for i in range(10)], "v INT, k INT")
+    for layout in ([], ["k"], ["k"], []):
+        location = publish_version(more, name, root, partition_by=layout)
+        assert spark.table(name).count() == 10
+        assert location in table_location(spark, name)
+        assert [c.name for c in spark.catalog.listColumns(name) if c.isPartition] == layout
+        assert spark.sql(f"SHOW TBLPROPERTIES {name}").filter("key = 'owner_team'").first()["value"] == "lake"
+
+
+def test_old_entry_comes_back_when_creating_fails(spark, tmp_path, monkeypatch):
+    from lakesteward.sources import catalog
+
+    name, root = f"restored_{tmp_path.name.replace('-', '_')}", str(tmp_path)
+    publish_version(spark.createDataFrame([(1, 2)], "v INT, k INT"), name, root, partition_by=["k"])
+    real, calls = catalog.register_table, []
+
+    def failing(session, definition):
+        calls.append(definition)
+        if len(calls) == 1:
+            session.sql(f"DROP TABLE {name}")
+            raise RuntimeError("no catalog")
+        real(session, definition)
+
+    monkeypatch.setattr(catalog, "register_table", failing)
+    with pytest.raises(RuntimeError, match="no catalog"):
+        publish_version(spark.createDataFrame([(3, 4)], "v INT, k INT"), name, root)
+    assert [tuple(r) for r in spark.table(name).collect()] == [(1, 2)]
+
+
+def test_a_column_called_location(spark, tmp_path):
+    from lakesteward.sources.catalog import table_location
+
+    name = f"located_{tmp_path.name.replace('-', '_')}"
+    location = publish_version(spark.createDataFrame([("x", "y")], "Location STRING, Provider STRING"), name, str(tmp_path))
+    assert location in table_location(spark, name)
+
+
+def test_undeclared_stored_columns_are_drift(spark, tmp_path):
+    from lakesteward.sources.catalog import SchemaDrift, TableDefinition, register_table
+
+    spark.range(3).selectExpr("id", "id AS extra").write.parquet(str(tmp_path / "t"))
+    with pytest.raises(SchemaDrift, match="extra is stored but not declared"):
+        register_table(spark, TableDefinition("drifted", str(tmp_path / "t"), [("id", "bigint")]))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakesteward.operators.maintenance import compact, file_count_for, vacuum_execute, vacuum_plan
-from lakesteward.plans.clone import clone_prefixes, clone_table, remap
+from lakesteward.plans.clone import clone_prefixes, clone_table, remap, remove_others
 from lakesteward.plans.upkeep import compact_table, vacuum_tables
 from lakesteward.sources.catalog import table_location
 from lakesteward.sources.manifest import file_manifest
@@ -70,6 +70,51 @@ def test_clone_prefixes(spark, tmp_path):
         clone_prefixes(spark, str(src), str(src / "inside"))
 
 
+def test_clone_of_escaped_and_null_partitions(spark, tmp_path):
+    src, dst = tmp_path / "src", tmp_path / "dst"
+    rows = spark.createDataFrame([(1, "a:b"), (2, None), (3, "c"), (4, "a b")], "v INT, p STRING")
+    overwrite_sink(rows, str(src / "qa/gold/t"), partition_by=["p"])
+    chosen = ["qa/gold/t/p=a%3Ab", "qa/gold/t/p=__HIVE_DEFAULT_PARTITION__", "qa/gold/t/p=c", "qa/gold/t/p=c"]
+    assert clone_prefixes(spark, str(src), str(dst), chosen).first()["objects"] == 3
+    back = spark.read.schema("v INT, p STRING").parquet(str(dst / "local/gold/t"))
+    assert sorted(map(tuple, back.collect())) == [(1, "a:b"), (2, None), (3, "c")]
+
+
+def test_clone_merges_columns_and_refuses_table_logs(spark, tmp_path):
+    src = tmp_path / "src"
+    spark.createDataFrame([(1,)], "a INT").write.parquet(str(src / "qa/gold/t"))
+    spark.createDataFrame([(2, "x")], "a INT, b STRING").write.mode("append").parquet(str(src / "qa/gold/t"))
+    clone_prefixes(spark, str(src), str(tmp_path / "dst"), ["qa/gold"])
+    back = spark.read.parquet(str(tmp_path / "dst/local/gold/t"))
+    assert sorted(map(tuple, back.select("a", "b").collect())) == [(1, None), (2, "x")]
+    (src / "qa/gold/t/_delta_log").mkdir()
+    (src / "qa/gold/t/_delta_log/0.json").write_text("{}")
+    with pytest.raises(ValueError, match="transaction log"):
+        clone_prefixes(spark, str(src), str(tmp_path / "dst"), ["qa/gold"])
+    assert spark.read.parquet(str(tmp_path / "dst/local/gold/t")).count() == 2
+
+
+def test_removing_others_takes_thousands_of_tables(spark, tmp_path):
+    (tmp_path / "t1" / "k=1").mkdir(parents=True)
+    (tmp_path / "t1" / "k=1" / "x").write_text("x")
+    (tmp_path / "t10").mkdir()
+    (tmp_path / "t10" / "y").write_text("y")
+    remove_others(spark, str(tmp_path), [f"{tmp_path}/t1", *(f"{tmp_path}/u{i}" for i in range(2000))]).collect()
+    assert names(tmp_path) == {"t1/k=1/x"}
+
+
+def test_vacuum_refuses_roots_with_other_tables(spark, tmp_path):
+    suffix = os.path.basename(tmp_path).replace("-", "_")
+    first, second, root = f"vac_a_{suffix}", f"vac_b_{suffix}", str(tmp_path / "shared")
+    publish_version(spark.range(10), first, root)
+    publish_version(spark.range(20), second, root)
+    soon = datetime.now() + timedelta(days=1)
+    with pytest.raises(ValueError, match=second):
+        vacuum_tables(spark, {"vacuum_delta_tables": [first]}, root, soon, dry_run=False)
+    assert spark.table(second).count() == 20
+    assert vacuum_tables(spark, {"vacuum_delta_tables": [first, second]}, root, soon).isEmpty()
+
+
 @pytest.mark.parametrize("from_scan", [True, False])
 def test_compact_keeps_rows_and_splits_a_hot_value(spark, tmp_path, from_scan):
     # two thirds of the rows are copies of one row

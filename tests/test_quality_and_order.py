@@ -67,3 +67,17 @@ def test_ordinal_spreads_the_hot_value(spark):
         assert numbered.agg(F.count_distinct("idx")).first()[0] == 60000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_inputs_with_helper_names_keep_their_columns(spark):
+    from lakesteward.operators.maintenance import compact
+
+    rows = spark.createDataFrame([(i % 3, i, i, i, i, i) for i in range(20)], "k INT, _hash INT, _place INT, _row INT, _part INT, _offset INT")
+    expected = sorted(map(tuple, rows.collect()))
+    assert sorted(map(tuple, compact(rows, 3, ["k"]).collect())) == expected
+    assert sorted(map(tuple, ordering.priority_order(rows, "k", [2, 0]).collect())) == expected
+    numbered = ordering.ordinal_of_total(rows, ["k", "_hash"])
+    assert numbered.columns == [*rows.columns, "idx", "total"]
+    assert sorted(tuple(r)[:-2] for r in numbered.collect()) == expected
+    with pytest.raises(ValueError):
+        ordering.ordinal_of_total(rows.withColumn("idx", F.lit(1)), ["k"])

@@ -175,3 +175,39 @@ def test_upsert(spark):
         [(1, "a", 1.0, "keep"), (2, None, 2.0, "update"), (2, None, 2.5, "update"), (None, "n", 0.0, "keep"), (3, "C", None, "create")],
         key=str,
     )
+
+
+def test_upsert_of_repeated_keys_and_null_orders(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "k INT, v STRING")
+    twice = spark.createDataFrame([(1, "x", None), (1, "y", 3), (2, None, None), (3, "n", None)], "k INT, v STRING, at INT")
+    with pytest.raises(Exception, match="repeated update key"):
+        matching.upsert(base, twice, "k").collect()
+    got = matching.upsert(base, twice, "k", order="at").collect()
+    assert sorted(map(tuple, got)) == sorted([(1, "y", "update"), (2, None, "update"), (3, "n", "create")])
+
+
+def test_helper_names_do_not_clash(spark):
+    base = spark.createDataFrame([(1, "a", 5, 6)], "k INT, _u STRING, _n INT, _known INT")
+    updates = spark.createDataFrame([(1, "b", 7), (2, "c", 8)], "k INT, _u STRING, _n INT")
+    got = matching.upsert(base, updates, "k")
+    assert got.columns == ["k", "_u", "_n", "_known", "action"]
+    assert sorted(map(tuple, got.collect())) == [(1, "b", 7, 6, "update"), (2, "c", 8, None, "create")]
+    parents = matching.autoregister_parents(updates.withColumnRenamed("k", "_known"), base.select("_known", "_u"), "_known")
+    assert sorted(map(tuple, parents.collect()), key=str) == sorted([(6, "a"), (1, None), (2, None)], key=str)
+
+
+def test_a_recorded_cancel_counts(spark):
+    events = spark.createDataFrame(
+        [("a", 1, "RUNNING", None), ("a", 2, "CANCEL_PENDING", None), ("a", 3, None, 0), ("b", 1, "CANCEL_PENDING", None), ("c", 1, None, 0), ("c", 2, "CANCEL_PENDING", None)],
+        "run STRING, at INT, state STRING, rc INT",
+    )
+    folded = runs.fold_run_state(
+        events, ["run"], "at", F.col("state"), F.col("rc"), exited=F.col("rc").isNotNull(), cancel=F.lit(False)
+    )
+    assert {r["run"]: r["state"] for r in folded.collect()} == {"a": "CANCELLED", "b": "CANCEL_PENDING", "c": "COMPLETED"}
+
+
+def test_options_within_quotes_are_none(spark):
+    text = """--name "job --conf a=b" --conf c=d --conf=e='f g' --conf "h=i j" --conf"""
+    row = spark.createDataFrame([(text,)], "p STRING").select(fn.submit_conf(F.col("p")).alias("c")).first()
+    assert [(c["key"], c["value"]) for c in row["c"]] == [("c", "d"), ("e", "f g"), ("h", "i j")]

@@ -31,3 +31,20 @@ def test_states_are_kept_across_restarts(spark, tmp_path):
     arrive(("b", 7, "CANCELLED"))
     assert run() == {"a": ("COMPLETED", 3, 3), "b": ("CANCELLED", 7, 2), "c": ("FAILED", 5, 1)}
     assert fold_changes(spark, root, ["run"]) == 3
+
+
+def test_half_written_batches_are_left_out(spark, tmp_path):
+    root = str(tmp_path)
+
+    def batch(n, *rows):
+        spark.createDataFrame(list(rows), "run STRING, at BIGINT, state STRING, n BIGINT").coalesce(1).write.mode("overwrite").parquet(f"{root}/changes/batch={n}")
+
+    batch(0, ("a", 1, "RUNNING", 1))
+    batch(1, ("b", 1, "RUNNING", 1), ("c", 1, "FAILED", 1))
+    (tmp_path / "changes/batch=1/_SUCCESS").unlink()
+    batch(2, ("a", 9, "COMPLETED", 2))
+    assert {r["run"] for r in latest_snapshot(spark, root, ["run"]).collect()} == {"a"}
+    assert fold_changes(spark, root, ["run"]) == 0
+    batch(1, ("b", 1, "RUNNING", 1), ("c", 1, "FAILED", 1))
+    assert {r["run"]: r["state"] for r in latest_snapshot(spark, root, ["run"]).collect()} == {"a": "COMPLETED", "b": "RUNNING", "c": "FAILED"}
+    assert fold_changes(spark, root, ["run"]) == 2
