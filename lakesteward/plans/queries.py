@@ -26,7 +26,7 @@ from lakesteward.sources.basic import range_source, rows_source
 from lakesteward.sources.catalog import register_batch, table_location
 from lakesteward.sources.definitions import resolve_table_defs
 from lakesteward.sources.manifest import file_manifest, list_prefix
-from lakesteward.sources.run_records import read_run_logs, read_run_status, with_line_numbers
+from lakesteward.sources.run_records import read_run_logs, read_run_status
 from lakesteward.sources.sinks import overwrite_sink, publish_version, write_run_logs
 from lakesteward.streaming.latest import event_stream, latest_snapshot, stream_latest_state
 
@@ -426,8 +426,12 @@ def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("vc_id"), F.col("source").alias("jr_id"), F.lit("stdout").alias("stream"),
         "doc_id", F.posexplode(log_fn.split_lines(F.col("text"))).alias("pos", "line"),
     )
-    write_run_logs(split, path, ["doc_id", "pos"])
-    return with_line_numbers(read_run_logs(spark, path)).drop("stream")
+    # in two batches, the second of which goes on where the first ends
+    stored = saved(split, "split-lines")
+    half = (stored.agg(F.max("doc_id")).first()[0] or 0) // 2
+    write_run_logs(stored.filter(F.col("doc_id") <= half), path, ["doc_id", "pos"])
+    write_run_logs(stored.filter(F.col("doc_id") > half), path, ["doc_id", "pos"], mode="append")
+    return read_run_logs(spark, path, numbered=True).drop("stream")
 
 
 def offboard_report(spark: SparkSession, sf_dir: str) -> DataFrame:

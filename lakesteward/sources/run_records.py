@@ -7,11 +7,23 @@ from pyspark.sql import functions as F
 
 from lakesteward.functions.logs import decode_utf8_replace, split_at_line_ends
 from lakesteward.functions.runs import STATUS_SCHEMA
+from lakesteward.session import saved
 
 
 def read_run_status(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
-    """Run status records: pretty-printed, one per file, or (``False``) one JSON object per line."""
-    return spark.read.schema(STATUS_SCHEMA).option("multiLine", one_per_file).json(path)
+    """Run status records: pretty-printed, one per file, or (``False``) one JSON object per line.
+
+    A record that is broken or does not fit the fields fails the job when it is read; see
+    ``broken_run_status`` for which ones do.
+    """
+    return spark.read.schema(STATUS_SCHEMA).option("multiLine", one_per_file).option("mode", "FAILFAST").json(path)
+
+
+def broken_run_status(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """File and text of the records that ``read_run_status`` would fail on."""
+    reader = spark.read.schema(STATUS_SCHEMA + ", broken STRING").option("multiLine", one_per_file)
+    rows = reader.option("columnNameOfCorruptRecord", "broken").json(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), *rows.columns).filter("broken IS NOT NULL").select("file", "broken")
 
 
 # Fixed value: where the run API itself stores driver logs below a log destination.
@@ -19,14 +31,15 @@ DRIVER_LOG_PATH = r"([^/]+)/jobs/([^/]+)/containers/[^/]+/[^/]+/(stdout|stderr)\
 
 
 def read_run_logs(
-    spark: SparkSession, root: str, layout: str = "partitions", scope: Column | str | None = None
+    spark: SparkSession, root: str, layout: str = "partitions", scope: Column | str | None = None, numbered: bool = False
 ) -> DataFrame:
     """Log lines as (vc_id, jr_id, stream, position, line), read as a stream and never file by file.
 
-    ``position`` sorts the lines of one run and stream: part number, file, byte range and the
-    row's place in that range. Use ``with_line_numbers`` where a dense number is needed.
-    ``scope`` is a predicate on vc_id, jr_id and stream; given here it prunes directories, which a
-    filter on the result cannot, as rows are numbered in between. ``layout="driver"`` takes the ids from the path the run API writes its logs to.
+    ``position`` sorts the lines of one run and stream: batch, part number, file, byte range and the
+    row's place in that range. With ``numbered`` a dense 1-based ``line_no`` takes its place, which
+    a later filter leaves as it is. ``scope`` is a predicate on vc_id, jr_id and stream; given here
+    it prunes directories, which a filter on the result cannot, as rows are numbered in between.
+    ``layout="driver"`` takes the ids, unescaped, from the path the run API writes its logs to.
     """
     if layout == "partitions":
         raw = spark.read.schema("value STRING, vc_id STRING, jr_id STRING, stream STRING").text(root)
@@ -35,7 +48,8 @@ def read_run_logs(
         file_path = F.col("_metadata.file_path")
         raw = raw.withColumns(
             {
-                name: F.regexp_extract(file_path, DRIVER_LOG_PATH, i)
+                # a plus sign is itself in a path
+                name: F.url_decode(F.regexp_replace(F.regexp_extract(file_path, DRIVER_LOG_PATH, i), r"\+", "%2B"))
                 for i, name in enumerate(["vc_id", "jr_id", "stream"], start=1)
             }
         )
@@ -44,35 +58,36 @@ def read_run_logs(
     if scope is not None:
         raw = raw.filter(scope)
     part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).try_cast("bigint")
+    batch = F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/[^/]*$", 1).try_cast("bigint")
     placed = raw.select(
         "vc_id", "jr_id", "stream",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
+        F.coalesce(batch, F.lit(0).cast("bigint")).alias("batch"),
         F.coalesce(part, F.lit(0).cast("bigint")).alias("part"),
         F.explode(split_at_line_ends(decode_utf8_replace(F.col("value")))).alias("line"),
     )
-    return placed.select(
+    lines = placed.select(
         "vc_id", "jr_id", "stream",
-        F.struct("part", "file", "block", F.monotonically_increasing_id().alias("row")).alias("position"),
+        F.struct("batch", "part", "file", "block", F.monotonically_increasing_id().alias("row")).alias("position"),
         "line",
     )
+    return _with_line_numbers(lines) if numbered else lines
 
 
-def with_line_numbers(lines: DataFrame) -> DataFrame:
-    """Replace ``position`` by a dense 1-based ``line_no`` per run and stream.
+def _with_line_numbers(lines: DataFrame) -> DataFrame:
+    """Replace the ``position`` of all lines of the files read by a dense 1-based ``line_no`` per run and stream.
 
-    Only one row per file range is sorted; the lines are numbered by adding the range's offset,
-    so no run is ever gathered in one task.
+    Only one row per file range is sorted, and stored, so that its true size is known when the lines
+    are joined with it; the lines are numbered by adding the range's offset, so no run is ever
+    gathered in one task.
     """
-    chunk = ["vc_id", "jr_id", "stream", "part", "file", "block"]
+    chunk = ["vc_id", "jr_id", "stream", "batch", "part", "file", "block"]
     rows = lines.select("vc_id", "jr_id", "stream", "position.*", "line")
-    earlier = Window.partitionBy("vc_id", "jr_id", "stream").orderBy("part", "file", "block").rowsBetween(
+    earlier = Window.partitionBy("vc_id", "jr_id", "stream").orderBy("batch", "part", "file", "block").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    chunks = (
-        rows.groupBy(*chunk)
-        .agg(F.count("*").alias("n"), F.min("row").alias("first_row"))
-        .select("file", "block", "first_row", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    )
+    chunks = saved(rows.groupBy(*chunk).agg(F.count("*").alias("n"), F.min("row").alias("first_row")), "log-ranges")
+    offsets = chunks.select("file", "block", "first_row", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     number = (F.col("row") - F.col("first_row") + F.col("offset") + 1).alias("line_no")
-    return rows.join(chunks, ["file", "block"]).select("vc_id", "jr_id", "stream", number, "line")
+    return rows.join(offsets, ["file", "block"]).select("vc_id", "jr_id", "stream", number, "line")

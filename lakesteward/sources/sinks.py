@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame
@@ -83,20 +84,21 @@ LOG_PARTITIONS = ["vc_id", "jr_id", "stream"]
 def write_run_logs(
     lines: DataFrame, root: str, order: list[str] | None = None, mode: str = "overwrite"
 ) -> None:
-    """Gzip text below ``vc_id=/jr_id=/stream=`` from rows (vc_id, jr_id, stream, line_no, line).
+    """Gzip text below ``vc_id=/jr_id=/stream=/batch=`` from rows (vc_id, jr_id, stream, line_no, line).
 
     Range partitioning over the ids and the order keeps a run's lines in sequence while letting a
     huge run span many tasks: its part files are numbered in line order, which ``read_run_logs``
     relies on. Choosing the ranges evaluates the input once more, so save an expensive one first.
-    ``order`` names other columns than ``line_no`` to sequence the lines by.
+    ``order`` names other columns than ``line_no`` to sequence the lines by. The batch is the time of
+    the call in microseconds: with ``mode="append"`` the new lines come after all earlier ones.
     """
     keys = [*LOG_PARTITIONS, *(order or ["line_no"])]
     (
         lines.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .select(*LOG_PARTITIONS, F.col("line").alias("value"))
+        .select(*LOG_PARTITIONS, F.lit(time.time_ns() // 1000).alias("batch"), F.col("line").alias("value"))
         .write.mode(mode)
-        .partitionBy(*LOG_PARTITIONS)
+        .partitionBy(*LOG_PARTITIONS, "batch")
         .option("compression", "gzip")
         .text(root)
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lakesteward.functions import logs
 from lakesteward.operators.runs import failure_summary
-from lakesteward.sources.run_records import read_run_logs, with_line_numbers
+from lakesteward.sources.run_records import read_run_logs
 from lakesteward.sources.sinks import write_run_logs
 
 LINE_ENDS = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
@@ -97,8 +97,8 @@ def test_logs_round_trip_in_order_across_many_files(spark, tmp_path):
         write_run_logs(lines, str(tmp_path / "logs"))
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len(list((tmp_path / "logs").glob("vc_id=vc-1/jr_id=hot/stream=stderr/*.gz"))) > 1
-    back = with_line_numbers(read_run_logs(spark, str(tmp_path / "logs"))).collect()
+    assert len(list((tmp_path / "logs").glob("vc_id=vc-1/jr_id=hot/stream=stderr/*/*.gz"))) > 1
+    back = read_run_logs(spark, str(tmp_path / "logs"), numbered=True).collect()
     expected = {}
     for row in sorted(lines.collect(), key=lambda r: r["line_no"]):
         expected.setdefault(row["jr_id"], []).append(row["line"])
@@ -114,7 +114,7 @@ def test_driver_layout_and_raw_bytes(spark, tmp_path):
     (folder / "stderr.gz").write_bytes(gzip.compress(b"one\r\ntwo\rbad\xffbyte\n\nCaused by: z\n25/05/08 12:34:56 INFO x\n"))
     (folder / "stdout.gz").write_bytes(gzip.compress(b"fooError\n"))
     read = read_run_logs(spark, str(tmp_path), layout="driver", scope="stream = 'stderr'")
-    numbered = with_line_numbers(read).orderBy("line_no").collect()
+    numbered = read_run_logs(spark, str(tmp_path), layout="driver", scope="stream = 'stderr'", numbered=True).orderBy("line_no").collect()
     assert [r["line"] for r in numbered] == ["one", "two", "bad\ufffdbyte", "", "Caused by: z", "25/05/08 12:34:56 INFO x"]
     assert {(r["vc_id"], r["jr_id"], r["stream"]) for r in numbered} == {("vc-1", "jr-9", "stderr")}
     assert failure_summary(read).first()["summary"] == "Caused by: z"
@@ -132,8 +132,33 @@ def test_uncompressed_log_read_in_several_ranges(spark, tmp_path):
     try:
         read = read_run_logs(spark, str(tmp_path))
         assert read.rdd.getNumPartitions() > 2
-        got = with_line_numbers(read).orderBy("line_no").collect()
+        got = read_run_logs(spark, str(tmp_path), numbered=True).orderBy("line_no").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r["line"] for r in got] == texts
     assert got[0]["line_no"] == 1 and got[-1]["line_no"] == len(texts) and got[0]["jr_id"] == "007"
+
+
+def test_appended_lines_follow_and_filtered_ones_keep_their_numbers(spark, tmp_path):
+    def lines(label, n):
+        return spark.range(n).selectExpr("'v c+%' AS vc_id", "'j' AS jr_id", "'stderr' AS stream", "id AS line_no", f"concat('{label}', id, 'Error') AS line").repartition(3)
+
+    root = str(tmp_path / "logs")
+    write_run_logs(lines("L", 30), root)
+    write_run_logs(lines("M", 5), root, mode="append")
+    read = read_run_logs(spark, root, numbered=True)
+    expected = [f"L{i}Error" for i in range(30)] + [f"M{i}Error" for i in range(5)]
+    assert [(r["line_no"], r["line"], r["vc_id"]) for r in read.orderBy("line_no").collect()] == [(i, x, "v c+%") for i, x in enumerate(expected, 1)]
+    assert [(r["line_no"], r["line"]) for r in read.filter("line LIKE '%9Error'").orderBy("line_no").collect()] == [(10, "L9Error"), (20, "L19Error"), (30, "L29Error")]
+    assert failure_summary(read_run_logs(spark, root)).first()["summary"] == "M4Error"
+    folder = tmp_path / "driver" / "v%20c+1" / "jobs" / "j" / "containers" / "spark-j" / "spark-j-driver"
+    folder.mkdir(parents=True)
+    (folder / "stderr.gz").write_bytes(gzip.compress(b"x\n"))
+    assert read_run_logs(spark, str(tmp_path / "driver"), layout="driver").first()["vc_id"] in ("v c+1", "v%20c+1")
+
+
+def test_numbering_moves_no_line(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("'a' AS vc_id", "'j' AS jr_id", "'stderr' AS stream", "id AS line_no", "repeat(cast(id as string), 50) AS line")
+    write_run_logs(rows, str(tmp_path / "logs"))
+    plan = read_run_logs(spark, str(tmp_path / "logs"), numbered=True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
