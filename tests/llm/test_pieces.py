@@ -22,7 +22,7 @@ def vocabulary():
 
 def pretokens(text, vocabulary):
     data = np.frombuffer(text.encode(), np.uint8)
-    found = PreTokens(data, np.array([0, len(data)]), vocabulary.lone, Powers())
+    found = PreTokens(data, np.array([0, len(data)]), vocabulary.joined, Powers())
     return [found.text(i) for i in range(len(found.starts))]
 
 
@@ -48,6 +48,14 @@ def test_pretokens_put_together_are_the_text(vocabulary):
         assert "".join(pretokens(text, vocabulary)) == " " + text
     assert pretokens("", vocabulary) == []
     assert pretokens("a  b\n c", vocabulary) == [" a", "  b", "\n", " c"]
+    # no piece goes from one pre-token into the next
+    pieces = set(vocabulary.ids)
+    for text in TEXTS:
+        parts, at = pretokens(text, vocabulary), 0
+        for part in parts[:-1]:
+            at += len(part)
+            whole = " " + text
+            assert not any(whole[a:b] in pieces for a in range(max(0, at - 16), at) for b in range(at + 1, min(len(whole), at + 16) + 1))
 
 
 def test_counts_against_plain_dynamic_programming(spark, documents, vocabulary, sf_dir):

@@ -1,5 +1,3 @@
-import zlib
-
 import corpus_pipeline
 from lakesteward.llm.compression import quality_scores
 from lakesteward.llm.contamination import leaks
@@ -26,7 +24,6 @@ def test_whole_run(spark, sf_dir):
     found = corpus_pipeline.run(spark, sf_dir).collect()
     ids = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert 0 < len(found) < len(ids) and {r["doc_id"] for r in found} <= ids and all(r["lossless"] for r in found)
-    assert zlib.crc32(b"1") % 5 is not None
 
 
 def test_empty_and_odd_documents_go_through(spark, sf_dir, documents, tmp_path):
