@@ -20,6 +20,21 @@ STATUS_SCHEMA = (
     "stdoutLocal STRING, stderrLocal STRING"
 )
 
+# The records of job runs and of clusters as the run API gives them.
+RUN_SCHEMA = (
+    "id STRING, name STRING, virtualClusterId STRING, arn STRING, state STRING, clientToken STRING, "
+    "executionRoleArn STRING, releaseLabel STRING, "
+    "configurationOverrides STRUCT<monitoringConfiguration: STRUCT<s3MonitoringConfiguration: STRUCT<logUri: STRING>>>, "
+    "jobDriver STRUCT<sparkSubmitJobDriver: STRUCT<entryPoint: STRING, sparkSubmitParameters: STRING, "
+    "entryPointArguments: ARRAY<STRING>>>, tags MAP<STRING, STRING>, createdAt DOUBLE, createdBy STRING, "
+    "finishedAt DOUBLE, stateDetails STRING, failureReason STRING"
+)
+CLUSTER_SCHEMA = (
+    "id STRING, name STRING, arn STRING, state STRING, "
+    "containerProvider STRUCT<id: STRING, type: STRING, info: STRUCT<eksInfo: STRUCT<namespace: STRING>>>, "
+    "createdAt DOUBLE, tags MAP<STRING, STRING>"
+)
+
 
 def is_terminal(state: Column) -> Column:
     return state.isin(TERMINAL_STATES)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from lakesteward.functions.logs import is_cause_line, strip_line
-from lakesteward.functions.runs import RUN_STATES, TERMINAL_STATES, duration_s
+from lakesteward.functions.names import spare_names
+from lakesteward.functions.runs import RUN_STATES, TERMINAL_STATES, duration_s, failure_reason, is_terminal, state_details
 
 
 _FIXED_WIDTH = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
@@ -124,3 +125,47 @@ def fold_run_state(
         .otherwise(F.get(name, F.coalesce("ended_as", "reported", F.lit(1)) - 1))
     )
     return folded.select(*key, final.alias("state"))
+
+
+def finalised_runs(
+    runs: DataFrame,
+    events: DataFrame,
+    lines: DataFrame,
+    key: list[str],
+    order: str,
+    state: Column,
+    exit_code: Column,
+    exited: Column,
+    cancel: Column,
+    line_order: str = "position",
+    stdout: str = "stdout",
+    stderr: str = "stderr",
+) -> DataFrame:
+    """One row per run: its key, state, exit code, end, summary, details and reason.
+
+    ``runs`` has the key and the places of both outputs, ``events`` what ``fold_run_state`` takes,
+    ``lines`` the log lines. A run without events is PENDING; one without logs has an empty summary.
+    ``finished`` is the ``order`` of its end. Details are given once the state is terminal.
+    """
+    folded = fold_run_state(events, key, order, state, exit_code, exited, cancel)
+    over = F.when(F.coalesce(exited, F.lit(False)), F.col(order))
+    ends = events.groupBy(*key).agg(F.min_by(exit_code, over).alias("exit_code"), F.min(over).alias("finished"))
+    summaries = failure_summary(lines, run_key=key, order=line_order)
+    joined = runs.select(*key, stdout, stderr).join(folded, key, "left").join(ends, key, "left").join(summaries, key, "left")
+    current = F.coalesce("state", F.lit(RUN_STATES[0]))
+    summary = F.coalesce("summary", F.lit(""))
+    details = F.when(is_terminal(current), state_details(current, F.col("exit_code"), summary, F.col(stdout), F.col(stderr)))
+    return joined.select(
+        *key, current.alias("state"), "exit_code", "finished", summary.alias("summary"), details.alias("details"),
+        failure_reason(current, F.col("exit_code")).alias("reason"),
+    )
+
+
+def first_of_token(runs: DataFrame, token: str = "clientToken", order: str = "createdAt") -> DataFrame:
+    """Runs without those that repeat the non-empty client token of an earlier one of their cluster."""
+    taken = F.nullif(F.col(token), F.lit(""))
+    (first,) = spare_names(runs.columns, "_first")
+    keys = ["virtualClusterId", token]
+    firsts = runs.filter(taken.isNotNull()).groupBy(*keys).agg(F.min(F.struct(order, "id")).alias(first))
+    joined = runs.join(firsts, keys, "left")
+    return joined.filter(F.col(first).isNull() | (F.struct(order, "id") == F.col(first))).select(*runs.columns)

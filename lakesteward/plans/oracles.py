@@ -267,4 +267,43 @@ ORACLES: dict[str, str] = {
         SELECT c_custkey, c_mktsegment, row_number() OVER (
           ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN 'BUILDING' THEN 1 ELSE 2 END, c_custkey) AS place
         FROM customer""",
+    "q47_finalised_runs": f"""
+        {_LOG_LINES},
+        m AS (SELECT user_id, day, arg_max(line, event_id) AS summary FROM l
+              WHERE user_id % 2 = 0 AND {_IS_CAUSE} GROUP BY ALL),
+        e AS (
+          SELECT user_id, CAST(ts AS DATE) AS day,
+                 min(event_id) FILTER (event_type IN ('purchase', 'error')) AS end_at,
+                 arg_min(event_type, event_id) FILTER (event_type IN ('purchase', 'error')) AS ended,
+                 min(event_id) FILTER (event_type = 'click') AS cancel_at,
+                 arg_max(event_type, event_id) FILTER (event_type IN ('signup', 'view')) AS reported
+          FROM events GROUP BY ALL),
+        s AS (
+          SELECT user_id, day, end_at AS finished, coalesce(summary, '') AS summary,
+                 CASE ended WHEN 'purchase' THEN 0 WHEN 'error' THEN 1 END AS exit_code,
+                 '/var/logs/' || user_id || '-' || day || '/' AS place,
+                 CASE WHEN cancel_at IS NOT NULL AND end_at IS NULL THEN 'CANCEL_PENDING'
+                      WHEN cancel_at < end_at THEN 'CANCELLED'
+                      WHEN ended = 'purchase' THEN 'COMPLETED'
+                      WHEN ended = 'error' THEN 'FAILED'
+                      WHEN reported = 'signup' THEN 'SUBMITTED'
+                      ELSE 'RUNNING' END AS state
+          FROM e LEFT JOIN m USING (user_id, day))
+        SELECT user_id, day, state, exit_code, finished, summary,
+               CASE state WHEN 'COMPLETED' THEN 'stdout: ' || place || 'stdout.log'
+                    WHEN 'CANCELLED' THEN 'cancelled. stdout: ' || place || 'stdout.log'
+                    WHEN 'FAILED' THEN 'spark-submit exit ' || exit_code || ': '
+                         || CASE WHEN summary = '' THEN '(no exception summary in stderr; see stderr.gz for context)'
+                                 ELSE summary END || chr(10)
+                         || 'stdout: ' || place || 'stdout.log' || chr(10) || 'stderr: ' || place || 'stderr.log'
+               END AS details,
+               CASE WHEN state = 'FAILED' THEN 'USER_ERROR: spark-submit exit ' || exit_code END AS reason
+        FROM s""",
+    "q48_job_run_records": """
+        WITH o AS (
+          SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, 'jr-' || o_orderkey) AS n FROM orders)
+        SELECT 'jr-' || o_orderkey AS id, 'vc-' || o_custkey % 10 AS "virtualClusterId",
+               CASE WHEN o_orderstatus = 'F' THEN 's3://logs' END AS log_uri, o_orderstatus AS option,
+               o_orderstatus AS tag, CAST(epoch(o_orderdate) AS DOUBLE) AS "createdAt"
+        FROM o WHERE o_custkey % 3 = 0 OR n = 1""",
 }

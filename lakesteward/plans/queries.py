@@ -26,7 +26,7 @@ from lakesteward.sources.basic import range_source, rows_source
 from lakesteward.sources.catalog import register_batch, table_location
 from lakesteward.sources.definitions import resolve_table_defs
 from lakesteward.sources.manifest import file_manifest, list_prefix
-from lakesteward.sources.run_records import read_run_logs, read_run_status
+from lakesteward.sources.run_records import read_job_runs, read_run_logs, read_run_status
 from lakesteward.sources.sinks import overwrite_sink, publish_version, write_run_logs
 from lakesteward.streaming.latest import event_stream, latest_snapshot, stream_latest_state
 
@@ -248,6 +248,51 @@ def run_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def finalised_run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' days as runs; those of odd users have no logs."""
+    kind = F.col("event_type")
+    events = run_events(spark, sf_dir)
+    place = F.concat(F.lit("/var/logs/"), F.col("user_id"), F.lit("-"), F.col("day"))
+    listed = events.select(*RUN).distinct().select(
+        *RUN, F.concat(place, F.lit("/stdout.log")).alias("stdout"), F.concat(place, F.lit("/stderr.log")).alias("stderr")
+    )
+    lines = _log_lines(spark, sf_dir).filter("user_id % 2 = 0")
+    return runs.finalised_runs(
+        listed, events, lines, RUN, "event_id",
+        state=F.when(kind == "signup", "SUBMITTED").when(kind == "view", "RUNNING").when(
+            (kind == "click") & (F.col("event_id") % 2 == 0), "CANCEL_PENDING"
+        ),
+        exit_code=F.when(kind == "purchase", 0).when(kind == "error", 1),
+        exited=kind.isin("purchase", "error"),
+        cancel=(kind == "click") & (F.col("event_id") % 2 == 1),
+        line_order="event_id",
+    )
+
+
+def job_run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as job-run records, written as JSON and read back; customers repeat client tokens."""
+    path = workspace(spark, "job-runs")
+    order = table(spark, sf_dir, "orders")
+    at = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double")
+    record = F.struct(
+        F.concat(F.lit("jr-"), F.col("o_orderkey")).alias("id"), F.col("o_orderpriority").alias("name"),
+        F.concat(F.lit("vc-"), F.col("o_custkey") % 10).alias("virtualClusterId"),
+        F.when(F.col("o_custkey") % 3 > 0, F.concat(F.lit("tok-"), F.col("o_custkey"))).otherwise("").alias("clientToken"),
+        F.struct(F.struct(F.struct(F.when(F.col("o_orderstatus") == "F", "s3://logs").alias("logUri")).alias("s3MonitoringConfiguration"))
+                 .alias("monitoringConfiguration")).alias("configurationOverrides"),
+        F.struct(F.struct(F.lit("s3://jobs/main.py").alias("entryPoint"), F.concat(F.lit("--conf a="), F.col("o_orderstatus")).alias("sparkSubmitParameters"))
+                 .alias("sparkSubmitJobDriver")).alias("jobDriver"),
+        F.create_map(F.lit("status"), F.col("o_orderstatus")).alias("tags"), at.alias("createdAt"),
+    )
+    order.select(F.to_json(record).alias("value")).write.option("compression", "gzip").text(path)
+    records = runs.first_of_token(read_job_runs(spark, path))
+    option = run_fn.submit_conf(F.col("jobDriver.sparkSubmitJobDriver.sparkSubmitParameters"))[0]["value"]
+    return records.select(
+        "id", "virtualClusterId", run_fn.log_uri(F.col("configurationOverrides")).alias("log_uri"),
+        option.alias("option"), F.col("tags")["status"].alias("tag"), "createdAt",
+    )
+
+
 def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, number = F.col("event_type"), F.col("event_id").cast("string")
     line = (
@@ -605,4 +650,6 @@ QUERIES: dict[str, Query] = {
     "q44_text_lines": text_lines,
     "q45_vacuumed_rows": vacuumed_rows,
     "q46_priority_sorted": priority_sorted,
+    "q47_finalised_runs": finalised_run_table,
+    "q48_job_run_records": job_run_records,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesteward.functions.logs import decode_utf8_replace, split_at_line_ends
-from lakesteward.functions.runs import STATUS_SCHEMA
+from lakesteward.functions.runs import CLUSTER_SCHEMA, RUN_SCHEMA, STATUS_SCHEMA
 from lakesteward.session import saved
 
 
@@ -19,6 +19,16 @@ def read_run_status(spark: SparkSession, path: str, one_per_file: bool = True) -
     return spark.read.schema(STATUS_SCHEMA).option("multiLine", one_per_file).option("mode", "FAILFAST").json(path)
 
 
+def read_job_runs(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """Job-run records as JSON, one per line or per file, with all their fields; a broken one fails the job."""
+    return spark.read.schema(RUN_SCHEMA).option("multiLine", one_per_file).option("mode", "FAILFAST").json(path)
+
+
+def read_clusters(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """Cluster records as JSON, one per line or per file; a broken one fails the job."""
+    return spark.read.schema(CLUSTER_SCHEMA).option("multiLine", one_per_file).option("mode", "FAILFAST").json(path)
+
+
 def broken_run_status(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
     """File and text of the records that ``read_run_status`` would fail on."""
     reader = spark.read.schema(STATUS_SCHEMA + ", broken STRING").option("multiLine", one_per_file)

@@ -211,3 +211,41 @@ def test_options_within_quotes_are_none(spark):
     text = """--name "job --conf a=b" --conf c=d --conf=e='f g' --conf "h=i j" --conf"""
     row = spark.createDataFrame([(text,)], "p STRING").select(fn.submit_conf(F.col("p")).alias("c")).first()
     assert [(c["key"], c["value"]) for c in row["c"]] == [("c", "d"), ("e", "f g"), ("h", "i j")]
+
+
+def test_job_run_and_cluster_records(spark, tmp_path):
+    from lakesteward.sources.run_records import broken_run_status, read_clusters, read_job_runs
+
+    run = {
+        "id": "jr-1", "virtualClusterId": "vc-1", "clientToken": "t", "createdAt": 1.5, "tags": {"a": "b"},
+        "configurationOverrides": {"monitoringConfiguration": {"s3MonitoringConfiguration": {"logUri": "s3://l"}}},
+        "jobDriver": {"sparkSubmitJobDriver": {"entryPoint": "m.py", "entryPointArguments": ["x", "y"]}},
+    }
+    (tmp_path / "runs.json").write_text("\n".join(json.dumps(r) for r in (run, {**run, "id": "jr-2", "createdAt": 2.5}, {**run, "id": "jr-3", "clientToken": ""}, {"id": "jr-4"})))
+    read = read_job_runs(spark, str(tmp_path / "runs.json"))
+    assert len(read.columns) == 16
+    first = read.filter("id = 'jr-1'").select(fn.log_uri(F.col("configurationOverrides")), "jobDriver.sparkSubmitJobDriver.entryPointArguments", "tags").first()
+    assert tuple(first) == ("s3://l", ["x", "y"], {"a": "b"})
+    assert sorted(r["id"] for r in runs.first_of_token(read).collect()) == ["jr-1", "jr-3", "jr-4"]
+    cluster = {"id": "vc-1", "name": "n", "state": "RUNNING", "createdAt": 1.0, "containerProvider": {"id": "c", "type": "EKS", "info": {"eksInfo": {"namespace": "ns"}}}}
+    (tmp_path / "cluster.json").write_text(json.dumps(cluster, indent=1))
+    assert read_clusters(spark, str(tmp_path / "cluster.json"), one_per_file=True).select("containerProvider.info.eksInfo.namespace").first()[0] == "ns"
+    (tmp_path / "status").mkdir()
+    (tmp_path / "status" / "good.json").write_text('{"id": "a", "exitCode": 1}\n')
+    (tmp_path / "status" / "bad.json").write_text('{"id": "a", "exitCode": "x"}\n{"id"')
+    assert broken_run_status(spark, str(tmp_path / "status"), one_per_file=False).count() == 2
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_run_status(spark, str(tmp_path / "status"), one_per_file=False).collect()
+
+
+def test_finalised_runs_keep_runs_without_events_or_logs(spark):
+    listed = spark.createDataFrame([("a", "o", "e"), ("b", "o", "e"), ("c", "o", "e")], "run STRING, stdout STRING, stderr STRING")
+    events = spark.createDataFrame([("a", 1, "RUNNING", None), ("a", 2, None, 3), ("b", 1, None, 0)], "run STRING, at INT, state STRING, rc INT")
+    lines = spark.createDataFrame([("a", 1, "x.YError: z")], "run STRING, position INT, line STRING")
+    got = runs.finalised_runs(
+        listed, events, lines, ["run"], "at", F.col("state"), F.col("rc"), exited=F.col("rc").isNotNull(), cancel=F.lit(False)
+    )
+    rows = {r["run"]: tuple(r)[1:] for r in got.collect()}
+    assert rows["a"] == ("FAILED", 3, 2, "x.YError: z", "spark-submit exit 3: x.YError: z\nstdout: o\nstderr: e", "USER_ERROR: spark-submit exit 3")
+    assert rows["b"] == ("COMPLETED", 0, 1, "", "stdout: o", None)
+    assert rows["c"] == ("PENDING", None, None, "", None, None)
