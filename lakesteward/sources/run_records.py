@@ -33,8 +33,8 @@ def broken_run_status(spark: SparkSession, path: str, one_per_file: bool = True)
     """File and text of the records that ``read_run_status`` would fail on."""
     reader = spark.read.schema(STATUS_SCHEMA + ", broken STRING").option("multiLine", one_per_file)
     rows = reader.option("columnNameOfCorruptRecord", "broken").json(path)
-    # Spark does not answer queries that ask for the broken texts alone from the files themselves
-    parsed = saved(rows.select(F.col("_metadata.file_path").alias("file"), "id", "broken"), "run-status")
+    # all fields are stored: one that is not asked for is not parsed, and so never broken
+    parsed = saved(rows.select(F.col("_metadata.file_path").alias("file"), *rows.columns), "run-status")
     return parsed.filter("broken IS NOT NULL").select("file", "broken")
 
 
