@@ -6,7 +6,8 @@ rarest ones, so an item that is itself widespread keeps seeds. Every place where
 seed is aligned, word by word, with the item around it; the local alignment's score over the item's
 length tells exact, edited and paraphrased copies from chance.
 
-The items are taken in blocks of bounded size, each sent to the tasks for two passes over the
+Words are compared in lower case and without punctuation marks, on both sides; a word of marks alone
+is none, and places count the others. The items are taken in blocks of bounded size, each sent to the tasks for two passes over the
 documents. No text is shuffled.
 """
 
@@ -16,9 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakesteward.functions.names import spare_names
 from lakesteward.llm.common import text_column, text_slices
 from lakesteward.llm.words import Powers, Words
 
@@ -32,9 +34,17 @@ THRESHOLD = 0.5
 LEAST_SCORE = 6
 BLOCK_BYTES = 4 << 20
 
+#: marks that words are compared without
+MARKS = ".,;:!?\"'()[]{}<>*#$%&|"
+
 HITS = "doc_id BIGINT, item_id BIGINT, score DOUBLE, first_word INT, last_word INT, points INT"
 
 
+def plain_text(name: str = "text") -> Column:
+    """The text in lower case, in any script, and without marks; null as empty."""
+    return F.translate(F.lower(text_column(name)), MARKS, "")
+
+
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Best local score, and the first and last passage word of that alignment (the leftmost end on a tie)."""
     width = len(passage)
@@ -192,15 +202,18 @@ def block_hits(texts: DataFrame, block: Block, n: int, threshold: float) -> Data
 def without_hits(docs: DataFrame, block: Block, n: int, threshold: float) -> DataFrame:
     """The rows of ``docs`` that hold no item of the block."""
 
+    names = docs.columns
+    (plain,) = spare_names(names, "plain")
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             kept = np.ones(batch.num_rows, bool)
-            for d, *_ in _aligned(batch["text"], block, n, threshold, powers):
+            for d, *_ in _aligned(batch[plain], block, n, threshold, powers):
                 kept[d] = False
-            yield batch.filter(pa.array(kept))
+            yield pa.RecordBatch.from_arrays([batch[c] for c in names], names).filter(pa.array(kept))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.withColumn(plain, plain_text()).mapInArrow(clean, docs.schema)
 
 
 def item_blocks(items: DataFrame, n: int, block_bytes: int) -> Iterator[Block]:
@@ -208,7 +221,7 @@ def item_blocks(items: DataFrame, n: int, block_bytes: int) -> Iterator[Block]:
     ids: list[int] = []
     texts: list[str] = []
     held = 0
-    rows = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint"), "text")
+    rows = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint"), plain_text())
     for item_id, text in rows.distinct().toLocalIterator():
         ids.append(item_id)
         texts.append(text)
@@ -225,7 +238,7 @@ def prepared_blocks(docs: DataFrame, items: DataFrame, n: int, share: float, lea
     documents = None
     for block in item_blocks(items, n, block_bytes):
         documents = docs.count() if documents is None else documents
-        block.choose(seed_frequencies(docs, block, n), documents, share, least)
+        block.choose(seed_frequencies(docs.select(plain_text().alias("text")), block, n), documents, share, least)
         yield block
 
 
@@ -240,9 +253,9 @@ def leaks(
     out, as are those without id or text. A null text holds nothing; repeated rows are reported
     each; other columns are ignored; without items, no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_text().alias("text"))
     found = None
-    for block in prepared_blocks(texts, items, n, share, least, block_bytes):
+    for block in prepared_blocks(docs, items, n, share, least, block_bytes):
         hits = block_hits(texts, block, n, threshold)
         found = hits if found is None else found.unionByName(hits)
     return docs.sparkSession.createDataFrame([], HITS) if found is None else found

@@ -52,6 +52,13 @@ def test_exact_edited_and_partial_copies(spark, documents, items, words):
     assert sorted(r["doc_id"] for r in kept.collect()) == [6, 7, 8, 9]
 
 
+def test_case_and_marks_do_not_matter(spark, documents):
+    item = "La Éai éonleeau pour an, éonqueê aivi ai. Éenaitreoiaux éoiré anvitre"
+    items = spark.createDataFrame([(7, item, "fr")], ITEM)
+    rows = [(1, "!! ".join(item.upper().split()) + "!!"), (2, "tout autre chose, vraiment pas cela du tout")]
+    assert [(r["doc_id"], r["item_id"], r["score"]) for r in leaks(documents(rows), items).collect()] == [(1, 7, 1.0)]
+
+
 def test_widespread_item_is_still_found(spark, documents, items, words):
     item = " ".join(words(40, 102))
     rows = [(i, " ".join(words(60, 1000 + i)) + (" " + item if i % 3 == 0 else "")) for i in range(90)]
