@@ -35,9 +35,9 @@ EMPTY = 0xFFFF
 #: estimated Jaccard index from which two documents are candidates, and from which one stands for the other
 EDGE, CLOSE = 0.55, 0.9
 #: rows of a band key, and documents of a candidate component, that one task handles
-HOT_ROWS, HOT_DOCUMENTS = 50_000, 4_000
-#: shingles of the leaders that are sent to all tasks at once
-LEADER_SHINGLES = 2_000_000
+HOT_ROWS, HOT_DOCUMENTS = 50_000, 10_000
+#: leaders, and shingles of theirs, that are sent to all tasks at once
+LEADERS, LEADER_SHINGLES = 1024, 2_000_000
 
 SKETCHES = "doc_id BIGINT, text_key BIGINT, n_shingles BIGINT, set_a BIGINT, set_b BIGINT, sketch BINARY"
 
@@ -252,8 +252,16 @@ def linked_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """
     label = np.arange(len(sets))
     sizes = np.array([len(s) for s in sets])
-    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    begin = np.r_[0, np.cumsum(sizes)]
+    values, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # a shingle of one set alone is in no intersection; counts fit 32 bits
+    shared_id = times > 1
+    kept = shared_id[ids]
+    place = np.cumsum(shared_id) - 1
+    owner = np.repeat(np.arange(len(sets)), sizes)[kept]
+    ids = place[ids[kept]].astype(np.int32)
+    begin = np.searchsorted(owner, np.arange(len(sets) + 1))
+    filled = np.flatnonzero(np.diff(begin))
+    own = np.zeros(int(shared_id.sum()), np.int32)
     tried = np.zeros(len(sets), bool)
     while True:
         largest = np.bincount(label).argmax()
@@ -262,11 +270,16 @@ def linked_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
             return label
         turn = int(rest[0])
         tried[turn] = True
-        own = np.zeros(len(values), bool)
-        own[ids[begin[turn] : begin[turn + 1]]] = True
-        shared = np.add.reduceat(own[ids].astype(np.int64), begin[:-1])
+        mine = ids[begin[turn] : begin[turn + 1]]
+        own[mine] = 1
+        shared = np.zeros(len(sets), np.int64)
+        if len(filled):
+            shared[filled] = np.add.reduceat(own[ids], begin[filled])
+        own[mine] = 0
+        shared[turn] = sizes[turn]
         joined = np.unique(label[100 * shared >= percent * (sizes + sizes[turn] - shared)])
-        label[np.isin(label, joined)] = joined[0]
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
 
 
 def _exact_groups(percent: int):
@@ -327,7 +340,7 @@ def hot_links(sets: DataFrame, percent: int) -> DataFrame:
         largest = sizes.groupBy("component").agg(F.max_by("label", F.struct("members", "label")).alias("top"))
         rest = state.join(largest, "component").filter("label <> top").join(tried, "row", "left_anti")
         picked, spent = [], 0
-        for r in rest.orderBy(F.xxhash64("row"), "row").limit(256).collect():
+        for r in rest.orderBy(F.xxhash64("row"), "row").limit(LEADERS).collect():
             if picked and spent + r["n"] > LEADER_SHINGLES:
                 break
             picked.append(r["row"])
