@@ -1,8 +1,8 @@
 """Pre-tokens and the lattice of a piece vocabulary, as a trie that texts of a task share.
 
-A text gets one space in front. A pre-token is a run of spaces and the run of other characters that
-follows; an ASCII character that is in no piece stands alone. No piece crosses such a border, so
-pre-tokens can be segmented one by one. Spaces stand for the vocabulary's space mark, and the mark
+A text gets one space in front. A new pre-token begins wherever two neighbouring characters are
+neighbours in no piece, as before a space that follows another character. No piece crosses such a
+border, so pre-tokens can be segmented one by one. Spaces stand for the vocabulary's space mark, and the mark
 itself, like every character without a piece, is written as its bytes, so nothing gets lost.
 """
 
@@ -25,13 +25,18 @@ class Vocabulary:
     ids: dict[str, int]
     scores: dict[int, float]
     byte_ids: list[int]
-    suffixes: frozenset[str] = field(repr=False)
+    #: every suffix of a piece; its id, or -1 if it is no piece itself
+    suffixes: dict[str, int] = field(repr=False)
 
     @property
-    def lone(self) -> np.ndarray:
-        """Whether a byte value is an ASCII character that occurs in no piece."""
-        used = set("".join(self.ids).encode())
-        return np.array([b < 128 and b not in used for b in range(256)])
+    def joined(self) -> np.ndarray:
+        """Whether a byte follows a byte in some piece, at 256 * first + second; within a character it always does."""
+        table = np.zeros(65536, bool)
+        for piece in self.ids:
+            b = np.frombuffer(piece.encode(), np.uint8).astype(np.int64)
+            table[256 * b[:-1] + b[1:]] = True
+        second = np.arange(65536) % 256
+        return table | ((second >= 128) & (second < 192))
 
 
 def load_vocabulary(path: str = DEFAULT_MODEL) -> Vocabulary:
@@ -48,17 +53,16 @@ def load_vocabulary(path: str = DEFAULT_MODEL) -> Vocabulary:
             ids[piece], scores[i] = i, model.get_score(i)
     if -1 in byte_ids:
         raise ValueError("the model has no token for some byte")
-    return Vocabulary(ids, scores, byte_ids, frozenset(p[i:] for p in ids for i in range(len(p))))
+    return Vocabulary(ids, scores, byte_ids, {p[i:]: ids.get(p[i:], -1) for p in ids for i in range(len(p))})
 
 
 def pieces_ending(vocabulary: Vocabulary, text: str, end: int) -> list[tuple[int, int]]:
     """Start and id of every piece that ends at ``end``, shortest first; (end - 1, -1) if no piece is the last character."""
     found = []
-    ids, suffixes = vocabulary.ids, vocabulary.suffixes
+    suffixes = vocabulary.suffixes
     start = end - 1
-    while start >= 0 and (part := text[start:end]) in suffixes:
-        piece = ids.get(part)
-        if piece is not None:
+    while start >= 0 and (piece := suffixes.get(text[start:end])) is not None:
+        if piece >= 0:
             found.append((start, piece))
         start -= 1
     if not found or found[0][0] != end - 1:
@@ -69,7 +73,7 @@ def pieces_ending(vocabulary: Vocabulary, text: str, end: int) -> list[tuple[int
 class PreTokens:
     """Pre-tokens of a slice of texts: ``data`` (with the spaces in front), ``starts``, ``ends``, ``first`` of each text, ``hashes``."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lone: np.ndarray, powers: Powers) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, joined: np.ndarray, powers: Powers) -> None:
         lengths = np.diff(offsets)
         filled = lengths > 0
         self.offsets = offsets + np.r_[0, np.cumsum(filled)]
@@ -79,9 +83,8 @@ class PreTokens:
         real[heads] = False
         self.data = np.full(n, 32, np.uint8)
         self.data[real] = data
-        space, alone = self.data == 32, lone[self.data]
-        begin = alone.copy()
-        begin[1:] |= (space[1:] & ~space[:-1]) | alone[:-1]
+        begin = np.ones(n, bool)
+        begin[1:] = ~joined[self.data[:-1].astype(np.int64) * 256 + self.data[1:]]
         begin[heads] = True
         self.starts = np.flatnonzero(begin)
         self.ends = np.r_[self.starts[1:], n].astype(np.int64) if len(self.starts) else np.zeros(0, np.int64)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesteward.llm.common import list_array, text_column, text_slices
-from lakesteward.llm.pieces import DEFAULT_MODEL, PreTokens, Terminals, Vocabulary, load_vocabulary, pieces_ending
+from lakesteward.llm.pieces import DEFAULT_MODEL, PreTokens, Terminals, Vocabulary, load_vocabulary
 from lakesteward.llm.words import Powers, mixed
 
 MOST_NODES = 500_000
@@ -39,6 +39,11 @@ class Lattice:
         order = {piece: rank for rank, piece in enumerate(sorted(vocabulary.ids.values()), 1)}
         self.weight = {piece: -sharpness * math.log(rank) for piece, rank in order.items()}
         self.unknown = sharpness * (math.log(UNKNOWN_WEIGHT) - math.log(len(order) + 1))
+        #: per suffix of a piece, log weight and place in ``pool``, or nothing if it is no piece
+        self.known = {
+            text: (self.weight[piece], order[piece] - 1) if piece >= 0 else () for text, piece in vocabulary.suffixes.items()
+        }
+        self.pieces = list(order)
         self.clear()
 
     def clear(self) -> None:
@@ -47,40 +52,54 @@ class Lattice:
         #: per edge: node + summed chance, node before, place and number of its tokens in ``pool``
         self.edges = np.array([0.0]), np.array([-1]), np.array([0]), np.array([0])
         self.fresh: tuple[list, ...] = [], [], [], []
-        self.pool: list[int] = []
-        self.spelled: dict[tuple[int, str], tuple[int, int]] = {}
-
-    def tokens(self, piece: int, character: str) -> tuple[int, int]:
-        key = (piece, character if piece < 0 else "")
-        if key not in self.spelled:
-            ids = [piece] if piece >= 0 else [self.vocabulary.byte_ids[b] for b in character.encode("utf-8", "surrogateescape")]
-            self.spelled[key] = len(self.pool), len(ids)
+        self.pool = list(self.pieces)
+        self.spelled: dict[str, int] = {}
+
+    def _bytes(self, character: str) -> tuple[int, int]:
+        """Place and number of the byte tokens of a character."""
+        ids = [self.vocabulary.byte_ids[b] for b in character.encode("utf-8", "surrogateescape")]
+        if character not in self.spelled:
+            self.spelled[character] = len(self.pool)
             self.pool += ids
-        return self.spelled[key]
+        return self.spelled[character], len(ids)
 
     def insert(self, text: str) -> int:
         """The node of ``text``."""
         path = [0]
-        children, total = self.children, self.total
+        children, total, known, exp = self.children, self.total, self.known, math.exp
+        limit, before, place, width = self.fresh
         for end, character in enumerate(text, 1):
             key = path[-1] << 21 | ord(character)
             node = children.get(key)
             if node is None:
                 node = children[key] = len(total)
-                edges = pieces_ending(self.vocabulary, text, end)
-                logs = [total[path[s]] + (self.weight[p] if p >= 0 else self.unknown) for s, p in edges]
-                top = max(logs)
-                chances = [math.exp(x - top) for x in logs]
-                mass = sum(chances)
-                total.append(top + math.log(mass))
-                upto, (limit, before, place, width) = 0.0, self.fresh
-                for n, ((start, piece), chance) in enumerate(zip(edges, chances, strict=True), 1):
-                    upto += chance / mass
-                    limit.append(node + (1.0 if n == len(edges) else min(upto, 1.0)))
-                    before.append(path[start])
-                    at, ids = self.tokens(piece, character)
+                logs, start, single = [], end - 1, False
+                while start >= 0 and (hit := known.get(text[start:end])) is not None:
+                    if hit:
+                        logs.append(total[path[start]] + hit[0])
+                        before.append(path[start])
+                        place.append(hit[1])
+                        width.append(1)
+                        single = single or start == end - 1
+                    start -= 1
+                if not single:
+                    logs.append(total[path[end - 1]] + self.unknown)
+                    before.append(path[end - 1])
+                    at, n = self._bytes(character)
                     place.append(at)
-                    width.append(ids)
+                    width.append(n)
+                if len(logs) == 1:
+                    total.append(logs[0])
+                else:
+                    top = max(logs)
+                    chances = [exp(x - top) for x in logs]
+                    mass = sum(chances)
+                    total.append(top + math.log(mass))
+                    upto = 0.0
+                    for chance in chances[:-1]:
+                        upto += chance
+                        limit.append(node + min(upto / mass, 1.0))
+                limit.append(node + 1.0)
             path.append(node)
         return path[-1]
 
@@ -160,14 +179,14 @@ def sampled_segmentations(
     has no tokens; other columns are ignored. The model file is read on the driver.
     """
     vocabulary = load_vocabulary(model_path)
-    lone = vocabulary.lone
+    joined = vocabulary.joined
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, lattice, terminals, decoder = Powers(), Lattice(vocabulary, sharpness), Terminals(most_nodes), Decoder(vocabulary)
         for batch in batches:
             keys = batch["key"].to_numpy().view(np.uint64)
             for low, high, data, offsets in text_slices(batch["text"]):
-                tokens = PreTokens(data, offsets, lone, powers)
+                tokens = PreTokens(data, offsets, joined, powers)
                 nodes = terminals.look_up(tokens, lattice.insert)
                 counts = np.diff(tokens.first)
                 place = np.arange(len(nodes)) - np.repeat(tokens.first[:-1], counts)

@@ -69,13 +69,13 @@ def token_counts(docs: DataFrame, model_path: str = DEFAULT_MODEL, most_nodes: i
     counted each; a null doc_id stays null; other columns are ignored.
     """
     vocabulary = load_vocabulary(model_path)
-    lone = vocabulary.lone
+    joined = vocabulary.joined
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, trie, terminals = Powers(), CountTrie(vocabulary), Terminals(most_nodes)
         for batch in batches:
             for low, high, data, offsets in text_slices(batch["text"]):
-                tokens = PreTokens(data, offsets, lone, powers)
+                tokens = PreTokens(data, offsets, joined, powers)
                 counts = np.r_[0, np.cumsum(terminals.look_up(tokens, trie.insert))]
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(low, high - low), pa.array(counts[tokens.first[1:]] - counts[tokens.first[:-1]]), pa.array(np.diff(tokens.first))],
