@@ -1,14 +1,16 @@
-"""Benchmark passages in training documents: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark passages in training documents: n-gram seeds, then Smith-Waterman alignment.
 
-Document frequencies of the items' word n-grams are counted over all documents. An item's seeds are
-its n-grams that at most a share of the documents holds; an item with few such n-grams takes its
-rarest ones, so an item that is itself widespread keeps seeds. Every place where a document holds a
-seed is aligned, word by word, with the item around it; the local alignment's score over the item's
-length tells exact, edited and paraphrased copies from chance.
+All word n-grams of an item are its seeds, however many documents hold them: an edited or partial
+copy that is itself widespread may keep none that is rare. Of a document's items by its seeds, those
+of whose words it holds too few for the threshold are left out at once, which no alignment can
+outdo; so an n-gram that many items and documents share costs little. Every remaining place where a
+document holds a seed is aligned, word by word, with the item around it; the local alignment's score
+over the item's length tells exact, edited and paraphrased copies from chance. A copy that keeps no
+n-gram of the item is not seen: with three words, one that has an insertion at every second word.
 
 Words are compared in lower case and without punctuation marks, on both sides; a word of marks alone
-is none, and places count the others. The items are taken in blocks of bounded size, each sent to the tasks for two passes over the
-documents. No text is shuffled.
+is none, and places count the others. The items are taken in blocks of bounded size, each sent to the
+tasks for one pass over the documents. No text is shuffled.
 """
 
 from __future__ import annotations
@@ -25,9 +27,6 @@ from lakesteward.llm.common import text_column, text_slices
 from lakesteward.llm.words import Powers, Words
 
 N = 3
-#: a seed occurs in this share of the documents at most, unless the item has too few such n-grams
-RARE_SHARE = 0.001
-LEAST_SEEDS = 8
 #: local alignment score (1 a match, -1 a mismatch or gap) over the item's words
 THRESHOLD = 0.5
 #: an item needs this many words, and an alignment at least this score, to be evidence of a leak
@@ -71,34 +70,52 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int
     return best, origin, max(at - 1, 0)
 
 
+def _spans(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All places of the ranges [begin, end), one range after the other."""
+    counts = end - begin
+    return np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 class Block:
-    """Items of one block and their n-grams, as arrays that tasks search."""
+    """Items of one block, their n-grams and their words, as arrays that tasks search."""
 
     def __init__(self, ids: list[int], texts: list[str], n: int) -> None:
         data = np.frombuffer("".join(texts).encode(), np.uint8)
         offsets = np.r_[0, np.cumsum([len(t.encode()) for t in texts])].astype(np.int64)
         words = Words(data, offsets, Powers())
-        kept = [(i, words.hashes[words.first[k] : words.first[k + 1]]) for k, i in enumerate(ids)]
-        kept = [(i, w) for i, w in kept if len(w) >= max(LEAST_SCORE, n)]
-        self.ids, self.words = [i for i, _ in kept], [w for _, w in kept]
         grams, first = words.shingles(n)
-        held = [k for k, _ in enumerate(ids) if words.first[k + 1] - words.first[k] >= max(LEAST_SCORE, n)]
-        parts = [grams[first[k] : first[k + 1]] for k in held]
-        self.gram = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.item = np.repeat(np.arange(len(parts)), [len(p) for p in parts]) if parts else np.zeros(0, np.int64)
-        self.place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0, np.int64)
-        self.keys = np.unique(self.gram)
-
-    def choose(self, frequency: np.ndarray, documents: int, share: float, least: int) -> None:
-        """Keep the seeds, sorted by n-gram."""
-        df = frequency[np.searchsorted(self.keys, self.gram)]
-        order = np.lexsort((self.place, df, self.item))
-        rank = np.empty(len(order), np.int64)
-        begin = np.searchsorted(self.item[order], np.arange(len(self.ids)))
-        rank[order] = np.arange(len(order)) - begin[self.item[order]]
-        seeds = np.flatnonzero((df <= share * documents) | (rank < least))
-        seeds = seeds[np.argsort(self.gram[seeds], kind="stable")]
-        self.gram, self.item, self.place = self.gram[seeds], self.item[seeds], self.place[seeds]
+        held = np.flatnonzero(np.diff(words.first) >= max(LEAST_SCORE, n))
+        self.ids = [ids[k] for k in held.tolist()]
+        self.words = [words.hashes[words.first[k] : words.first[k + 1]] for k in held.tolist()]
+        lengths = np.diff(first)[held]
+        gram, item = grams[_spans(first[held], first[held + 1])], np.repeat(np.arange(len(held)), lengths)
+        place = np.arange(len(gram)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        # sorted by n-gram, then item, then place
+        order = np.argsort(gram, kind="stable")
+        self.item, self.place = item[order], place[order]
+        self.keys, begin = np.unique(gram[order], return_index=True)
+        self.begin = np.r_[begin, len(gram)]
+        # an item's entries, as the n-grams are sorted
+        self.order, self.gram_first = np.argsort(self.item, kind="stable"), np.r_[0, np.cumsum(lengths)]
+        self.first = np.r_[0, np.cumsum([len(w) for w in self.words])].astype(np.int64)
+        self.vocabulary, self.word = np.unique(np.concatenate(self.words) if self.words else np.zeros(0, np.uint64), return_inverse=True)
+
+    def candidates(self, seeds: np.ndarray, own: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Items with one of the seeds, of whose words the text holds as many as are needed."""
+        items = np.unique(self.item[_spans(self.begin[seeds], self.begin[seeds + 1])])
+        at = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
+        held = np.zeros(len(self.vocabulary), bool)
+        held[at[self.vocabulary[at] == own]] = True
+        held = held[self.word[_spans(self.first[items], self.first[items + 1])]]
+        lengths = self.first[items + 1] - self.first[items]
+        return items[np.add.reduceat(held.astype(np.int64), np.cumsum(lengths) - lengths) >= need[items]]
+
+    def starts(self, item: int, seeds: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Where the item would begin in a text, by the text's seeds and their places."""
+        own = self.order[self.gram_first[item] : self.gram_first[item + 1]]
+        keys = np.searchsorted(self.begin, own, "right") - 1
+        low, high = np.searchsorted(keys, seeds), np.searchsorted(keys, seeds, "right")
+        return np.unique(np.repeat(places, high - low) - self.place[own[_spans(low, high)]])
 
 
 def _member(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -114,34 +131,11 @@ def _member(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return found
 
 
-def seed_frequencies(texts: DataFrame, block: Block, n: int) -> np.ndarray:
-    """Documents that hold each of the block's n-grams."""
-    keys = block.keys
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, total = Powers(), np.zeros(len(keys), np.int64)
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch["text"]):
-                grams, first = Words(data, offsets, powers).shingles(n)
-                at = np.flatnonzero(_member(keys, grams))
-                doc = np.searchsorted(first, at, "right") - 1
-                pairs = np.unique(doc * len(keys) + np.searchsorted(keys, grams[at]))
-                np.add.at(total, pairs % len(keys), 1)
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], ["seed", "n"])
-
-    found = texts.select("text").mapInArrow(count, "seed BIGINT, n BIGINT").groupBy("seed").agg(F.sum("n").alias("n"))
-    frequency = np.zeros(len(keys), np.int64)
-    for r in found.collect():  # at most one row per n-gram of the block
-        frequency[r["seed"]] = r["n"]
-    return frequency
-
-
 def _windows(starts: np.ndarray, m: int, words: int) -> list[tuple[int, int]]:
-    """Passages around the places where the item would begin, overlapping ones joined."""
+    """Passages around the sorted places where the item would begin, overlapping ones joined."""
     margin = m // 2 + 2
     out: list[tuple[int, int]] = []
-    for s in np.unique(starts).tolist():
+    for s in starts.tolist():
         low, high = max(0, s - margin), min(words, s + m + margin)
         if out and low <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], high))
@@ -152,32 +146,30 @@ def _windows(starts: np.ndarray, m: int, words: int) -> list[tuple[int, int]]:
 
 def _aligned(texts: pa.Array, block: Block, n: int, threshold: float, powers: Powers) -> Iterator[tuple[int, int, int, int, int]]:
     """Of each text of a batch with each item that it holds: row, item, score, first and last word."""
-    keys, begin = np.unique(block.gram, return_index=True)
-    end = np.r_[begin[1:], len(block.gram)]
+    need = np.maximum(threshold * np.diff(block.first), LEAST_SCORE)
     for low, _, data, offsets in text_slices(texts):
         words = Words(data, offsets, powers)
         grams, first = words.shingles(n)
-        at = np.flatnonzero(_member(keys, grams))
-        doc = np.searchsorted(first, at, "right") - 1
-        seed = np.searchsorted(keys, grams[at])
-        places: dict[tuple[int, int], list[int]] = {}
-        for d, p, s in zip(doc.tolist(), (at - first[doc]).tolist(), seed.tolist(), strict=True):
-            for e in range(begin[s], end[s]):
-                places.setdefault((d, int(block.item[e])), []).append(p - int(block.place[e]))
-        for (d, item), starts in places.items():
-            target = block.words[item]
-            m, own = len(target), words.hashes[words.first[d] : words.first[d + 1]]
-            need = max(threshold * m, LEAST_SCORE)
-            best = (0, 0, 0)
-            for a, b in _windows(np.array(starts), m, len(own)):
-                # no alignment scores more than the words that both sides hold
-                if int(np.isin(target, own[a:b]).sum()) < need:
-                    continue
-                score, x, y = smith_waterman(target, own[a:b])
-                if score > best[0]:
-                    best = (score, a + x, a + y)
-            if best[0] >= need:
-                yield (low + d, item, *best)
+        at = np.flatnonzero(_member(block.keys, grams))
+        seed = np.searchsorted(block.keys, grams[at])
+        cuts = np.searchsorted(at, first)
+        for d in np.flatnonzero(np.diff(cuts)).tolist():
+            own = words.hashes[words.first[d] : words.first[d + 1]]
+            seeds, places = seed[cuts[d] : cuts[d + 1]], at[cuts[d] : cuts[d + 1]] - first[d]
+            items = block.candidates(np.unique(seeds), own, need)
+            for item in items.tolist():
+                target = block.words[item]
+                m = len(target)
+                best = (0, 0, 0)
+                for a, b in _windows(block.starts(item, seeds, places), m, len(own)):
+                    # no alignment scores more than the words that both sides hold
+                    if int(np.isin(target, own[a:b]).sum()) < need[item]:
+                        continue
+                    score, x, y = smith_waterman(target, own[a:b])
+                    if score > best[0]:
+                        best = (score, a + x, a + y)
+                if best[0] >= need[item]:
+                    yield (low + d, item, *best)
 
 
 def block_hits(texts: DataFrame, block: Block, n: int, threshold: float) -> DataFrame:
@@ -233,19 +225,7 @@ def item_blocks(items: DataFrame, n: int, block_bytes: int) -> Iterator[Block]:
         yield Block(ids, texts, n)
 
 
-def prepared_blocks(docs: DataFrame, items: DataFrame, n: int, share: float, least: int, block_bytes: int) -> Iterator[Block]:
-    """Blocks of items with their seeds chosen by the frequencies in ``docs``."""
-    documents = None
-    for block in item_blocks(items, n, block_bytes):
-        documents = docs.count() if documents is None else documents
-        block.choose(seed_frequencies(docs.select(plain_text().alias("text")), block, n), documents, share, least)
-        yield block
-
-
-def leaks(
-    docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD, share: float = RARE_SHARE,
-    least: int = LEAST_SEEDS, block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents that hold an item: doc_id, item_id, score, first_word, last_word, points.
 
     One row per document row and item, its best alignment: ``points`` is its score, ``score`` that
@@ -255,18 +235,15 @@ def leaks(
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_text().alias("text"))
     found = None
-    for block in prepared_blocks(docs, items, n, share, least, block_bytes):
+    for block in item_blocks(items, n, block_bytes):
         hits = block_hits(texts, block, n, threshold)
         found = hits if found is None else found.unionByName(hits)
     return docs.sparkSession.createDataFrame([], HITS) if found is None else found
 
 
-def decontaminated(
-    docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD, share: float = RARE_SHARE,
-    least: int = LEAST_SEEDS, block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns, each row judged by itself."""
     clean = docs
-    for block in prepared_blocks(docs, items, n, share, least, block_bytes):
+    for block in item_blocks(items, n, block_bytes):
         clean = without_hits(clean, block, n, threshold)
     return clean

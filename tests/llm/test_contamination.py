@@ -67,6 +67,26 @@ def test_widespread_item_is_still_found(spark, documents, items, words):
     assert leaks(documents(rows), items, block_bytes=1).count() == 30
 
 
+@pytest.mark.parametrize("extra", [0, 110])
+def test_widespread_edited_and_partial_copies(spark, documents, items, words, extra):
+    item, other = words(40, 103), words(40, 104)
+    edited = [w if i not in (6, 18, 30) else "other" for i, w in enumerate(item)]
+    rows = [(i, " ".join(words(60, 2000 + i) + (edited if i % 3 == 0 else []))) for i in range(90 + extra)]
+    assert sorted(r["doc_id"] for r in leaks(documents(rows), items).collect()) == list(range(0, 90 + extra, 3))
+    # the whole item in some documents, its back half in one
+    rows = [(i, " ".join(words(60, 3000 + i) + (other if i % 3 == 0 else []))) for i in range(90 + extra)]
+    rows.append((1000, " ".join(words(30, 4) + other[18:])))
+    assert sorted(r["doc_id"] for r in leaks(documents(rows), items).collect()) == [*range(0, 90 + extra, 3), 1000]
+    assert 1000 not in {r["doc_id"] for r in decontaminated(documents(rows), items).collect()}
+
+
+def test_items_that_share_an_n_gram_are_told_apart(spark, documents, words):
+    shared = ["which", "of", "the", "following"]
+    items = spark.createDataFrame([(i, " ".join(shared + words(20, 5000 + i)), "en") for i in range(300)], ITEM)
+    rows = [(i, " ".join(shared * 5 + words(40, 6000 + i) + (shared + words(20, 5000 + i) if i % 2 else []))) for i in range(20)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in leaks(documents(rows), items).collect()) == [(i, i) for i in range(1, 20, 2)]
+
+
 def test_without_items_or_documents(spark, documents, items):
     assert leaks(documents([]), items).collect() == []
     assert leaks(documents([(1, "a b c d e f g h")]), items.limit(0)).collect() == []
