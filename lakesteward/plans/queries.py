@@ -474,8 +474,9 @@ def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     # in two batches, the second of which goes on where the first ends
     stored = saved(split, "split-lines")
     half = (stored.agg(F.max("doc_id")).first()[0] or 0) // 2
-    write_run_logs(stored.filter(F.col("doc_id") <= half), path, ["doc_id", "pos"])
-    write_run_logs(stored.filter(F.col("doc_id") > half), path, ["doc_id", "pos"], mode="append")
+    early = F.coalesce(F.col("doc_id") <= half, F.lit(False))
+    write_run_logs(stored.filter(early), path, ["doc_id", "pos"])
+    write_run_logs(stored.filter(~early), path, ["doc_id", "pos"], mode="append")
     return read_run_logs(spark, path, numbered=True).drop("stream")
 
 

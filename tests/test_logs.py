@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lakesteward.functions import logs
 from lakesteward.operators.runs import failure_summary
+from lakesteward.plans.queries import run_log_lines
 from lakesteward.sources.run_records import read_run_logs
 from lakesteward.sources.sinks import write_run_logs
 
@@ -162,3 +163,10 @@ def test_numbering_moves_no_line(spark, tmp_path):
     write_run_logs(rows, str(tmp_path / "logs"))
     plan = read_run_logs(spark, str(tmp_path / "logs"), numbered=True)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_run_log_lines_of_a_document_without_id(spark, tmp_path):
+    rows = [(1, "a\nb"), (9, "c"), (None, "d\ne")]
+    documents = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r["line"] for r in run_log_lines(spark, str(tmp_path)).collect()) == ["a", "b", "c", "d", "e"]
