@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakesteward.llm import oracles
+from lakesteward.llm.alignment import aligned_tokens
+from lakesteward.llm.block_search import top_products
 from lakesteward.llm.compression import quality_scores
 from lakesteward.llm.contamination import leaks
 from lakesteward.llm.hyperminhash import near_duplicates
@@ -17,6 +19,7 @@ from lakesteward.llm.sharding import sharded
 from lakesteward.llm.suffixes import repeat_removal
 from lakesteward.llm.token_counts import token_counts
 from lakesteward.llm.warc import archived_pages
+from lakesteward.llm.whitening import whitened
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +68,18 @@ def sharded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"), 16)
 
 
+def whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_tokens(table(spark, sf_dir, "documents"))
+
+
+def block_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 QUERIES: dict[str, Query] = {
     "op1_permutation_index": pivot_neighbours,
     "op2_warc": warc_pages,
@@ -76,6 +91,9 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_leaks": benchmark_leaks,
     "op9_sampled_pieces": sampled_pieces,
     "op10_hyperminhash": hyperminhash_groups,
+    "op11_whitening": whitened_vectors,
+    "op12_tokenizer_alignment": tokenizer_alignment,
+    "op13_block_top_products": block_top_products,
 }
 
 ORACLES: dict[str, str] = {
@@ -83,4 +101,5 @@ ORACLES: dict[str, str] = {
     "op4_suffix_repeats": oracles.REPEATS,
     "op6_sharding": oracles.SHARDING,
     "op10_hyperminhash": oracles.NEAR_DUPLICATES,
+    "op13_block_top_products": oracles.TOP_PRODUCTS,
 }

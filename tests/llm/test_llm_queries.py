@@ -10,8 +10,8 @@ def connection(sf_dir):
     return oracle.connect(sf_dir)
 
 
-def test_all_ten_and_the_pipeline_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_thirteen_and_the_pipeline_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert QUERIES.items() <= contract.queries().items() and "pipeline" in contract.queries()
     assert ORACLES.items() <= contract.oracle_sql().items()
 
