@@ -67,27 +67,55 @@ def duration_s(started: Column, finished: Column) -> Column:
     return finished - started
 
 
+# a step takes a whole run of plain characters or a whole quoted part, and gives nothing back, so
+# that neither long words nor long quotes make the matcher recurse
+_PLAIN, _ESCAPED = r"""[^\s"'\\]++""", r"\\."
+_DOUBLE, _SINGLE = r'''"(?:[^"\\]++|\\.)*+"''', r"""'[^']*+'"""
+_PART = f"{_PLAIN}|{_ESCAPED}|{_DOUBLE}|{_SINGLE}"
+
+
+def _unquoted(word: Column) -> Column:
+    """A word without its quotes and escapes: within double quotes only a quote or a backslash is escaped."""
+
+    def bare(part: Column) -> Column:
+        inner = F.substring(part, F.lit(2), F.char_length(part) - 2)
+        return (
+            F.when(part.startswith('"'), F.regexp_replace(inner, r'\\(["\\])', "$1"))
+            .when(part.startswith("'"), inner)
+            .when(part.startswith("\\"), F.substring(part, F.lit(2), F.char_length(part)))
+            .otherwise(part)
+        )
+
+    parts = F.regexp_extract_all(word, F.lit(f"(?s)({_PART})"), F.lit(1))
+    quoted = word.contains('"') | word.contains("'") | word.contains("\\")
+    return F.when(quoted, F.array_join(F.transform(parts, bare), "")).otherwise(word)
+
+
 def submit_conf(params: Column) -> Column:
     """``--conf k=v`` options of a submit string as ordered structs (pos, key, value).
 
-    The string is cut into words first, a quoted part whole, so an option within quotes is none.
+    The string is cut into words as a shell does, with quoted parts and escaped characters, so an
+    option and its value within one pair of quotes are none. A quote that is never closed, or a
+    backslash at the very end, ends the word there and is left out.
     """
-    words = F.regexp_extract_all(params, F.lit(r"""((?:[^\s"']|"[^"]*"|'[^']*')+)"""), F.lit(1))
+    words = F.regexp_extract_all(params, F.lit(f"(?s)((?:{_PART})++)"), F.lit(1))
 
-    def option(word: Column, pos: Column) -> Column:
-        after = F.when(pos > 0, F.get(words, pos - 1)) == "--conf"
-        inline = F.when(word.startswith("--conf="), F.substring(word, F.lit(8), F.char_length(word)))
-        return F.when(after, word).otherwise(inline)
+    def options(words: Column) -> Column:
+        def option(word: Column, pos: Column) -> Column:
+            after = F.when(pos > 0, F.get(words, pos - 1)) == "--conf"
+            inline = F.when(word.startswith("--conf="), F.substring(word, F.lit(8), F.char_length(word)))
+            return F.when(after, word).otherwise(inline)
 
-    raw = F.filter(F.transform(words, option), lambda text: text.isNotNull())
-    plain = F.transform(raw, lambda text: F.regexp_replace(text, r""""([^"]*)"|'([^']*)'""", "$1$2"))
+        return F.filter(F.transform(words, option), lambda text: text.isNotNull())
 
     def entry(text: Column, pos: Column) -> Column:
         key = F.substring_index(text, "=", 1)
         value = F.substring(text, F.char_length(key) + F.lit(2), F.char_length(text))
         return F.struct(pos.alias("pos"), key.alias("key"), value.alias("value"))
 
-    return F.transform(plain, entry)
+    # wrapped as a lambda over one element, so that the string is cut once and not per word
+    plain = F.array(F.transform(words, _unquoted))
+    return F.get(F.transform(plain, lambda words: F.transform(options(words), entry)), 0)
 
 
 def conf_map(entries: Column) -> Column:

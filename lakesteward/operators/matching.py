@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesteward.functions.names import spare_names
+from lakesteward.session import saved
 
 
 def autoregister_parents(
@@ -42,7 +43,8 @@ def upsert(base: DataFrame, updates: DataFrame, key: str | list[str], order: str
 
     A left join plus an anti join stands in for a full outer join, because AQE can split a skewed
     left side but neither side of a full outer join. The anti join sees only base keys that occur
-    in the updates.
+    in the updates. The updates by key are stored first: a side that comes straight out of an
+    aggregation on the join key has no shuffle of its own, and then the other cannot be split.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if "action" in {c.lower() for c in base.columns}:
@@ -58,6 +60,7 @@ def upsert(base: DataFrame, updates: DataFrame, key: str | list[str], order: str
         repeated = F.raise_error(F.concat(F.lit("repeated update key: "), F.to_json(F.struct(*keys)))).cast("boolean")
         counted = updates.groupBy(*keys).agg(F.any_value(row).alias(new), F.count("*").alias(times))
         changed = counted.filter((F.col(times) == 1) | repeated).select(*keys, new)
+    changed = saved(changed, "upsert-changes")
     hit = F.col(new).isNotNull()
     existing = base.join(changed, keys, "left").select(
         *(F.when(hit, F.col(f"{new}.`{c}`")).otherwise(base[f"`{c}`"]).alias(c) if c in others else base[f"`{c}`"] for c in base.columns),

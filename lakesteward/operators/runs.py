@@ -9,6 +9,7 @@ from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZTy
 from lakesteward.functions.logs import is_cause_line, strip_line
 from lakesteward.functions.names import spare_names
 from lakesteward.functions.runs import RUN_STATES, TERMINAL_STATES, duration_s, failure_reason, is_terminal, state_details
+from lakesteward.session import saved
 
 
 _FIXED_WIDTH = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
@@ -87,13 +88,15 @@ def fold_run_state(
     exit_code: Column,
     exited: Column,
     cancel: Column,
+    with_end: bool = False,
 ) -> DataFrame:
     """Final state of each run from its events.
 
     ``state`` is a reported state or null, ``exited`` marks the end of the process with
     ``exit_code`` (null counts as failure), ``cancel`` a cancel request; a reported state
     CANCEL_PENDING is one as well. The first end is final. A cancel request before it is sticky and beats the exit code, and leaves a run that has not
-    ended CANCEL_PENDING; one after it changes nothing.
+    ended CANCEL_PENDING; one after it changes nothing. ``with_end`` adds the position of the first
+    end, ``finished``, and the exit code that it gives.
 
     States are carried as integers: all aggregation buffers then have a fixed width, and Spark
     hashes the groups instead of sorting the events.
@@ -109,22 +112,26 @@ def fold_run_state(
     asked = F.coalesce(cancel, F.lit(False)) | F.coalesce(state == "CANCEL_PENDING", F.lit(False))
     cancel_at = F.when(asked, at)
     state_at = F.when(state.isNotNull(), at)
+    (end, ended, cancelled_at, reported) = spare_names(key, "end_at", "ended_as", "cancel_at", "reported")
+    codes = [F.min_by(exit_code, end_at).alias("exit_code")] if with_end else []
     folded = events.groupBy(*key).agg(
-        F.min(end_at).alias("end_at"),
-        F.min_by(ended_as, end_at).alias("ended_as"),
-        F.min(cancel_at).alias("cancel_at"),
-        F.max_by(_state_code(state), state_at).alias("reported"),
+        F.min(end_at).alias(end),
+        F.min_by(ended_as, end_at).alias(ended),
+        F.min(cancel_at).alias(cancelled_at),
+        F.max_by(_state_code(state), state_at).alias(reported),
+        *codes,
     )
-    cancelled = F.col("cancel_at").isNotNull() & (
-        F.col("end_at").isNull() | (F.col("cancel_at") < F.col("end_at"))
+    cancelled = F.col(cancelled_at).isNotNull() & (
+        F.col(end).isNull() | (F.col(cancelled_at) < F.col(end))
     )
     name = F.array(*map(F.lit, RUN_STATES))
     final = (
-        F.when(cancelled & F.col("end_at").isNull(), "CANCEL_PENDING")
+        F.when(cancelled & F.col(end).isNull(), "CANCEL_PENDING")
         .when(cancelled, "CANCELLED")
-        .otherwise(F.get(name, F.coalesce("ended_as", "reported", F.lit(1)) - 1))
+        .otherwise(F.get(name, F.coalesce(ended, reported, F.lit(1)) - 1))
     )
-    return folded.select(*key, final.alias("state"))
+    more = [F.col(end).alias("finished"), F.col("exit_code")] if with_end else []
+    return folded.select(*key, final.alias("state"), *more)
 
 
 def finalised_runs(
@@ -145,13 +152,12 @@ def finalised_runs(
 
     ``runs`` has the key and the places of both outputs, ``events`` what ``fold_run_state`` takes,
     ``lines`` the log lines. A run without events is PENDING; one without logs has an empty summary.
-    ``finished`` is the ``order`` of its end. Details are given once the state is terminal.
+    ``finished`` is the ``order`` of its first end, whether the process exited or a terminal state
+    was recorded, and ``exit_code`` what that event gives. Details are given once the state is terminal.
     """
-    folded = fold_run_state(events, key, order, state, exit_code, exited, cancel)
-    over = F.when(F.coalesce(exited, F.lit(False)), F.col(order))
-    ends = events.groupBy(*key).agg(F.min_by(exit_code, over).alias("exit_code"), F.min(over).alias("finished"))
+    folded = fold_run_state(events, key, order, state, exit_code, exited, cancel, with_end=True)
     summaries = failure_summary(lines, run_key=key, order=line_order)
-    joined = runs.select(*key, stdout, stderr).join(folded, key, "left").join(ends, key, "left").join(summaries, key, "left")
+    joined = runs.select(*key, stdout, stderr).join(folded, key, "left").join(summaries, key, "left")
     current = F.coalesce("state", F.lit(RUN_STATES[0]))
     summary = F.coalesce("summary", F.lit(""))
     details = F.when(is_terminal(current), state_details(current, F.col("exit_code"), summary, F.col(stdout), F.col(stderr)))
@@ -162,10 +168,15 @@ def finalised_runs(
 
 
 def first_of_token(runs: DataFrame, token: str = "clientToken", order: str = "createdAt") -> DataFrame:
-    """Runs without those that repeat the non-empty client token of an earlier one of their cluster."""
-    taken = F.nullif(F.col(token), F.lit(""))
-    (first,) = spare_names(runs.columns, "_first")
+    """Runs without those that repeat the non-empty client token of an earlier one of their cluster.
+
+    Runs without a token or a cluster take no part in the join, where they would all meet on one key.
+    The first runs are stored, so that AQE can split a token that very many runs share.
+    """
     keys = ["virtualClusterId", token]
-    firsts = runs.filter(taken.isNotNull()).groupBy(*keys).agg(F.min(F.struct(order, "id")).alias(first))
-    joined = runs.join(firsts, keys, "left")
-    return joined.filter(F.col(first).isNull() | (F.struct(order, "id") == F.col(first))).select(*runs.columns)
+    (first,) = spare_names(runs.columns, "_first")
+    taken = F.nullif(F.col(token), F.lit("")).isNotNull() & F.col("virtualClusterId").isNotNull()
+    bearing = runs.filter(taken)
+    firsts = saved(bearing.groupBy(*keys).agg(F.min(F.struct(order, "id")).alias(first)), "first-of-token")
+    kept = bearing.join(firsts, keys).filter(F.struct(order, "id") == F.col(first)).select(*runs.columns)
+    return kept.unionByName(runs.filter(~taken))

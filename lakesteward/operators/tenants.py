@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from datetime import date, datetime
+from datetime import date, datetime, time
 from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, DateType, TimestampNTZType, TimestampType
 
 from lakesteward.operators.matching import missing_copies
 from lakesteward.session import saved
@@ -43,8 +43,9 @@ class TenantTable:
 class Mark:
     """The values of one column that single out the tenants' rows: a short list or a DataFrame.
 
-    A list becomes a predicate, which reaches the scan and prunes partitions on both sides: the
-    rows owned are found without reading the others, and the others without reading the owned.
+    A list, of Python values or literal columns, becomes a predicate, which reaches the scan and
+    prunes partitions on both sides: the rows owned are found without reading the others, and the
+    others without reading the owned.
     """
 
     column: str
@@ -77,9 +78,24 @@ def exact_key(key: Column, source: DataType, kind: DataType) -> Column:
     return F.when(same, converted).otherwise(F.raise_error(problem).cast(kind))
 
 
+#: how a key is fetched to the driver and written as a literal again: times as whole numbers or text,
+#: since a Python value without a zone means the zone of this process
+_FETCHED = {
+    DateType: ("INT", F.unix_date, F.date_from_unix_date),
+    TimestampType: ("BIGINT", F.unix_micros, F.timestamp_micros),
+    TimestampNTZType: ("STRING", lambda c: c.cast("string"), lambda c: c.cast("timestamp_ntz")),
+}
+
+
 def _key_type(values: list) -> str:
     """SQL type that holds all the given Python values as they are."""
     kinds = {type(v) for v in values}
+    if kinds == {date}:
+        return "date"
+    if kinds <= {date, datetime}:
+        zoned = {isinstance(v, datetime) and v.tzinfo is not None for v in values}
+        if len(zoned) == 1:
+            return "timestamp" if zoned.pop() else "timestamp_ntz"
     if kinds <= {int}:
         return "bigint" if all(-(2**63) <= v < 2**63 for v in values) else "decimal(38,0)"
     if kinds <= {int, float}:
@@ -95,19 +111,25 @@ def _key_type(values: list) -> str:
 
 
 def listed_keys(keys: Iterable, table: TenantTable) -> list:
-    """Distinct keys of a list as values of the tenant column's type, null keys dropped."""
+    """Distinct keys of a list in the tenant column's type, as they are fetched (``_FETCHED``); null keys dropped.
+
+    A date is the midnight it begins with. A datetime without a zone is one of the session's zone.
+    """
     kind = table.df.schema[table.tenant_col].dataType
     wanted = list(dict.fromkeys(k for k in keys if k is not None))
     if not wanted:
         return []
-    if {type(v) for v in wanted} <= {date, datetime}:
-        return wanted  # Spark compares them as they are
     source = _key_type(wanted)
-    convert = {"bigint": int, "decimal(38,0)": lambda v: Decimal(int(v)), "double": float}.get(source, lambda v: v)
+    convert = {
+        "bigint": int, "decimal(38,0)": lambda v: Decimal(int(v)), "double": float,
+        "timestamp_ntz": lambda v: v if isinstance(v, datetime) else datetime.combine(v, time()),
+    }.get(source, lambda v: v)
     frame = rows_source(table.df.sparkSession, [(convert(k),) for k in wanted], f"k {source.upper()}")
     known = frame.schema[0].dataType
     converted = F.col("k").try_cast(kind)
-    rows = frame.select("k", converted.alias("v"), converted.try_cast(known).eqNullSafe(F.col("k")).alias("same")).collect()
+    _, fetched, _ = _FETCHED.get(type(kind), (None, lambda c: c, None))
+    same = converted.try_cast(known).eqNullSafe(F.col("k"))
+    rows = frame.select(F.col("k").cast("string").alias("k"), fetched(converted).alias("v"), same.alias("same")).collect()
     wrong = [r["k"] for r in rows if not r["same"]]
     if wrong:
         raise InexactKey(f"{table.tenant_col} is a {kind.simpleString()}; not exactly one: {wrong[:5]}")
@@ -123,9 +145,11 @@ def tenant_mark(keys: DataFrame | Iterable, table: TenantTable) -> Mark:
     column, kind = table.tenant_col, table.df.schema[table.tenant_col].dataType
     if not isinstance(keys, DataFrame):
         wanted = listed_keys(keys, table)
+        held, _, literal = _FETCHED.get(type(kind), (kind.simpleString(), None, None))
         if len(wanted) <= MAX_LITERAL_KEYS:
-            return Mark(column, wanted)
-        return Mark(column, rows_source(table.df.sparkSession, [(k,) for k in wanted], f"`{column}` {kind.simpleString()}"))
+            return Mark(column, [literal(F.lit(k)) for k in wanted] if literal else wanted)
+        rows = rows_source(table.df.sparkSession, [(k,) for k in wanted], f"k {held}")
+        return Mark(column, rows.select((literal(F.col("k")) if literal else F.col("k")).alias(column)))
     renamed = keys.toDF(column)
     given = renamed.filter(F.col(column).isNotNull()).select(exact_key(F.col(column), renamed.schema[0].dataType, kind).alias(column))
     return Mark(column, given.distinct())

@@ -64,7 +64,8 @@ def clone_prefixes(
     """Clone every table below the prefixes, moving ``source_env`` to ``target_env``.
 
     A prefix is a layer, a table or one partition of a table, as its directory is named; by default
-    all four layers. One that does not exist adds nothing, nor does a table log by itself. A table
+    all four layers. One that does not exist adds nothing, nor does a table log by itself; but with no
+    prefix at all there, a target that holds files is left alone and the call fails. A table
     whose directory holds a transaction log is refused: its files alone do not say which rows are
     valid. The columns of all files of a table are merged. ``replace="all"`` leaves nothing else
     below ``dst_root``. Returns the number of objects and bytes there.
@@ -75,6 +76,8 @@ def clone_prefixes(
     wanted = prefixes or [f"{source_env}/{layer}" for layer in CLONE_ORDER]
     wanted = [p.strip("/") for p in wanted if not p.rstrip("/").endswith("/_delta_log")]
     present = [p for p in wanted if path_exists(spark, f"{src_root}/{p}")]
+    if not present and path_exists(spark, dst_root) and not file_manifest(spark, [dst_root]).isEmpty():
+        raise FileNotFoundError(f"none of {wanted} exists below {src_root}")
     scopes: dict[str, list[dict[str, str | None]]] = {}
     layouts: dict[str, list[str]] = {}
     # partition prefixes of one table count as the table here; its partitions are told apart below

@@ -269,8 +269,7 @@ ORACLES: dict[str, str] = {
         FROM customer""",
     "q47_finalised_runs": f"""
         {_LOG_LINES},
-        m AS (SELECT user_id, day, arg_max(line, event_id) AS summary FROM l
-              WHERE user_id % 2 = 0 AND {_IS_CAUSE} GROUP BY ALL),
+        m AS (SELECT user_id, day, arg_max(line, event_id) AS summary FROM l WHERE {_IS_CAUSE} GROUP BY ALL),
         e AS (
           SELECT user_id, CAST(ts AS DATE) AS day,
                  min(event_id) FILTER (event_type IN ('purchase', 'error')) AS end_at,
@@ -280,7 +279,7 @@ ORACLES: dict[str, str] = {
           FROM events GROUP BY ALL),
         s AS (
           SELECT user_id, day, end_at AS finished, coalesce(summary, '') AS summary,
-                 CASE ended WHEN 'purchase' THEN 0 WHEN 'error' THEN 1 END AS exit_code,
+                 CASE WHEN ended = 'purchase' THEN 0 WHEN ended = 'error' AND end_at % 2 = 1 THEN 1 END AS exit_code,
                  '/var/logs/' || user_id || '-' || day || '/' AS place,
                  CASE WHEN cancel_at IS NOT NULL AND end_at IS NULL THEN 'CANCEL_PENDING'
                       WHEN cancel_at < end_at THEN 'CANCELLED'
@@ -292,12 +291,13 @@ ORACLES: dict[str, str] = {
         SELECT user_id, day, state, exit_code, finished, summary,
                CASE state WHEN 'COMPLETED' THEN 'stdout: ' || place || 'stdout.log'
                     WHEN 'CANCELLED' THEN 'cancelled. stdout: ' || place || 'stdout.log'
-                    WHEN 'FAILED' THEN 'spark-submit exit ' || exit_code || ': '
+                    WHEN 'FAILED' THEN 'spark-submit exit ' || coalesce(CAST(exit_code AS VARCHAR), 'None') || ': '
                          || CASE WHEN summary = '' THEN '(no exception summary in stderr; see stderr.gz for context)'
                                  ELSE summary END || chr(10)
                          || 'stdout: ' || place || 'stdout.log' || chr(10) || 'stderr: ' || place || 'stderr.log'
                END AS details,
-               CASE WHEN state = 'FAILED' THEN 'USER_ERROR: spark-submit exit ' || exit_code END AS reason
+               CASE WHEN state = 'FAILED'
+                    THEN 'USER_ERROR: spark-submit exit ' || coalesce(CAST(exit_code AS VARCHAR), 'None') END AS reason
         FROM s""",
     "q48_job_run_records": """
         WITH o AS (

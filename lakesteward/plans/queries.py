@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesteward.functions import logs as log_fn
@@ -232,41 +232,31 @@ def latest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.withColumnRenamed("event_type", "state")
 
 
+def _run_event_marks() -> dict[str, Column]:
+    """What the kinds of events mean for a run: some cancels are requests, the others recorded as a state, as are some failures."""
+    kind, even = F.col("event_type"), F.col("event_id") % 2 == 0
+    return {
+        "state": F.when(kind == "signup", "SUBMITTED").when(kind == "view", "RUNNING")
+        .when((kind == "click") & even, "CANCEL_PENDING").when((kind == "error") & even, "FAILED"),
+        "exit_code": F.when(kind == "purchase", 0).when((kind == "error") & ~even, 1),
+        "exited": (kind == "purchase") | ((kind == "error") & ~even),
+        "cancel": (kind == "click") & ~even,
+    }
+
+
 def run_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    return runs.fold_run_state(
-        run_events(spark, sf_dir),
-        RUN,
-        "event_id",
-        # some cancels are requests, the others are recorded as a state
-        state=F.when(kind == "signup", "SUBMITTED").when(kind == "view", "RUNNING").when(
-            (kind == "click") & (F.col("event_id") % 2 == 0), "CANCEL_PENDING"
-        ),
-        exit_code=F.when(kind == "purchase", 0).when(kind == "error", 1),
-        exited=kind.isin("purchase", "error"),
-        cancel=(kind == "click") & (F.col("event_id") % 2 == 1),
-    )
+    return runs.fold_run_state(run_events(spark, sf_dir), RUN, "event_id", **_run_event_marks())
 
 
 def finalised_run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' days as runs; those of odd users have no logs."""
-    kind = F.col("event_type")
+    """Users' days as runs. Sign-ups and clicks write no log, so some runs have none."""
     events = run_events(spark, sf_dir)
     place = F.concat(F.lit("/var/logs/"), F.col("user_id"), F.lit("-"), F.col("day"))
     listed = events.select(*RUN).distinct().select(
         *RUN, F.concat(place, F.lit("/stdout.log")).alias("stdout"), F.concat(place, F.lit("/stderr.log")).alias("stderr")
     )
-    lines = _log_lines(spark, sf_dir).filter("user_id % 2 = 0")
-    return runs.finalised_runs(
-        listed, events, lines, RUN, "event_id",
-        state=F.when(kind == "signup", "SUBMITTED").when(kind == "view", "RUNNING").when(
-            (kind == "click") & (F.col("event_id") % 2 == 0), "CANCEL_PENDING"
-        ),
-        exit_code=F.when(kind == "purchase", 0).when(kind == "error", 1),
-        exited=kind.isin("purchase", "error"),
-        cancel=(kind == "click") & (F.col("event_id") % 2 == 1),
-        line_order="event_id",
-    )
+    lines = _log_lines(spark, sf_dir).filter(~F.col("event_type").isin("signup", "click"))
+    return runs.finalised_runs(listed, events, lines, RUN, "event_id", **_run_event_marks(), line_order="event_id")
 
 
 def job_run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +291,7 @@ def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "purchase", F.concat(F.lit("\tCaused by: p"), number))
         .otherwise(F.lit("  noise"))
     )
-    return run_events(spark, sf_dir).select(*RUN, "event_id", line.alias("line"))
+    return run_events(spark, sf_dir).select(*RUN, "event_id", "event_type", line.alias("line"))
 
 
 def failure_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:

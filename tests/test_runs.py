@@ -249,3 +249,50 @@ def test_finalised_runs_keep_runs_without_events_or_logs(spark):
     assert rows["a"] == ("FAILED", 3, 2, "x.YError: z", "spark-submit exit 3: x.YError: z\nstdout: o\nstderr: e", "USER_ERROR: spark-submit exit 3")
     assert rows["b"] == ("COMPLETED", 0, 1, "", "stdout: o", None)
     assert rows["c"] == ("PENDING", None, None, "", None, None)
+
+
+def test_submit_conf_cuts_words_as_a_shell_does(spark):
+    import random
+    import shlex
+
+    rng = random.Random(1)
+    parts = ["--conf ", "a", "=", "b", " ", '"', "'", "\\", "\n", "--conf="]
+    texts, expected = [], []
+    while len(texts) < 400:
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        try:
+            words = shlex.split(text)
+        except ValueError:
+            continue  # a quote that is never closed
+        found = [w if i and words[i - 1] == "--conf" else w[7:] for i, w in enumerate(words) if (i and words[i - 1] == "--conf") or w.startswith("--conf=")]
+        texts.append((len(texts), text))
+        expected.append([tuple(f.partition("=")[::2]) for f in found])
+    rows = spark.createDataFrame(texts, "i INT, p STRING").select("i", fn.submit_conf(F.col("p")).alias("c")).collect()
+    assert [[(c["key"], c["value"]) for c in r["c"]] for r in sorted(rows)] == expected
+
+
+def test_submit_conf_of_very_long_words(spark):
+    text = "--conf a=" + "x" * 1_000_000 + ' --conf b="' + "y " * 500_000 + '"' + "\\q" * 10_000 + "''" * 10_000
+    got = spark.createDataFrame([(text,)], "p STRING").select(fn.submit_conf(F.col("p")).alias("c")).first()["c"]
+    assert [(c["key"], len(c["value"])) for c in got] == [("a", 1_000_000), ("b", 1_010_000)]
+
+
+def test_a_recorded_end_gives_its_own_time_and_code(spark):
+    listed = spark.createDataFrame([(r, "o", "e") for r in "abc"], "run STRING, stdout STRING, stderr STRING")
+    events = spark.createDataFrame(
+        [("a", 1, "FAILED", None), ("a", 2, None, 0), ("b", 1, "RUNNING", None), ("b", 4, "COMPLETED", None), ("c", 1, None, 7), ("c", 2, "COMPLETED", None)],
+        "run STRING, at INT, state STRING, rc INT",
+    )
+    lines = spark.createDataFrame([], "run STRING, position INT, line STRING")
+    got = runs.finalised_runs(
+        listed, events, lines, ["run"], "at", F.col("state"), F.col("rc"), exited=F.col("rc").isNotNull(), cancel=F.lit(False)
+    )
+    rows = {r["run"]: r for r in got.collect()}
+    assert [(rows[r]["state"], rows[r]["exit_code"], rows[r]["finished"]) for r in "abc"] == [("FAILED", None, 1), ("COMPLETED", None, 4), ("FAILED", 7, 1)]
+    assert rows["a"]["reason"] == "USER_ERROR: spark-submit exit None" and rows["c"]["reason"] == "USER_ERROR: spark-submit exit 7"
+
+
+def test_runs_without_a_token_or_cluster_are_all_kept(spark):
+    rows = [("a", "v", "t", 2.0), ("b", "v", "t", 1.0), ("c", "v", "", 1.0), ("d", "v", None, 1.0), ("e", None, "t", 1.0), ("f", None, "t", 2.0), ("g", "w", "t", 3.0)]
+    frame = spark.createDataFrame(rows, "id STRING, virtualClusterId STRING, clientToken STRING, createdAt DOUBLE")
+    assert sorted(r["id"] for r in runs.first_of_token(frame).collect()) == list("bcdefg")

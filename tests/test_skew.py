@@ -5,7 +5,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-from lakesteward.operators import matching
+from lakesteward.operators import matching, runs
 from lakesteward.operators.tenants import Mark
 from lakesteward.session import saved
 
@@ -66,3 +66,17 @@ def test_runs_with_cluster(spark, skewed):
     n, plan = run(spark, matching.runs_with_cluster(lines.withColumnRenamed("k", "virtualClusterId"), clusters))
     assert n == ROWS
     assert "skew=true" in plan
+
+
+def test_first_of_token(spark, skewed):
+    lines, _ = skewed
+    records = lines.select(
+        F.lit("vc").alias("virtualClusterId"), F.col("k").cast("string").alias("clientToken"), "id", F.col("id").alias("createdAt"), "t"
+    )
+    n, plan = run(spark, runs.first_of_token(records))
+    assert n == sum(1 for i in range(ROWS) if i % 3)
+    # the first run itself is part of the join key, so that one token's runs do not meet in one task
+    assert "hashpartitioning(struct(createdAt" in plan
+    # no run has a token: none is joined
+    n, _ = run(spark, runs.first_of_token(records.withColumn("clientToken", F.lit(""))))
+    assert n == ROWS

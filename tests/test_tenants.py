@@ -1,3 +1,5 @@
+from datetime import date, datetime, time, timedelta, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +156,42 @@ def test_missing_copies(spark, monkeypatch):
     got = sorted(map(tuple, matching.missing_copies(wanted, present).collect()), key=str)
     assert got == sorted([(1, None)] * 7 + [(3, "y"), (None, None)], key=str)
     assert matching.missing_copies(wanted, wanted).isEmpty()
+
+
+DAY = date(2024, 1, 1)
+KINDS = {
+    "date": lambda n: [DAY + timedelta(days=i) for i in range(n)],
+    "midnight": lambda n: [datetime(2024, 1, 1) + timedelta(days=i) for i in range(n)],
+    "noon": lambda n: [datetime(2024, 1, 1, 12) + timedelta(days=i) for i in range(n)],
+    "mixed": lambda n: [DAY + timedelta(days=i) if i % 2 else datetime(2024, 1, 1) + timedelta(days=i) for i in range(n)],
+    "zoned": lambda n: [datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(days=i) for i in range(n)],
+}
+TYPES = {"date": "DATE", "midnight": "TIMESTAMP_NTZ", "noon": "TIMESTAMP_NTZ", "mixed": "TIMESTAMP_NTZ", "zoned": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("n", [3, 1000, 1001])
+@pytest.mark.parametrize("column", ["DATE", "TIMESTAMP", "TIMESTAMP_NTZ", "STRING"])
+@pytest.mark.parametrize("kind", KINDS)
+def test_keys_of_dates_and_times(spark, n, column, kind):
+    base = spark.range(1500).selectExpr("id", f"CAST(date_add(DATE'2024-01-01', CAST(id AS INT)) AS {column}) AS tenant")
+    rows = base.unionByName(spark.createDataFrame([(-1, None)], f"id BIGINT, tenant {column}"))
+    table = [TenantTable("t", rows, tenant_col="tenant")]
+    keys = KINDS[kind](n)
+    moments = [datetime.combine(k, time()) if type(k) is date else k for k in keys]
+    frame = spark.createDataFrame([(k if kind == "date" else m,) for k, m in zip(keys, moments)], f"k {TYPES[kind]}")
+    wrong = column == "DATE" and kind == "noon"
+    for given in ([*keys, None], frame):
+        if wrong:
+            with pytest.raises(Exception, match="not exactly"):
+                tenants.tenant_delete(table, given)["t"].collect()
+            continue
+        kept = {r["id"] for r in tenants.tenant_delete(table, given)["t"].collect()}
+        # text is compared as it is written: a date is spelt differently than a time
+        hit = kind != "noon" and (column != "STRING" or kind == "date")
+        assert kept == {-1, *range(n if hit else 0, 1500)}
+
+
+def test_keys_with_and_without_a_zone_do_not_mix(spark):
+    table = TenantTable("t", spark.range(1).selectExpr("current_timestamp() AS tenant"), tenant_col="tenant")
+    with pytest.raises(tenants.InexactKey):
+        tenants.listed_keys([datetime(2024, 1, 1), datetime(2024, 1, 1, tzinfo=timezone.utc)], table)
