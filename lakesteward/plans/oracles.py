@@ -306,4 +306,24 @@ ORACLES: dict[str, str] = {
                CASE WHEN o_orderstatus = 'F' THEN 's3://logs' END AS log_uri, o_orderstatus AS option,
                o_orderstatus AS tag, CAST(epoch(o_orderdate) AS DOUBLE) AS "createdAt"
         FROM o WHERE o_custkey % 3 = 0 OR n = 1""",
+    "q49_partition_delete": f"""
+        {_TENANT}
+        SELECT o_orderkey, o_custkey, o_orderstatus, c_nationkey,
+               CAST((SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_nationkey = 6) AS INTEGER) AS nations,
+               CAST((SELECT count(DISTINCT o_orderstatus) FROM orders
+                     WHERE o_custkey IN (SELECT c_custkey FROM gone)) AS INTEGER) AS statuses,
+               true AS others_untouched
+        FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 6""",
+    "q50_partition_upsert": """
+        SELECT c_custkey, c_name, c_nationkey,
+               CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey < 5 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment,
+               CAST(2 AS INTEGER) AS partitions, true AS old_files_untouched
+        FROM customer
+        UNION ALL
+        SELECT -c_custkey - 1, c_name, c_nationkey, 'MOVED', 2, true FROM customer WHERE c_mktsegment = 'MACHINERY'""",
+    "q51_clone_prefixes": """
+        SELECT 'gold/supplier' AS tbl, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS keys, true AS as_reported FROM supplier
+        UNION ALL SELECT 'gold/nation', count(*), CAST(sum(n_nationkey) AS BIGINT), true FROM nation
+        UNION ALL SELECT 'silver/customer', count(*), CAST(sum(c_custkey) AS BIGINT), true FROM customer
+        WHERE c_nationkey IN (6, 11)""",
 }

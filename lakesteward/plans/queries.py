@@ -19,8 +19,9 @@ from lakesteward.functions import runs as run_fn
 from lakesteward.functions.templates import resolve_template
 from lakesteward.operators import manifests, matching, ordering, quality, runs, scope, tenants
 from lakesteward.operators.maintenance import compact, file_count_for, vacuum_execute, vacuum_plan
-from lakesteward.plans.clone import clone_table
+from lakesteward.plans.clone import clone_prefixes, clone_table
 from lakesteward.plans.offboard import offboard_tenant
+from lakesteward.plans.partitions import delete_tenants, upsert_table
 from lakesteward.session import saved, workspace
 from lakesteward.sources.basic import range_source, rows_source
 from lakesteward.sources.catalog import register_batch, table_location
@@ -594,6 +595,73 @@ def vacuumed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select("o_orderkey", "o_orderstatus", F.lit(only_live and lost == 0).alias("only_live"))
 
 
+def _published(df: DataFrame, label: str, partition_by: list[str] | None = None) -> tuple[str, str]:
+    """``df`` as a catalogued table of its own: its name and the folder of its versions."""
+    root = workspace(df.sparkSession, label)
+    name = f"{label}_{os.path.basename(root).rpartition('-')[2]}"
+    publish_version(df, name, root, partition_by=partition_by)
+    return name, root
+
+
+def partition_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by nation and orders by status without a tenant; whether the files of other nations are as they were."""
+    customers, customer_root = _published(table(spark, sf_dir, "customer"), "tenant_customers", ["c_nationkey"])
+    orders, order_root = _published(table(spark, sf_dir, "orders"), "tenant_orders", ["o_orderstatus"])
+    before = saved(manifests.data_files(file_manifest(spark, [customer_root])), "files-before")
+    related = [
+        tenants.TenantTable(customers, spark.table(customers), tenant_col="c_nationkey", key="c_custkey"),
+        tenants.TenantTable(orders, spark.table(orders), parent=customers, fk="o_custkey"),
+    ]
+    report = {r["tbl"]: r for r in delete_tenants(spark, related, [TENANT], workspace(spark, "tenant-left")).collect()}
+    after = manifests.data_files(file_manifest(spark, [customer_root]))
+    same = before.exceptAll(after).isEmpty() and report[customers]["n_after"] == 0
+    checks = [F.lit(report[t]["partitions"]).alias(n) for t, n in ((customers, "nations"), (orders, "statuses"))]
+    left = spark.table(orders).select("o_orderkey", "o_custkey", "o_orderstatus")
+    kept = spark.table(customers).select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    return left.join(kept, "o_custkey").select("o_orderkey", "o_custkey", "o_orderstatus", "c_nationkey", *checks, F.lit(same).alias("others_untouched"))
+
+
+def partition_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by segment: those of one segment and a part of the nations move to a new one, some are new."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    name, root = _published(customer, "segments", ["c_mktsegment"])
+    before = saved(manifests.data_files(file_manifest(spark, [root])), "files-before")
+    moved = customer.filter("c_mktsegment = 'BUILDING' AND c_nationkey < 5").withColumn("c_mktsegment", F.lit("MOVED"))
+    new = customer.filter("c_mktsegment = 'MACHINERY'").select(
+        (-F.col("c_custkey") - 1).alias("c_custkey"), "c_name", "c_nationkey", F.lit("MOVED").alias("c_mktsegment")
+    )
+    touched = upsert_table(spark, name, moved.unionByName(new), "c_custkey", root)
+    same = before.exceptAll(manifests.data_files(file_manifest(spark, [root]))).isEmpty()
+    rows = spark.table(name).select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return rows.select("*", F.lit(touched).alias("partitions"), F.lit(same).alias("old_files_untouched"))
+
+
+def cloned_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer, a table and one partition of a table copied to another environment, over an older copy."""
+    source, target = workspace(spark, "env-qa"), workspace(spark, "env-local")
+    overwrite_sink(table(spark, sf_dir, "supplier"), f"{source}/qa/gold/supplier")
+    overwrite_sink(table(spark, sf_dir, "nation"), f"{source}/qa/gold/nation")
+    overwrite_sink(table(spark, sf_dir, "customer"), f"{source}/qa/silver/customer", partition_by=["c_nationkey"], rebalance=True)
+    overwrite_sink(table(spark, sf_dir, "region"), f"{source}/qa/silver/region")
+    overwrite_sink(table(spark, sf_dir, "region"), f"{target}/local/bronze/left_over")
+    wanted = ["qa/gold", f"qa/silver/customer/c_nationkey={TENANT}", "qa/silver/customer/c_nationkey=11", "qa/absent"]
+    total = clone_prefixes(spark, source, target, wanted).first()
+    listed = manifests.data_files(file_manifest(spark, [target]))
+    tables = manifests.table_roots(listed)
+    names = [r["path"] for r in tables.toLocalIterator()]
+    sums = listed.agg(F.count("*").alias("n"), F.sum("length").alias("b")).first()
+    counted = []
+    for path in sorted(names):
+        rows = spark.read.parquet(path)
+        key = F.col(next(c for c in rows.columns if c.endswith("key"))).cast("bigint")
+        counted.append(rows.agg(F.lit(path.split("/local/")[-1]).alias("tbl"), F.count("*").alias("n"), F.sum(key).alias("keys")))
+    stacked = counted[0]
+    for one in counted[1:]:
+        stacked = stacked.unionByName(one)
+    as_reported = (total["objects"], total["bytes"]) == (sums["n"], sums["b"])
+    return stacked.withColumn("as_reported", F.lit(as_reported))
+
+
 QUERIES: dict[str, Query] = {
     "q01_range_count": range_count,
     "q02_overwrite_roundtrip": overwrite_roundtrip,
@@ -643,4 +711,7 @@ QUERIES: dict[str, Query] = {
     "q46_priority_sorted": priority_sorted,
     "q47_finalised_runs": finalised_run_table,
     "q48_job_run_records": job_run_records,
+    "q49_partition_delete": partition_delete,
+    "q50_partition_upsert": partition_upsert,
+    "q51_clone_prefixes": cloned_prefixes,
 }

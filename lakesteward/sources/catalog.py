@@ -3,17 +3,30 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lakesteward.functions.paths import dirname
+from lakesteward.operators.manifests import data_files
 from lakesteward.sources.basic import rows_source
+from lakesteward.sources.manifest import file_manifest, path_exists, qualified
 
 OUTCOME_SCHEMA = "idx INT, total INT, path STRING, ok BOOLEAN, error STRING"
 
 
+# Fixed value: how a partition directory names a null.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+#: the values of a partition's columns as text, null as None
+PartitionKey = tuple[str | None, ...]
+
+
 class SchemaDrift(ValueError):
     """Declared columns do not match the stored files."""
 
@@ -169,6 +182,56 @@ def _existing(spark: SparkSession, table: str) -> TableDefinition:
     )
 
 
+def _partition_key(path: str) -> PartitionKey:
+    """Values out of ``a=1/b=x``, which escapes characters as a directory does."""
+    values = [unquote(part.partition("=")[2]) for part in path.strip("/").split("/")]
+    return tuple(None if v in (NULL_PARTITION, "") else v for v in values)
+
+
+def catalogued_partitions(spark: SparkSession, table: str) -> set[PartitionKey]:
+    """The partitions that the catalog knows."""
+    return {_partition_key(r[0]) for r in spark.sql(f"SHOW PARTITIONS {quoted(table)}").collect()}
+
+
+def written_partitions(spark: SparkSession, location: str) -> dict[PartitionKey, str]:
+    """Directory of every partition that has data files below ``location``.
+
+    The files are listed by the tasks; what is fetched is catalog metadata, one row per partition.
+    """
+    if not path_exists(spark, location):
+        return {}
+    root = qualified(spark, location.rstrip("/"))
+    folders = data_files(file_manifest(spark, [root])).select(dirname(F.col("path")).alias("folder")).distinct()
+    found = (r["folder"] for r in folders.toLocalIterator())
+    return {_partition_key(f[len(root) :]): f for f in found if f != root}
+
+
+def _partition(columns: list[str], key: PartitionKey) -> str:
+    values = (f"{quoted(c)} = {'NULL' if v is None else _text(v)}" for c, v in zip(columns, key, strict=True))
+    return f"PARTITION ({', '.join(values)})"
+
+
+def switch_partitions(
+    spark: SparkSession, table: str, columns: list[str], moved: dict[PartitionKey, str], emptied: Iterable[PartitionKey] = ()
+) -> None:
+    """Move, add and drop partitions of a catalogued table; no file is touched.
+
+    Each partition is switched in one step, and the table is there all the time. A reader that
+    starts while several are switched may see some of them old and some new. Repeating the call is
+    harmless.
+    """
+    known = catalogued_partitions(spark, table)
+    for key, location in sorted(moved.items(), key=str):
+        place = _partition(columns, key)
+        if key in known:
+            spark.sql(f"ALTER TABLE {quoted(table)} {place} SET LOCATION {_text(location)}")
+        else:
+            spark.sql(f"ALTER TABLE {quoted(table)} ADD IF NOT EXISTS {place} LOCATION {_text(location)}")
+    for key in sorted(set(emptied) & known, key=str):
+        spark.sql(f"ALTER TABLE {quoted(table)} DROP IF EXISTS {_partition(columns, key)}")
+    spark.catalog.refreshTable(table)
+
+
 def point_table_at(
     spark: SparkSession,
     table: str,
@@ -179,9 +242,10 @@ def point_table_at(
 ) -> None:
     """Create ``table`` at ``location``, or move the existing entry there; its properties stay.
 
-    An entry with the same columns and format and without partitions, before and after, is moved in
-    one step. Any other one is dropped and created anew, and for that moment readers do not find
-    the table; if creating it fails, the old entry is put back.
+    An entry with the same columns, format and partitions is moved and is there all the time: one
+    without partitions in one step, a partitioned one partition by partition (``switch_partitions``).
+    Any other one is dropped and created anew, and for that moment readers do not find the table;
+    if creating it fails, the old entry is put back.
     """
     columns = [(f.name, f.dataType.simpleString()) for f in schema.fields]
     old = _existing(spark, table) if spark.catalog.tableExists(table) else None
@@ -190,7 +254,12 @@ def point_table_at(
         table=name, location=location, columns=columns, database=database or None, format=fmt,
         partition_by=list(partition_by or []), properties=old.properties if old else {},
     )
-    if old and not old.partition_by and not new.partition_by and (old.columns, old.format.lower()) == (new.columns, fmt.lower()):
+    alike = old and (old.format.lower(), old.partition_by) == (fmt.lower(), new.partition_by)
+    if alike and new.partition_by and sorted(old.columns) == sorted(new.columns):
+        moved = written_partitions(spark, location)
+        emptied = catalogued_partitions(spark, table) - set(moved)
+        switch_partitions(spark, table, new.partition_by, moved, emptied)
+    if alike and (sorted(old.columns) == sorted(new.columns) if new.partition_by else old.columns == new.columns):
         spark.sql(f"ALTER TABLE {quoted(table)} SET LOCATION {_text(location)}")
         spark.catalog.refreshTable(table)
         return

@@ -6,6 +6,7 @@ import os
 import re
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,11 @@ def overwrite_sink(
     return df.sparkSession.read.format(fmt).schema(df.schema).load(path)
 
 
+def version_path(root: str) -> str:
+    """A new directory for a version below ``root``."""
+    return f"{root.rstrip('/')}/version-{uuid.uuid4().hex}"
+
+
 def publish_version(
     df: DataFrame,
     table: str,
@@ -65,15 +71,20 @@ def publish_version(
     fmt: str = "parquet",
     partition_by: list[str] | None = None,
     rebalance: bool = True,
+    check: Callable[[int], None] | None = None,
 ) -> str:
     """Write a new directory below ``root``, then point the catalog entry at it.
 
-    Readers see the old version or the new one and never a half-written path, and a failed job
-    leaves the table as it was. A partitioned table, or one whose columns, format or partitions
-    change, is missing from the catalog for a moment, as its entry is made anew. Superseded directories are for ``vacuum_plan`` to find.
+    Readers never see a half-written path, and a failed job leaves the table as it was; so does a
+    ``check`` that raises, which gets the number of rows written. A table without partitions is
+    switched in one step, a partitioned one partition by partition. Only a table whose columns,
+    format or partitions change is missing from the catalog for a moment, as its entry is made anew.
+    Superseded directories are for ``vacuum_plan`` to find.
     """
-    location = f"{root.rstrip('/')}/version-{uuid.uuid4().hex}"
-    overwrite_sink(df, location, fmt, partition_by, rebalance=rebalance)
+    location = version_path(root)
+    written = overwrite_sink(df, location, fmt, partition_by, rebalance=rebalance)
+    if check:
+        check(written.count())
     point_table_at(df.sparkSession, table, df.schema, location, fmt, partition_by)
     return location
 
