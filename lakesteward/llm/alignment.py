@@ -30,7 +30,9 @@ from lakesteward.llm.words import mixed
 
 DEFAULT_BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 #: chunks up to so many bytes are remembered, and at most so many links of them in a task
-REMEMBERED_BYTES, REMEMBERED_LINKS = 64, 1_000_000
+REMEMBERED_BYTES, REMEMBERED_LINKS = 64, 2_000_000
+#: new chunks encoded as one text
+JOINED = 256
 #: distinct pairs in a shard of the hash function, and in the tables that one pass looks up
 SHARD_PAIRS, ROUND_PAIRS = 1 << 17, 1 << 22
 #: fixed slots that shards are runs of
@@ -71,13 +73,14 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         names = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
+        self.a_lengths, self.b_lengths = (np.array(list(map(len, t)), np.int64) for t in (self.a_bytes, self.b_bytes))
         # where a space may begin a chunk: after a visible ASCII character that no piece joins to a space
         joined = load_vocabulary(pieces).joined[32::256]
         self.cut_after = ~joined & (np.arange(256) > 32) & (np.arange(256) < 127)
 
     def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of texts that begin with a space; the second model adds that space itself."""
-        first = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
+        first = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         return first, self.b.encode([c[1:] for c in chunks], num_threads=1)
 
 
@@ -100,6 +103,8 @@ class Aligner:
         self.whole = np.zeros(0, bool)
         self.numbers = np.zeros((0, 4 + RATINGS), np.int64)
         self.texts: list[bytes] = []
+        #: chunk and pair of every link of the chunks, kept only where no pair is looked up
+        self.owners: list[np.ndarray] = []
         self.pairs: list[np.ndarray] = []
         self.links = 0
 
@@ -107,30 +112,50 @@ class Aligner:
     def full(self) -> bool:
         return self.links > REMEMBERED_LINKS
 
+    def _encoded(self, chunks: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Whether each chunk keeps its bytes in both vocabularies; and of those that do the ids and ends of all tokens, and the ends of the chunks.
+
+        Chunks that may border on one another are joined to longer texts, which both tokenizers take
+        much faster; a joined text that does not come back whole is encoded chunk by chunk.
+        """
+        tools = self.tools
+        joinable = [len(c) > 1 and bool(tools.cut_after[c[-1]]) and c[1] > 32 and c[1] != 127 for c in chunks]
+        runs = [[i for i, j in enumerate(joinable) if j]]
+        runs = [runs[0][n : n + JOINED] for n in range(0, len(runs[0]), JOINED)] + [[i] for i, j in enumerate(joinable) if not j]
+        whole = np.zeros(len(chunks), bool)
+        found: list[tuple[list[int], np.ndarray, np.ndarray]] = []
+        while runs:
+            texts, kept = [], []
+            for run in runs:
+                try:
+                    texts.append(b"".join([chunks[i] for i in run]).decode())
+                    kept.append(run)
+                except UnicodeDecodeError:
+                    if len(run) > 1:
+                        kept.append(run)
+                        texts.append(" ")  # comes back changed
+            again = []
+            for run, text, a, b in zip(kept, texts, *tools.encode(texts), strict=True):
+                data = b"".join([chunks[i] for i in run])
+                if b"".join([tools.a_bytes[t] for t in a]) == data == b"".join([tools.b_bytes[t] for t in b]):
+                    whole[run] = True
+                    found.append((run, np.array(a, np.int64), np.array(b, np.int64)))
+                elif len(run) > 1:
+                    again += [[i] for i in run]
+            runs = again
+        found.sort(key=lambda f: f[0][0])
+        order = [i for run, _, _ in found for i in run]
+        none = np.zeros(0, np.int64)
+        flat_a, flat_b = (np.concatenate([none, *(f[side] for f in found)]) for side in (1, 2))
+        return whole, np.array(order, np.int64), flat_a, flat_b, np.cumsum(tools.a_lengths[flat_a]), np.cumsum(tools.b_lengths[flat_b])
+
     def _learn(self, chunks: list[bytes]) -> None:
         """Tokenize and align new chunks."""
-        tools, texts = self.tools, []
-        for c in chunks:
-            try:
-                texts.append(c.decode())
-            except UnicodeDecodeError:
-                texts.append(None)
-        good = [i for i, t in enumerate(texts) if t is not None]
-        first, second = tools.encode([texts[i] for i in good])
-        whole = np.zeros(len(chunks), bool)
-        ids: list[tuple[list[int], list[int]]] = []
-        for i, a, b in zip(good, first, second, strict=True):
-            if b"".join([tools.a_bytes[t] for t in a]) == chunks[i] == b"".join([tools.b_bytes[t] for t in b]):
-                whole[i] = True
-                ids.append((a, b))
+        # in the order in which their tokens follow each other
+        whole, place, flat_a, flat_b, ends_a, ends_b = self._encoded(chunks)
         numbers = np.zeros((len(chunks), 4 + RATINGS), np.int64)
         strings = [b""] * len(chunks)
-        place = np.flatnonzero(whole)
         if len(place):
-            flat_a, flat_b = (np.fromiter((t for pair in ids for t in pair[side]), np.int64) for side in (0, 1))
-            counts = np.array([(len(a), len(b)) for a, b in ids])
-            ends_a = np.cumsum([len(tools.a_bytes[t]) for t in flat_a.tolist()])
-            ends_b = np.cumsum([len(tools.b_bytes[t]) for t in flat_b.tolist()])
             chunk_ends = np.cumsum([len(chunks[i]) for i in place.tolist()])
             # between two ends lies one overlap of one token with one token
             ends = np.union1d(ends_a, ends_b)
@@ -138,32 +163,42 @@ class Aligner:
             pair = (flat_a[at_a] << 32) | flat_b[at_b]
             owner = np.searchsorted(chunk_ends, ends)
             common = (ends_a[at_a] == ends) & (ends_b[at_b] == ends)
-            numbers[place, 0], numbers[place, 1] = counts[:, 0], counts[:, 1]
-            numbers[place, 2] = np.bincount(owner[common], minlength=len(place))
-            numbers[place, 3] = np.bincount(owner, minlength=len(place))
+            if common[np.searchsorted(ends, chunk_ends)].sum() != len(place):
+                raise ValueError("a token crosses the border of a chunk")
+            for n, of in enumerate((np.searchsorted(chunk_ends, ends_a), np.searchsorted(chunk_ends, ends_b), owner[common], owner)):
+                numbers[place, n] = np.bincount(of, minlength=len(place))
             if self.rate is None:
+                self.owners.append(len(self.texts) + place[owner])
                 self.pairs.append(pair)
             else:
-                rated = self.rate(pair)
-                for n in range(RATINGS):
-                    sums = np.zeros(len(place), np.int64)
-                    np.add.at(sums, owner, rated[n])
-                    numbers[place, 4 + n] = sums
-                last = [(a, b, o) for a, b, o in zip((at_a[common] + 1).tolist(), (at_b[common] + 1).tolist(), owner[common].tolist(), strict=True)]
-                text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-                groups: list[list[str]] = [[] for _ in range(len(place))]
-                low_a = low_b = 0
-                for high_a, high_b, o in last:
-                    groups[o].append(",".join(text_a[low_a:high_a]) + "|" + ",".join(text_b[low_b:high_b]))
-                    low_a, low_b = high_a, high_b
-                for i, parts in zip(place.tolist(), groups, strict=True):
-                    strings[i] = ";".join(parts).encode()
+                for n, rating in enumerate(self.rate(pair)):
+                    # exact: whole numbers are added as such
+                    sums = np.r_[0, np.cumsum(rating)]
+                    cuts = np.r_[0, np.searchsorted(owner, np.arange(len(place)), "right")]
+                    numbers[place, 4 + n] = np.diff(sums[cuts])
+                self._write_groups(strings, place, flat_a, flat_b, at_a[common] + 1, at_b[common] + 1, owner[common])
             self.links += len(pair)
         self.links += len(chunks)
         self.whole = np.r_[self.whole, whole]
         self.numbers = np.concatenate([self.numbers, numbers])
         self.texts += strings
 
+    @staticmethod
+    def _write_groups(strings: list[bytes], place: np.ndarray, flat_a: np.ndarray, flat_b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray, owner: np.ndarray) -> None:
+        """Each chunk's groups as text, from the tokens of either side up to which every group goes."""
+        text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
+        groups = []
+        low_a = low_b = 0
+        for high_a, high_b in zip(upto_a.tolist(), upto_b.tolist(), strict=True):
+            if high_a - low_a == 1 == high_b - low_b:
+                groups.append(text_a[low_a] + "|" + text_b[low_b])
+            else:
+                groups.append(",".join(text_a[low_a:high_a]) + "|" + ",".join(text_b[low_b:high_b]))
+            low_a, low_b = high_a, high_b
+        cuts = np.searchsorted(owner, np.arange(len(place) + 1)).tolist()
+        for n, i in enumerate(place.tolist()):
+            strings[i] = ";".join(groups[cuts[n] : cuts[n + 1]]).encode()
+
     def look_up(self, data: bytes, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entry of every chunk of the texts that begin at ``heads``, and each text's first chunk."""
         b = np.frombuffer(data, np.uint8)
@@ -209,9 +244,9 @@ def partial_counts(documents: DataFrame, byte_level: str, pieces: str) -> DataFr
         seen = np.zeros(0, np.int64)
 
         def sums() -> pa.RecordBatch:
-            own = np.concatenate([np.zeros(0, np.int64), *aligner.pairs])
-            times = np.repeat(seen, aligner.numbers[: len(seen), 3])
-            own, place = np.unique(own[: len(times)], return_inverse=True)
+            none = np.zeros(0, np.int64)
+            times = seen[np.concatenate([none, *aligner.owners])]
+            own, place = np.unique(np.concatenate([none, *aligner.pairs]), return_inverse=True)
             n = np.zeros(len(own), np.int64)
             np.add.at(n, place, times)
             own, n = own[n > 0], n[n > 0]
