@@ -326,4 +326,12 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'gold/nation', count(*), CAST(sum(n_nationkey) AS BIGINT), true FROM nation
         UNION ALL SELECT 'silver/customer', count(*), CAST(sum(c_custkey) AS BIGINT), true FROM customer
         WHERE c_nationkey IN (6, 11)""",
+    "q52_clustered_items": """
+        SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate,
+               true AS prunes_l_orderkey, true AS prunes_l_partkey, true AS prunes_l_shipdate
+        FROM lineitem""",
+    "q53_packed_orders": """
+        SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus,
+               true AS large_untouched, true AS fewer, true AS fits
+        FROM orders""",
 }

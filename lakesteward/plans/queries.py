@@ -18,9 +18,11 @@ from lakesteward.functions import paths as path_fn
 from lakesteward.functions import runs as run_fn
 from lakesteward.functions.templates import resolve_template
 from lakesteward.operators import manifests, matching, ordering, quality, runs, scope, tenants
+from lakesteward.operators.clustering import cluster
 from lakesteward.operators.maintenance import compact, file_count_for, vacuum_execute, vacuum_plan
 from lakesteward.plans.clone import clone_prefixes, clone_table
 from lakesteward.plans.offboard import offboard_tenant
+from lakesteward.plans.packing import pack_table, table_files
 from lakesteward.plans.partitions import delete_tenants, upsert_table
 from lakesteward.session import saved, workspace
 from lakesteward.sources.basic import range_source, rows_source
@@ -662,6 +664,49 @@ def cloned_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stacked.withColumn("as_reported", F.lit(as_reported))
 
 
+def clustered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items in 64 files along a curve through three columns.
+
+    For each column: whether an interval of a sixteenth of its rows meets at most 60 of 100 files, where a
+    layout that ignores the column has it meet all of them.
+    """
+    columns = ["l_orderkey", "l_partkey", "l_shipdate"]
+    items = table(spark, sf_dir, "lineitem").select("l_linenumber", *columns)
+    stored = overwrite_sink(cluster(items, 64, columns, from_scan=True), workspace(spark, "clustered"))
+    rows = stored.select("*", F.col("_metadata.file_name").alias("file"))
+    number = {c: F.unix_micros(F.col(c).cast("timestamp")) if c == "l_shipdate" else F.col(c) for c in columns}
+    ends = rows.agg(*(F.percentile_approx(number[c], [0.5, 0.5625], 10000).alias(c) for c in columns)).first()
+    ranges = rows.groupBy("file").agg(*(f(number[c]).alias(f"{n}_{c}") for c in columns for f, n in ((F.min, "low"), (F.max, "high"))))
+    met = ranges.agg(
+        F.count("*").alias("files"),
+        *(F.count_if((F.col(f"low_{c}") <= ends[c][1]) & (F.col(f"high_{c}") >= ends[c][0])).alias(c) for c in columns),
+    ).first()
+    pruned = [F.lit(met[c] <= 0.6 * met["files"]).alias(f"prunes_{c}") for c in columns]
+    return stored.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", *pruned)
+
+
+def packed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by status in a large file and many small ones each; whether the large ones stayed and the others were packed."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    large, small = F.col("o_orderkey") % 8 > 0, F.col("o_orderkey") % 8 == 0
+    name, root = _published(orders.filter(large).coalesce(1), "packed", ["o_orderstatus"])
+    place = table_location(spark, name)
+    orders.filter(small).repartition(12).write.mode("append").partitionBy("o_orderstatus").parquet(place)
+    spark.catalog.refreshTable(name)
+    before = saved(table_files(spark, name), "files-before")
+    largest = before.groupBy(path_fn.dirname(F.col("path")).alias("folder")).agg(F.max("length").alias("most"))
+    target = largest.agg(F.min("most")).first()[0]
+    outcome = pack_table(spark, name, root, target).first()
+    after = saved(table_files(spark, name), "files-after")
+    kept = before.filter(F.col("length") >= target)
+    checks = {
+        "large_untouched": kept.exceptAll(after).isEmpty() and not kept.isEmpty(),
+        "fewer": after.count() == before.count() - outcome["replaced"] + outcome["packed"] < before.count(),
+        "fits": after.join(before, "path", "left_anti").filter(F.col("length") > target * 2).isEmpty(),
+    }
+    return spark.table(name).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", *(F.lit(v).alias(k) for k, v in checks.items()))
+
+
 QUERIES: dict[str, Query] = {
     "q01_range_count": range_count,
     "q02_overwrite_roundtrip": overwrite_roundtrip,
@@ -714,4 +759,6 @@ QUERIES: dict[str, Query] = {
     "q49_partition_delete": partition_delete,
     "q50_partition_upsert": partition_upsert,
     "q51_clone_prefixes": cloned_prefixes,
+    "q52_clustered_items": clustered_items,
+    "q53_packed_orders": packed_orders,
 }
