@@ -75,7 +75,8 @@ def latest_state(events: DataFrame, key: list[str], order: str, values: list[str
     return picked.select(*key, "_last.*")
 
 
-def _state_code(state: Column) -> Column:
+def state_code(state: Column) -> Column:
+    """Place of a state in its life cycle, from 1; null for none."""
     position = F.array_position(F.array(*map(F.lit, RUN_STATES)), state).cast("int")
     return F.nullif(position, F.lit(0))
 
@@ -104,7 +105,7 @@ def fold_run_state(
     at = F.col(order)
     ends = exited | state.isin(TERMINAL_STATES)
     ended_as = (
-        F.when(state.isin(TERMINAL_STATES), _state_code(state))
+        F.when(state.isin(TERMINAL_STATES), state_code(state))
         .when(exit_code == 0, F.lit(RUN_STATES.index("COMPLETED") + 1))
         .otherwise(F.lit(RUN_STATES.index("FAILED") + 1))
     )
@@ -118,7 +119,7 @@ def fold_run_state(
         F.min(end_at).alias(end),
         F.min_by(ended_as, end_at).alias(ended),
         F.min(cancel_at).alias(cancelled_at),
-        F.max_by(_state_code(state), state_at).alias(reported),
+        F.max_by(state_code(state), state_at).alias(reported),
         *codes,
     )
     cancelled = F.col(cancelled_at).isNotNull() & (
