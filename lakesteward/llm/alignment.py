@@ -30,7 +30,7 @@ from lakesteward.llm.words import mixed
 
 DEFAULT_BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 #: chunks up to so many bytes are remembered, and at most so many links of them in a task
-REMEMBERED_BYTES, REMEMBERED_LINKS = 64, 2_000_000
+REMEMBERED_BYTES, REMEMBERED_LINKS = 64, 6_000_000
 #: new chunks encoded as one text
 JOINED = 256
 #: distinct pairs in a shard of the hash function, and in the tables that one pass looks up
@@ -74,6 +74,12 @@ class Tokenizers:
         names = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
         self.a_lengths, self.b_lengths = (np.array(list(map(len, t)), np.int64) for t in (self.a_bytes, self.b_bytes))
+        # ids as text, with what follows one within a group and at the end of its side of the group
+        most = max(len(self.a_bytes), len(self.b_bytes))
+        self.a_written, self.b_written = (
+            np.array([[f"{i}{mark}" for i in range(most)] for mark in marks], object) for marks in (",|", ",;")
+        )
+        self.digits = np.array([len(str(i)) for i in range(most)], np.int64)
         # where a space may begin a chunk: after a visible ASCII character that no piece joins to a space
         joined = load_vocabulary(pieces).joined[32::256]
         self.cut_after = ~joined & (np.arange(256) > 32) & (np.arange(256) < 127)
@@ -183,21 +189,26 @@ class Aligner:
         self.numbers = np.concatenate([self.numbers, numbers])
         self.texts += strings
 
-    @staticmethod
-    def _write_groups(strings: list[bytes], place: np.ndarray, flat_a: np.ndarray, flat_b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray, owner: np.ndarray) -> None:
+    def _write_groups(self, strings: list[bytes], place: np.ndarray, flat_a: np.ndarray, flat_b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray, owner: np.ndarray) -> None:
         """Each chunk's groups as text, from the tokens of either side up to which every group goes."""
-        text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        groups = []
-        low_a = low_b = 0
-        for high_a, high_b in zip(upto_a.tolist(), upto_b.tolist(), strict=True):
-            if high_a - low_a == 1 == high_b - low_b:
-                groups.append(text_a[low_a] + "|" + text_b[low_b])
-            else:
-                groups.append(",".join(text_a[low_a:high_a]) + "|" + ",".join(text_b[low_b:high_b]))
-            low_a, low_b = high_a, high_b
-        cuts = np.searchsorted(owner, np.arange(len(place) + 1)).tolist()
+        tools = self.tools
+        group_a, group_b = (np.searchsorted(upto, np.arange(len(flat)), "right") for upto, flat in ((upto_a, flat_a), (upto_b, flat_b)))
+        # a group's first ids, then its second ones, each with what follows it
+        at_a = np.arange(len(flat_a)) + np.r_[0, upto_b][group_a]
+        at_b = np.arange(len(flat_b)) + upto_a[group_b]
+        parts = np.empty(len(flat_a) + len(flat_b), object)
+        lengths = np.empty(len(parts), np.int64)
+        for at, flat, upto, written in ((at_a, flat_a, upto_a, tools.a_written), (at_b, flat_b, upto_b, tools.b_written)):
+            last = np.zeros(len(flat), np.int64)
+            last[upto - 1] = 1
+            parts[at] = written[last, flat]
+            lengths[at] = tools.digits[flat]
+        text = "".join(parts.tolist()).encode()
+        ends = np.cumsum(lengths + 1)
+        last_group = np.searchsorted(owner, np.arange(len(place)), "right") - 1
+        cuts = np.r_[0, ends[upto_a[last_group] + upto_b[last_group] - 1]].tolist()
         for n, i in enumerate(place.tolist()):
-            strings[i] = ";".join(groups[cuts[n] : cuts[n + 1]]).encode()
+            strings[i] = text[cuts[n] : cuts[n + 1] - 1]
 
     def look_up(self, data: bytes, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entry of every chunk of the texts that begin at ``heads``, and each text's first chunk."""
@@ -210,12 +221,15 @@ class Aligner:
         ends = np.r_[starts[1:], len(b)].astype(np.int64)
         chunks = [data[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
         found = list(map(self.known.get, chunks))
-        new = list(dict.fromkeys(c for c, i in zip(chunks, found, strict=True) if i is None))
-        if new:
+        missing = [n for n, i in enumerate(found) if i is None]
+        if missing:
+            unknown = [chunks[n] for n in missing]
+            new = list(dict.fromkeys(unknown))
             base = len(self.texts)
             self._learn(new)
-            fresh = {c: base + i for i, c in enumerate(new)}
-            found = [fresh[c] if i is None else i for c, i in zip(chunks, found, strict=True)]
+            fresh = dict(zip(new, range(base, base + len(new)), strict=True))
+            for n, c in zip(missing, unknown, strict=True):
+                found[n] = fresh[c]
             self.known.update((c, i) for c, i in fresh.items() if len(c) <= REMEMBERED_BYTES)
         return np.array(found, np.int64), np.searchsorted(starts, heads)
 
