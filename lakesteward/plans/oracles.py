@@ -334,4 +334,30 @@ ORACLES: dict[str, str] = {
         SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus,
                true AS large_untouched, true AS fewer, true AS fits
         FROM orders""",
+    "q54_stream_run_states": """
+        WITH e AS (
+          SELECT user_id, CAST(ts AS DATE) AS day, count(*) + count(*) FILTER (event_id % 10 = 0) AS n,
+                 min(event_id) FILTER (event_type IN ('purchase', 'error')) AS end_at,
+                 arg_min(event_type, event_id) FILTER (event_type IN ('purchase', 'error')) AS ended,
+                 min(event_id) FILTER (event_type = 'click') AS cancel_at,
+                 arg_max(event_type, event_id) FILTER (event_type IN ('signup', 'view')) AS reported
+          FROM events GROUP BY ALL)
+        SELECT user_id, day, n, end_at AS finished,
+               CAST(CASE WHEN ended = 'purchase' THEN 0 WHEN ended = 'error' AND end_at % 2 = 1 THEN 1 END AS INTEGER) AS exit_code,
+               CASE WHEN cancel_at IS NOT NULL AND end_at IS NULL THEN 'CANCEL_PENDING'
+                    WHEN cancel_at < end_at THEN 'CANCELLED'
+                    WHEN ended = 'purchase' THEN 'COMPLETED'
+                    WHEN ended = 'error' THEN 'FAILED'
+                    WHEN reported = 'signup' THEN 'SUBMITTED'
+                    ELSE 'RUNNING' END AS state
+        FROM e""",
+    "q55_resumed_offboarding": f"""
+        {_TENANT},
+        c AS (
+          SELECT 'customer' AS tbl, count(*) AS n_before, count(*) FILTER (c_nationkey = 6) AS n_deleted FROM customer
+          UNION ALL
+          SELECT 'orders', count(*), count(*) FILTER (o_orderkey IN (SELECT o_orderkey FROM gone_o)) FROM orders
+          UNION ALL
+          SELECT 'lineitem', count(*), count(*) FILTER (l_orderkey IN (SELECT o_orderkey FROM gone_o)) FROM lineitem)
+        SELECT tbl, n_before, n_before - n_deleted AS n_after, n_deleted, true AS nothing_twice FROM c""",
 }

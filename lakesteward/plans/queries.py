@@ -31,6 +31,7 @@ from lakesteward.sources.definitions import resolve_table_defs
 from lakesteward.sources.manifest import file_manifest, list_prefix
 from lakesteward.sources.run_records import read_job_runs, read_run_logs, read_run_status
 from lakesteward.sources.sinks import overwrite_sink, publish_version, write_run_logs
+from lakesteward.streaming.run_states import stream_run_states
 from lakesteward.streaming.latest import event_stream, latest_snapshot, stream_latest_state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -707,6 +708,31 @@ def packed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", *(F.lit(v).alias(k) for k, v in checks.items()))
 
 
+def streamed_run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' days as runs whose events arrive out of order in three batches, a tenth of them twice, with a restart after each."""
+    root = workspace(spark, "run-states")
+    events = run_events(spark, sf_dir).select(*RUN, "event_id", "event_type")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for i in range(3):
+        twice = (part == (i + 2) % 3) & (F.col("event_id") % 10 == 0)
+        events.filter((part == i) | twice).write.mode("append").parquet(f"{root}/events")
+        arriving = event_stream(spark, f"{root}/events", events.schema)
+        stream_run_states(arriving, RUN, "event_id", **_run_event_marks(), root=root).awaitTermination()
+    latest = latest_snapshot(spark, root, RUN)
+    return latest.select(*RUN, "state", "finished", "exit_code", F.col("events").alias("n"))
+
+
+def resumed_offboarding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a job that is started again with its journal, and whether all files are as the first start left them."""
+    root, journal = workspace(spark, "offboard"), workspace(spark, "offboard-journal")
+    related = tenant_tables(spark, sf_dir)
+    report = offboard_tenant(spark, related, [TENANT], root, journal=journal)
+    written = saved(manifests.data_files(file_manifest(spark, [root])), "files-before")
+    again = offboard_tenant(spark, related, [TENANT], root, journal=journal)
+    same = written.exceptAll(manifests.data_files(file_manifest(spark, [root]))).isEmpty() and report.collect() == again.collect()
+    return again.drop("location").withColumn("nothing_twice", F.lit(same))
+
+
 QUERIES: dict[str, Query] = {
     "q01_range_count": range_count,
     "q02_overwrite_roundtrip": overwrite_roundtrip,
@@ -761,4 +787,6 @@ QUERIES: dict[str, Query] = {
     "q51_clone_prefixes": cloned_prefixes,
     "q52_clustered_items": clustered_items,
     "q53_packed_orders": packed_orders,
+    "q54_stream_run_states": streamed_run_states,
+    "q55_resumed_offboarding": resumed_offboarding,
 }

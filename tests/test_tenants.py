@@ -195,3 +195,57 @@ def test_keys_with_and_without_a_zone_do_not_mix(spark):
     table = TenantTable("t", spark.range(1).selectExpr("current_timestamp() AS tenant"), tenant_col="tenant")
     with pytest.raises(tenants.InexactKey):
         tenants.listed_keys([datetime(2024, 1, 1), datetime(2024, 1, 1, tzinfo=timezone.utc)], table)
+
+
+class Killed(BaseException):
+    pass
+
+
+@pytest.mark.parametrize("form", ["list", "frame"])
+def test_offboarding_goes_on_from_its_journal(spark, tables, tmp_path, monkeypatch, form):
+    from lakesteward.plans import offboard
+    from lakesteward.plans.journal import Journal
+
+    record, write = Journal.record, offboard.overwrite_sink
+    written, left = [], [0]
+
+    def counted(df, path, **options):
+        written.append(path)
+        return write(df, path, **options)
+
+    def killed(self, place, result):
+        if not left[0]:
+            raise Killed  # the work of the step is done, its record is not written
+        left[0] -= 1
+        record(self, place, result)
+
+    monkeypatch.setattr(offboard, "overwrite_sink", counted)
+    catalog = {}
+    for t in tables:
+        catalog[t.name] = f"journal_{form}_{t.name}"
+        publish_version(t.df, catalog[t.name], str(tmp_path / "old" / t.name))
+    keys = [6] if form == "list" else spark.createDataFrame([(6,)], "k INT")
+
+    def start():
+        live = [TenantTable(t.name, spark.table(catalog[t.name]), t.tenant_col, t.key, t.parent, t.fk) for t in tables]
+        return offboard_tenant(spark, live, keys, str(tmp_path / "new"), catalog, str(tmp_path / "journal"))
+
+    with monkeypatch.context() as patched:
+        patched.setattr(Journal, "record", killed)
+        for finished in range(20):
+            # each start finishes one more step than the one before, and dies in the next
+            left[0] = 1 if finished else 0
+            try:
+                report = start()
+                break
+            except Killed:
+                pass
+    got = {r["tbl"]: (r["n_before"], r["n_after"], r["n_deleted"]) for r in report.collect()}
+    assert got == {"org": (5, 3, 2), "doc": (5, 3, 2), "line": (5, 2, 3)}
+    assert rows({n: spark.table(c) for n, c in catalog.items()}) == {k: sorted(v, key=str) for k, v in EXPECTED.items()}
+    # a table is written again only by the start after the one that died before it could record it
+    assert all(written.count(str(tmp_path / "new" / t.name)) == 2 for t in tables)
+    written.clear()
+    assert start().collect() == report.collect() and written == []
+    with pytest.raises(offboard.OtherRequest):
+        offboard_tenant(spark, tables[:1], keys, str(tmp_path / "new"), catalog, str(tmp_path / "journal"))
