@@ -161,18 +161,28 @@ ORACLES: dict[str, str] = {
     "q26_batch_failures": """
         SELECT user_id, CAST(ts AS DATE) AS day, event_id, 'step failed with ' || props AS error
         FROM events WHERE event_type = 'error'""",
-    "q27_publish_version": "SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 20",
-    "q28_list_prefix": "SELECT DISTINCT 'c_nationkey=' || c_nationkey AS name, true AS is_dir FROM customer",
+    "q27_publish_version": """
+        SELECT p_partkey, p_name, p_size, p_partkey + 1 AS p_next,
+               CAST((SELECT count(DISTINCT p_size) FROM part WHERE p_size > 20) AS INTEGER) AS partitions
+        FROM part WHERE p_size > 20""",
+    "q28_list_prefix": """
+        SELECT DISTINCT 'c_nationkey=' || c_nationkey AS name, true AS is_dir, CAST(0 AS BIGINT) AS length FROM customer
+        UNION ALL
+        SELECT 'files', false, CAST(sum(octet_length(encode(c_custkey || '|' || c_name)) + 1) AS BIGINT)
+        FROM customer WHERE c_nationkey = 6""",
     "q29_file_manifest": """
-        SELECT DISTINCT 'supplier/s_nationkey=' || s_nationkey AS folder, true AS has_bytes FROM supplier
-        UNION ALL SELECT DISTINCT 'customer/c_nationkey=' || c_nationkey, true FROM customer
-        UNION ALL SELECT DISTINCT 'orders/o_orderstatus=' || o_orderstatus, true FROM orders""",
+        WITH l AS (
+          SELECT 'supplier/s_nationkey=' || s_nationkey AS folder, s_suppkey || '|' || s_name AS line FROM supplier
+          UNION ALL SELECT 'customer/c_nationkey=' || c_nationkey, c_custkey || '|' || c_name FROM customer
+          UNION ALL SELECT 'orders/o_orderstatus=' || o_orderstatus, o_orderkey || '|' || o_orderpriority FROM orders)
+        SELECT folder, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS bytes FROM l GROUP BY folder""",
     "q30_table_definitions": """
-        SELECT p_type || '/t' || p_partkey || '.json' AS path, 't' || p_partkey AS name,
-               CASE WHEN p_size <> 1 THEN 'local_db' END AS db,
-               CASE WHEN p_size <> 1 THEN 's3://data-dev/local/' || p_type || '/t' || p_partkey END AS location,
-               CASE WHEN p_size <> 1 THEN p_brand END AS second_column, p_size <> 1 AS ok
-        FROM part WHERE p_type IN ('ECONOMY', 'SMALL', 'LARGE')""",
+        WITH b AS (SELECT p_type, p_brand, min(p_size) AS s, max(p_size) AS l FROM part GROUP BY ALL)
+        SELECT p_type || '/' || p_brand || '.json' AS path, p_brand AS name,
+               CASE WHEN s <> 1 THEN 'local_db' END AS db, CASE WHEN s <> 1 THEN 't' || l END AS tbl,
+               CASE WHEN s <> 1 THEN 's3://data-dev/local/' || p_type || '/t' || s END AS location,
+               CASE WHEN s <> 1 THEN p_brand END AS second_column, s <> 1 AS ok
+        FROM b WHERE p_type IN ('ECONOMY', 'SMALL', 'LARGE')""",
     "q31_catalog_roundtrip": """
         SELECT s_suppkey, s_name, CAST(2 AS BIGINT) AS failed, CAST(1 AS INTEGER) AS exit_code, true AS kept
         FROM supplier""",
@@ -360,4 +370,20 @@ ORACLES: dict[str, str] = {
           UNION ALL
           SELECT 'lineitem', count(*), count(*) FILTER (l_orderkey IN (SELECT o_orderkey FROM gone_o)) FROM lineitem)
         SELECT tbl, n_before, n_before - n_deleted AS n_after, n_deleted, true AS nothing_twice FROM c""",
+    "q56_status_files": """
+        SELECT 'jr-' || substr(o_orderpriority, 1, 1) || '-' || o_orderstatus || '-' || year(o_orderdate) AS id,
+               'vc-' || o_orderstatus AS "virtualClusterId", o_orderpriority AS name,
+               CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED' ELSE 'FAILED' END AS state,
+               CAST(count(*) % 3 AS INTEGER) AS "exitCode",
+               min(CAST(epoch(o_orderdate) AS DOUBLE)) AS "startedAt", max(CAST(epoch(o_orderdate) AS DOUBLE)) AS "finishedAt",
+               CAST(NULL AS VARCHAR) AS "logUri",
+               '/var/logs/jr-' || substr(o_orderpriority, 1, 1) || '-' || o_orderstatus || '-' || year(o_orderdate) || '/stdout.log'
+                 AS "stdoutLocal"
+        FROM orders GROUP BY o_orderpriority, o_orderstatus, year(o_orderdate)""",
+    "q57_cluster_records": """
+        SELECT o_orderkey, 'vc-' || c_nationkey AS "virtualClusterId", n_name AS cluster_name,
+               CASE WHEN n_nationkey IS NOT NULL THEN 'RUNNING' END AS cluster_state, 'ns-' || n_regionkey AS namespace,
+               CAST(n_nationkey * 1.5 AS DOUBLE) AS "createdAt", CAST(n_regionkey AS VARCHAR) AS region
+        FROM orders JOIN customer ON o_custkey = c_custkey
+        LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 3) ON n_nationkey = c_nationkey""",
 }

@@ -26,10 +26,10 @@ from lakesteward.plans.packing import pack_table, table_files
 from lakesteward.plans.partitions import delete_tenants, upsert_table
 from lakesteward.session import saved, workspace
 from lakesteward.sources.basic import range_source, rows_source
-from lakesteward.sources.catalog import register_batch, table_location
-from lakesteward.sources.definitions import resolve_table_defs
-from lakesteward.sources.manifest import file_manifest, list_prefix
-from lakesteward.sources.run_records import read_job_runs, read_run_logs, read_run_status
+from lakesteward.sources.catalog import catalogued_partitions, register_batch, table_location
+from lakesteward.sources.definitions import read_table_defs, resolve_table_defs
+from lakesteward.sources.manifest import file_manifest, list_prefix, qualified, storage_opener, storage_options
+from lakesteward.sources.run_records import read_clusters, read_job_runs, read_run_logs, read_run_status
 from lakesteward.sources.sinks import overwrite_sink, publish_version, write_run_logs
 from lakesteward.streaming.run_states import stream_run_states
 from lakesteward.streaming.latest import event_stream, latest_snapshot, stream_latest_state
@@ -342,54 +342,121 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def published_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts published three times: whole, by size with a new column, and by size again with the larger ones only."""
     root = workspace(spark, "published")
     name = "published_" + os.path.basename(root).rpartition("-")[2]
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     publish_version(part, name, root)
-    publish_version(spark.table(name).filter("p_size > 20"), name, root)
-    return spark.table(name)
+    publish_version(part.withColumn("p_next", F.col("p_partkey") + 1), name, root, partition_by=["p_size"])
+    publish_version(spark.table(name).filter("p_size > 20"), name, root, partition_by=["p_size"])
+    sizes = len(catalogued_partitions(spark, name))
+    return spark.table(name).select("p_partkey", "p_name", "p_size", "p_next", F.lit(sizes).alias("partitions"))
 
 
 def prefix_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directories of a level, and the number and bytes of the files in one of them, in plain text so that they are known."""
     path = workspace(spark, "listing")
-    clone_table(spark, f"{sf_dir}/customer.parquet", path, partition_by=["c_nationkey"])
-    listed = list_prefix(spark, path).filter("is_dir")
-    return listed.select(path_fn.basename(F.col("path")).alias("name"), "is_dir")
+    lines = table(spark, sf_dir, "customer").select("c_nationkey", F.concat_ws("|", "c_custkey", "c_name").alias("value"))
+    lines.repartition(3, "c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    listed = list_prefix(spark, path).filter("is_dir").select(path_fn.basename(F.col("path")).alias("name"), "is_dir", "length")
+    inside = manifests.data_files(list_prefix(spark, f"{path}/c_nationkey={TENANT}")).filter("length > 0")
+    total = inside.agg(F.lit("files").alias("name"), F.max("is_dir").alias("is_dir"), F.sum("length").alias("length"))
+    return listed.unionByName(total)
 
 
 def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes per folder of three sections of plain text."""
     path = workspace(spark, "layers")
     sections = {"gold": "supplier", "silver": "customer", "bronze": "orders"}
-    columns = {"supplier": ["s_nationkey"], "customer": ["c_nationkey"], "orders": ["o_orderstatus"]}
+    columns = {"supplier": "s_nationkey", "customer": "c_nationkey", "orders": "o_orderstatus"}
+    text = {"supplier": ["s_suppkey", "s_name"], "customer": ["c_custkey", "c_name"], "orders": ["o_orderkey", "o_orderpriority"]}
     for section, name in sections.items():
-        rows = table(spark, sf_dir, name)
-        overwrite_sink(rows, f"{path}/{section}/{name}", partition_by=columns[name], rebalance=True)
+        rows = table(spark, sf_dir, name).select(columns[name], F.concat_ws("|", *text[name]).alias("value"))
+        rows.repartition(2).write.partitionBy(columns[name]).text(f"{path}/{section}/{name}")
     found = manifests.data_files(file_manifest(spark, [f"{path}/{s}" for s in sections]))
     folder = path_fn.relative_key(path_fn.dirname(F.col("path")), F.col("prefix"))
-    filled = found.select(folder.alias("folder"), F.col("length")).groupBy("folder")
-    return filled.agg((F.min("length") > 0).alias("has_bytes"))
+    return found.select(folder.alias("folder"), F.col("length")).groupBy("folder").agg(F.sum("length").alias("bytes"))
+
+
+def _written_as_files(files: DataFrame) -> None:
+    """Write the rows (path, body) as files of these names, inside the tasks."""
+    options = storage_options(files.sparkSession)
+
+    def write(batches):
+        open_path = storage_opener(options)
+        for batch in batches:
+            for path, body in zip(batch.column("path").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                store, inner = open_path(path)
+                store.create_dir(os.path.dirname(inner), recursive=True)
+                with store.open_output_stream(inner) as out:
+                    out.write(body.encode())
+            yield batch.select(["path"])
+
+    files.select("path", "body").mapInArrow(write, "path STRING").write.format("noop").mode("overwrite").save()
 
 
 def table_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands of a part type as tables, defined in files ``<type>/<brand>.json`` that are read back; those of one size are broken."""
+    root = qualified(spark, workspace(spark, "definitions"))
+    brands = table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(F.min("p_size").alias("smallest"), F.max("p_size").alias("largest"))
     body = F.format_string(
-        '{"database": "{env}_db", "table": "t%d", "location": "s3://data-{bucket_suffix}/{env}/%s/t%d", '
-        '"columns": [{"name": "id", "type": "string"}, {"name": "%s", "type": "int"}]}',
-        "p_partkey", "p_type", "p_partkey", "p_brand",
+        '{\n  "database": "{env}_db",\n  "table": "t%d",\n  "location": "s3://data-{bucket_suffix}/{env}/%s/t%d",\n'
+        '  "columns": [{"name": "id", "type": "string"}, {"name": "%s", "type": "int"}]\n}\n',
+        "largest", "p_type", "smallest", "p_brand",
     )
-    texts = table(spark, sf_dir, "part").select(
-        F.concat_ws("/", "p_type", F.concat(F.lit("t"), "p_partkey", F.lit(".json"))).alias("path"),
-        F.col("p_type").alias("section"),
-        F.concat(F.lit("t"), "p_partkey").alias("name"),
-        F.when(F.col("p_size") == 1, "{ broken").otherwise(body).alias("body"),
-    )
-    found = resolve_table_defs(texts, ["ECONOMY", "SMALL", "LARGE"], None, {"env": "local", "bucket_suffix": "dev"})
+    path = F.concat_ws("/", F.lit(root), "p_type", F.concat(F.col("p_brand"), F.lit(".json")))
+    _written_as_files(brands.select(path.alias("path"), F.when(F.col("smallest") == 1, "{ broken").otherwise(body).alias("body")))
+    found = read_table_defs(spark, root, ["ECONOMY", "SMALL", "LARGE"], None, {"env": "local", "bucket_suffix": "dev"})
     entry = F.col("definition")
     return found.select(
-        "path", "name", entry["database"].alias("db"), entry["location"].alias("location"),
+        F.concat_ws("/", path_fn.basename(path_fn.dirname(F.col("path"))), path_fn.basename(F.col("path"))).alias("path"), "name",
+        entry["database"].alias("db"), entry["table"].alias("tbl"), entry["location"].alias("location"),
         F.get(entry["columns"], 1)["name"].alias("second_column"), entry.isNotNull().alias("ok"),
     )
 
 
+def status_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a priority, status and year as a run each, with its pretty-printed status in a file of its own."""
+    root = qualified(spark, workspace(spark, "status-files"))
+    orders = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    at = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double")
+    groups = orders.groupBy("o_orderpriority", "o_orderstatus", "year").agg(F.min(at).alias("startedAt"), F.max(at).alias("finishedAt"), F.count("*").alias("n"))
+    run = F.concat_ws("-", F.lit("jr"), F.substring("o_orderpriority", 1, 1), "o_orderstatus", "year")
+    record = groups.select(
+        run.alias("id"), F.concat(F.lit("vc-"), F.col("o_orderstatus")).alias("virtualClusterId"), F.col("o_orderpriority").alias("name"),
+        F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("FAILED").alias("state"), (F.col("n") % 3).cast("int").alias("exitCode"),
+        "startedAt", "finishedAt", *(F.lit(None).cast("string").alias(c) for c in run_fn.STATUS_FIELDS[7:10]),
+        F.concat(F.lit("/var/logs/"), run, F.lit("/stdout.log")).alias("stdoutLocal"), F.lit(None).cast("string").alias("stderrLocal"),
+    )
+    fields = F.struct(*run_fn.STATUS_FIELDS)
+    path = F.concat_ws("/", F.lit(root), "virtualClusterId", "id", F.lit("status.json"))
+    _written_as_files(record.select(path.alias("path"), F.to_json(fields, {"pretty": "true", "ignoreNullFields": "false"}).alias("body")))
+    read = read_run_status(spark, f"{root}/*/*")
+    return read.select("id", "virtualClusterId", "name", "state", "exitCode", "startedAt", "finishedAt", "logUri", "stdoutLocal")
+
+
+def cluster_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as clusters in JSON, with the customers' orders as their runs."""
+    path = workspace(spark, "clusters")
+    record = F.struct(
+        F.concat(F.lit("vc-"), F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"), F.lit("RUNNING").alias("state"),
+        F.struct(F.lit("eks").alias("id"), F.lit("EKS").alias("type"), F.struct(F.struct(F.concat(F.lit("ns-"), F.col("n_regionkey")).alias("namespace"))
+                 .alias("eksInfo")).alias("info")).alias("containerProvider"),
+        (F.col("n_nationkey") * 1.5).cast("double").alias("createdAt"), F.create_map(F.lit("region"), F.col("n_regionkey").cast("string")).alias("tags"),
+    )
+    table(spark, sf_dir, "nation").filter("n_nationkey <> 3").select(F.to_json(record).alias("value")).write.text(path)
+    clusters = saved(read_clusters(spark, path), "clusters")
+    owners = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("vc-"), F.col("c_nationkey")).alias("virtualClusterId"))
+    runs_of = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(owners, "o_custkey")
+    joined = matching.runs_with_cluster(runs_of, clusters)
+    namespaces = clusters.select(
+        F.col("id").alias("virtualClusterId"), F.col("containerProvider.info.eksInfo.namespace").alias("namespace"), "createdAt", F.col("tags")["region"].alias("region")
+    )
+    return joined.join(namespaces, "virtualClusterId", "left").select(
+        "o_orderkey", "virtualClusterId", "cluster_name", "cluster_state", "namespace", "createdAt", "region"
+    )
+
+
 def catalog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace(spark, "registered")
     tag = os.path.basename(path).rpartition("-")[2]
@@ -789,4 +856,6 @@ QUERIES: dict[str, Query] = {
     "q53_packed_orders": packed_orders,
     "q54_stream_run_states": streamed_run_states,
     "q55_resumed_offboarding": resumed_offboarding,
+    "q56_status_files": status_files,
+    "q57_cluster_records": cluster_records,
 }
