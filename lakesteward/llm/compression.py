@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakesteward.functions.names import spare_names
 from lakesteward.llm.common import text_column
 
 #: bound of what training takes from the labelled rows: rows per label, and bytes of their texts per label
@@ -140,11 +141,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes:
     return Model(good, bad, tuple(centre.tolist()), tuple(scale.tolist()), tuple(beta.tolist()))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with columns ``score`` and ``predicted``; a null text is scored as the empty one."""
+def scored(docs: DataFrame, model: Model, score_name: str = "score", predicted_name: str = "predicted") -> DataFrame:
+    """``docs`` with a score and what it predicts, under these names; a null text is scored as the empty one."""
     names = docs.columns
-    if {"score", "predicted"} & set(names):
-        raise ValueError("the input has a column score or predicted")
+    if {score_name, predicted_name} & set(names):
+        raise ValueError(f"the input has a column {score_name} or {predicted_name}")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,11 +154,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             columns = [batch[c] for c in names]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(values, pa.float64()), pa.array(values >= THRESHOLD, pa.bool_()).cast(pa.int32())],
-                [*names, "score", "predicted"],
+                [*names, score_name, predicted_name],
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{kinds}, score DOUBLE, predicted INT")
+    return docs.mapInArrow(score, f"{kinds}, `{score_name}` DOUBLE, `{predicted_name}` INT")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -169,4 +170,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier takes for good, with their columns; a score of ``THRESHOLD`` is enough."""
-    return scored(docs, fit(docs, labels)).filter("predicted = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = spare_names(docs.columns, "score", "predicted")
+    return scored(docs, fit(docs, labels), *names).filter(F.col(names[1]) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))

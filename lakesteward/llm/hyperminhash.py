@@ -34,8 +34,8 @@ MANTISSA = 10
 EMPTY = 0xFFFF
 #: estimated Jaccard index from which two documents are candidates, and from which one stands for the other
 EDGE, CLOSE = 0.55, 0.9
-#: rows of a band key, and documents of a candidate component, that one task handles
-HOT_ROWS, HOT_DOCUMENTS = 50_000, 10_000
+#: rows of a band key, and documents of a candidate component with their shingles, that one task handles
+HOT_ROWS, HOT_DOCUMENTS, HOT_SHINGLES = 50_000, 10_000, 10_000_000
 #: leaders, and shingles of theirs, that are sent to all tasks at once
 LEADERS, LEADER_SHINGLES = 1024, 2_000_000
 
@@ -355,7 +355,8 @@ def hot_links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(
-    docs: DataFrame, words: int = 5, percent: int = 80, hot_rows: int = HOT_ROWS, hot_documents: int = HOT_DOCUMENTS
+    docs: DataFrame, words: int = 5, percent: int = 80, hot_rows: int = HOT_ROWS, hot_documents: int = HOT_DOCUMENTS,
+    hot_shingles: int = HOT_SHINGLES,
 ) -> DataFrame:
     """One stored row per document: doc_id, text_key, row, n_shingles, component_id.
 
@@ -369,17 +370,20 @@ def near_groups(
     sets = saved(full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("row").alias("node")), "nodes")
     nodes = full.join(sets.select(F.col("node").alias("row")), "row", "left_semi")
     near = candidate_components(nodes, hot_rows)
-    sizes = near.groupBy("component").agg(F.count("*").alias("members"))
-    members = saved(near.join(sizes, "component").join(nodes.select("row", "doc_id", "text_key"), "row"), "members")
+    near = saved(near.join(nodes.select("row", "doc_id", "text_key", "n_shingles"), "row"), "near-nodes")
+    sizes = near.groupBy("component").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
+    # stored, so that a component of very many documents can be split
+    sizes = saved(sizes.select("component", ((F.col("members") > hot_documents) | (F.col("shingles") > hot_shingles)).alias("hot")), "component-sizes")
+    members = saved(near.join(sizes, "component").select("component", "row", "doc_id", "text_key", "hot"), "members")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("key"), text_column().alias("text"))
     # the same plan at every size, whether or not the members would fit a broadcast
     matched = texts.join(members.hint("merge"), texts["id"].eqNullSafe(members["doc_id"]) & (texts["key"] == members["text_key"]))
-    matched = matched.select("component", "row", "text", "members")
-    small = shingle_sets(matched.filter(F.col("members") <= hot_documents), words)
+    matched = matched.select("component", "row", "text", "hot")
+    small = shingle_sets(matched.filter(~F.col("hot")), words)
     small = small.repartition("component").sortWithinPartitions("component", "row")
     links = saved(small.mapInArrow(_exact_groups(percent), "a BIGINT, b BIGINT"), "groups")
-    if not sizes.filter(F.col("members") > hot_documents).isEmpty():
-        large = shingle_sets(matched.filter(F.col("members") > hot_documents), words).dropDuplicates(["row"])
+    if not sizes.filter("hot").isEmpty():
+        large = shingle_sets(matched.filter("hot"), words).dropDuplicates(["row"])
         found = components(hot_links(saved(large, "hot-sets"), percent))
         links = links.unionByName(found.select(F.col("row").alias("a"), F.col("component").alias("b")))
     labelled = sets.join(links, sets["node"] == links["a"], "left").select(

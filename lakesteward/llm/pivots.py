@@ -36,16 +36,13 @@ INDEX = "rows BINARY, ids BINARY, vectors BINARY, files ARRAY<BINARY>"
 def usable(vectors: DataFrame) -> DataFrame:
     """The rows that take part, stored as ``row``, ``vec_id``, ``v`` (doubles).
 
-    Left out are a null id, a null or empty vector, one with a null or non-finite component, one of
-    norm zero, and one whose length is not the most frequent length (the larger one on a tie).
+    Left out are a null id, a null or empty vector, one with a null or non-finite component, and one
+    of norm zero.
     """
     plain = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = plain.filter("vec_id IS NOT NULL AND v IS NOT NULL").filter(finite & F.exists("v", lambda x: x != 0))
-    stored = numbered(good, "vectors")
-    lengths = stored.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n"))
-    most = lengths.agg(F.max_by("length", F.struct("n", "length"))).first()[0]
-    return stored if most is None else stored.filter(F.size("v") == most)
+    return numbered(good, "vectors")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -152,15 +149,26 @@ def nearest_vectors(
 
     query_id, rank, vec_id, score; nearest first, ties to the smaller vec_id. Every usable row but
     the query's own is a candidate, so a row that repeats the query's id is one too, and each of
-    several rows with one id is a query. What is not usable is said at ``usable``; other columns are
+    several rows with one id is a query. Vectors of different lengths have no cosine: each length is
+    indexed and searched on its own. What is not usable is said at ``usable``; other columns are
     ignored; with no usable rows, no rows come out.
     """
     spark = vectors.sparkSession
     stored = usable(vectors)
+    result = spark.createDataFrame([], "query_id BIGINT, rank INT, vec_id BIGINT, score DOUBLE")
+    for r in stored.select(F.size("v").alias("length")).distinct().orderBy("length").collect():
+        own = stored.filter(F.size("v") == r["length"])
+        result = result.unionByName(_nearest_of_length(own, every, k, pivots, nearest, share, least, chunk))
+    return result
+
+
+def _nearest_of_length(
+    stored: DataFrame, every: int, k: int, pivots: int, nearest: int, share: float, least: int, chunk: int
+) -> DataFrame:
+    """``nearest_vectors`` among usable vectors of one length."""
+    spark = stored.sparkSession
     sample = stored.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(pivots).collect()
     empty = spark.createDataFrame([], "query_id BIGINT, rank INT, vec_id BIGINT, score DOUBLE")
-    if not sample:
-        return empty
     centres = _unit(np.array([r["v"] for r in sample], float))
     nearest = min(nearest, len(centres))
     index = build_index(stored, centres, nearest)

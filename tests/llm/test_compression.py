@@ -56,3 +56,14 @@ def test_accepted_keeps_columns(labelled):
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert sum(i % 3 != 0 for i in ids) == 80 and len(ids) <= 84
+
+
+def test_accepted_takes_columns_named_like_its_own(spark, sf_dir):
+    from lakesteward.llm.compression import accepted
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    plain = {r["doc_id"] for r in accepted(docs, labels).collect()}
+    clashing = docs.withColumn("score", docs["doc_id"] * 2).withColumn("predicted", docs["lang"])
+    found = accepted(clashing, labels)
+    assert found.columns == clashing.columns
+    assert {r["doc_id"] for r in found.collect()} == plain and all(r["score"] == 2 * r["doc_id"] for r in found.collect())

@@ -61,7 +61,7 @@ def test_estimate_is_near_the_index():
         assert abs(estimated_jaccard(sketch[:1], sketch[1:], np.array([1000]), np.array([1000]))[0] - true) < 0.2
 
 
-@pytest.mark.parametrize("limits", [{}, {"hot_rows": 3, "hot_documents": 2}])
+@pytest.mark.parametrize("limits", [{}, {"hot_rows": 3, "hot_documents": 2}, {"hot_shingles": 100}])
 def test_against_brute_force(spark, documents, words, limits):
     rng, rows = random.Random(3), []
     for g in range(12):
