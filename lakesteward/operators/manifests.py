@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesteward.functions.paths import basename, flatten_name
+from lakesteward.session import saved
 
 
 def data_files(manifest: DataFrame) -> DataFrame:
@@ -62,6 +63,66 @@ def sync_plan(source: DataFrame, target: DataFrame, key: str = "key", compare_mt
     return sides.groupBy(key).agg(*sums).select(key, action.alias("action"), "source_length", "target_length")
 
 
+#: bits of a key's hash in each step down the tree of checksums; a leaf then holds about this many keys
+_STEP_BITS, _KEYS_PER_LEAF = 10, 2
+
+
+def _range_of(key: str, bits: int) -> Column:
+    """Number of the range of hashes that a key lies in: the first ``bits`` of its hash."""
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+
+
+def differing_ranges(source: DataFrame, target: DataFrame, key: str, columns: list[str], bits: int) -> DataFrame:
+    """Numbers of the ranges in which the two sides differ, by count and checksums that do not depend on the order.
+
+    Per side and range one row of fixed width leaves a task, whatever the length of the keys.
+    """
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in columns), *(F.col(f"`{c}`").isNull() for c in columns))
+    # a sum next to the exclusive or, which alone does not see a row that comes twice
+    low = F.col("mark").bitwiseAND(0xFFFFFFFF)
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        marked = df.select(_range_of(key, bits).alias("range"), row.alias("mark"))
+        return marked.groupBy("range").agg(
+            (F.count("*") * sign).alias("n"), F.bit_xor("mark").alias("x"), (F.sum(low) * sign).alias("s")
+        )
+
+    both = side(source, 1).unionByName(side(target, -1))
+    sums = both.groupBy("range").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"))
+    return sums.filter("n <> 0 OR x <> 0 OR s <> 0").select("range")
+
+
+def sync_plan_by_ranges(source: DataFrame, target: DataFrame, key: str = "key", compare_mtime: bool = True) -> DataFrame:
+    """The rows of ``sync_plan``, for manifests that are mostly equal.
+
+    Both sides are compared by checksums over ranges of the keys' hashes, first few and wide, then
+    narrower ones within those that differ, down to about two keys. Only keys of narrow ranges that
+    differ are shuffled and compared row by row; the others are ``same`` as they stand. Each step
+    reads both manifests once, and ends the search where all ranges are equal. Two different
+    contents of a range are taken for equal with a chance of one in 2^64 or less.
+    """
+    columns = [key, "length"] + (["mtime"] if compare_mtime else [])
+    # in common types, as a number's checksum depends on its type
+    common = source.select(*columns).unionByName(target.select(*columns)).schema
+    left, right = (df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in common)) for df in (source, target))
+    leaf = max(_STEP_BITS, (source.count() // _KEYS_PER_LEAF).bit_length())
+    unequal, at = None, 0
+    own, other = left, right
+    while at < leaf:
+        at = min(leaf, at + _STEP_BITS)
+        unequal = saved(differing_ranges(own, other, key, columns, at), "unequal-ranges")
+        if unequal.isEmpty():
+            own, other = left.limit(0), right.limit(0)
+            break
+        own, other = (df.join(unequal, _range_of(key, at) == unequal["range"], "left_semi") for df in (left, right))
+    compared = sync_plan(own, other, key, compare_mtime)
+    same = left.join(unequal, _range_of(key, at) == unequal["range"], "left_anti")
+    length = F.col("length")
+    return compared.unionByName(
+        same.select(key, F.lit("same").alias("action"), length.alias("source_length"), length.alias("target_length"))
+    )
+
+
 def name_collisions(manifest: DataFrame, env: str, path: str = "path") -> DataFrame:
     """Flattened names that more than one path would be published under, with their count."""
     return (

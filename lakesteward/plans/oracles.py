@@ -386,4 +386,13 @@ ORACLES: dict[str, str] = {
                CAST(n_nationkey * 1.5 AS DOUBLE) AS "createdAt", CAST(n_regionkey AS VARCHAR) AS region
         FROM orders JOIN customer ON o_custkey = c_custkey
         LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 3) ON n_nationkey = c_nationkey""",
+    "q58_sync_by_ranges": """
+        WITH s AS (SELECT 'documents/' || doc_id AS key, n_chars AS len, doc_id % 7 AS at FROM documents),
+             t AS (SELECT 'documents/' || d.doc_id AS key, d.n_chars + l.toxic AS len, 5 AS at
+                   FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+                   UNION ALL SELECT 'benchmark/' || item_id, length(text), 0 FROM benchmark)
+        SELECT coalesce(s.key, t.key) AS key, s.len AS source_length, t.len AS target_length,
+               CASE WHEN t.key IS NULL THEN 'copy_new' WHEN s.key IS NULL THEN 'stale'
+                    WHEN s.len <> t.len OR s.at > t.at THEN 'copy_changed' ELSE 'same' END AS action
+        FROM s FULL JOIN t ON s.key = t.key""",
 }

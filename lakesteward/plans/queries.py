@@ -104,7 +104,8 @@ def manifest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.manifest_summary(objects, ["prefix"])
 
 
-def sync_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _copied_manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as objects, and a copy that lacks the unlabelled ones, has the toxic ones changed, and some others."""
     documents = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("documents/"), F.col("doc_id")).alias("key"), "doc_id", F.col("n_chars").alias("length"),
         (F.col("doc_id") % 7).alias("mtime"),
@@ -118,8 +119,16 @@ def sync_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("text").cast("bigint").alias("length"),
         F.lit(0).cast("bigint").alias("mtime"),
     )
-    plan = manifests.sync_plan(documents.select("key", "length", "mtime"), copied.unionByName(left_over))
-    return plan.select("key", "action")
+    return documents.select("key", "length", "mtime"), copied.unionByName(left_over)
+
+
+def sync_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.sync_plan(*_copied_manifests(spark, sf_dir)).select("key", "action")
+
+
+def sync_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same plan by checksums of ranges, with the lengths on both sides."""
+    return manifests.sync_plan_by_ranges(*_copied_manifests(spark, sf_dir))
 
 
 def prefix_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -858,4 +867,5 @@ QUERIES: dict[str, Query] = {
     "q55_resumed_offboarding": resumed_offboarding,
     "q56_status_files": status_files,
     "q57_cluster_records": cluster_records,
+    "q58_sync_by_ranges": sync_by_ranges,
 }

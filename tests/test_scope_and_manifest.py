@@ -153,3 +153,39 @@ def test_negated_sets_keep_later_exclamation_marks():
 
     pattern = re.compile(glob_to_regex("[!!a]").replace(r"\z", r"\Z"))
     assert [bool(pattern.match(t)) for t in ("!", "a", "b")] == [False, False, True]
+
+
+def _manifests(spark, n, changed):
+    source = spark.range(n).select(F.concat(F.lit("a/long/prefix/of/a/key/"), F.col("id")).alias("key"), (F.col("id") % 1000).alias("length"), F.lit(5).alias("mtime"))
+    hit = F.pmod(F.xxhash64(F.col("key"), F.lit(1)), F.lit(10_000)) < changed * 10_000
+    target = source.filter(~(hit & (F.col("length") % 3 == 0))).withColumn("length", F.when(hit & (F.col("length") % 3 == 1), F.lit(None)).otherwise(F.col("length")))
+    target = target.withColumn("mtime", F.when(hit & (F.col("length") % 3 == 2), F.col("length") % 2 * 10).otherwise(F.col("mtime")))
+    extra = spark.range(int(n * changed) // 10).select(F.concat(F.lit("extra/"), F.col("id")).alias("key"), F.lit(1).cast("bigint").alias("length"), F.lit(5).alias("mtime"))
+    return source, target.unionByName(extra)
+
+
+@pytest.mark.parametrize("changed", [0.0, 0.01, 1.0])
+@pytest.mark.parametrize("compare_mtime", [True, False])
+def test_sync_plan_by_ranges_gives_the_same_rows(spark, changed, compare_mtime):
+    source, target = _manifests(spark, 20_000, changed)
+    for a, b in ((source, target), (target, source), (source, target.limit(0)), (source.limit(0), target)):
+        expected = manifests.sync_plan(a, b, compare_mtime=compare_mtime)
+        found = manifests.sync_plan_by_ranges(a, b, compare_mtime=compare_mtime)
+        assert found.columns == expected.columns
+        assert found.exceptAll(expected).isEmpty() and expected.exceptAll(found).isEmpty()
+
+
+def test_few_keys_are_compared_one_by_one(spark, monkeypatch):
+    plan, seen = manifests.sync_plan, []
+
+    def counted(source, target, *rest):
+        seen.append(source.count() + target.count())
+        return plan(source, target, *rest)
+
+    monkeypatch.setattr(manifests, "sync_plan", counted)
+    source, target = _manifests(spark, 100_000, 0.01)
+    assert manifests.sync_plan_by_ranges(source, target).count() == 100_100
+    assert 0 < seen[0] < 0.08 * 200_000
+    # a range in which a row comes twice on one side differs
+    twice = source.limit(1)
+    assert manifests.differing_ranges(source, source.unionByName(twice).unionByName(twice), "key", ["key", "length"], 10).count() == 1
