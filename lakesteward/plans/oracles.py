@@ -395,4 +395,11 @@ ORACLES: dict[str, str] = {
                CASE WHEN t.key IS NULL THEN 'copy_new' WHEN s.key IS NULL THEN 'stale'
                     WHEN s.len <> t.len OR s.at > t.at THEN 'copy_changed' ELSE 'same' END AS action
         FROM s FULL JOIN t ON s.key = t.key""",
+    "q59_unknown_definition_fields": """
+        WITH g AS (SELECT s_nationkey AS k, count(*) AS n, min(s_name) AS f, s_nationkey % 5 < 4 AS ok FROM supplier GROUP BY s_nationkey)
+        SELECT 't' || k AS name, CASE WHEN ok THEN 't' || k END AS tbl, CASE WHEN ok THEN 2 END AS n_unknown,
+               CASE WHEN ok THEN '{"name":"' || f || '","teams":[' || n || ',null]}' END AS owner,
+               CASE WHEN NOT ok THEN NULL WHEN k % 2 = 0 THEN CAST(n AS VARCHAR) ELSE '"low"' END AS tier,
+               (SELECT count(*) FROM g WHERE NOT ok) AS broken, true AS shaped
+        FROM g""",
 }

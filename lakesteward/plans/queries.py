@@ -27,7 +27,7 @@ from lakesteward.plans.partitions import delete_tenants, upsert_table
 from lakesteward.session import saved, workspace
 from lakesteward.sources.basic import range_source, rows_source
 from lakesteward.sources.catalog import catalogued_partitions, register_batch, table_location
-from lakesteward.sources.definitions import read_table_defs, resolve_table_defs
+from lakesteward.sources.definitions import definition_shapes, definition_texts, read_table_defs, resolve_table_defs
 from lakesteward.sources.manifest import file_manifest, list_prefix, qualified, storage_opener, storage_options
 from lakesteward.sources.run_records import read_clusters, read_job_runs, read_run_logs, read_run_status
 from lakesteward.sources.sinks import overwrite_sink, publish_version, write_run_logs
@@ -424,6 +424,24 @@ def table_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def unknown_definition_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' nations as tables, defined in files with fields that the library does not know; some are broken."""
+    root = qualified(spark, workspace(spark, "shapes"))
+    groups = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.min("s_name").alias("first"))
+    body = F.format_string(
+        '{"table": "t%d", "location": "s3://x/t%d", "owner": {"name": "%s", "teams": [%d, null]}, "tier": %s}',
+        "s_nationkey", "s_nationkey", "first", "n", F.when(F.col("s_nationkey") % 2 == 0, F.col("n").cast("string")).otherwise('"low"'),
+    )
+    path = F.concat_ws("/", F.lit(root), F.lit("gold"), F.concat(F.lit("t"), F.col("s_nationkey"), F.lit(".json")))
+    _written_as_files(groups.select(path.alias("path"), F.when(F.col("s_nationkey") % 5 == 4, F.lit("[1")).otherwise(body).alias("body")))
+    found = read_table_defs(spark, root, keep_unknown=True)
+    shapes = definition_shapes(definition_texts(spark, root)).first()
+    return found.select(
+        "name", F.col("definition.table").alias("tbl"), F.size("unknown").alias("n_unknown"), F.col("unknown")["owner"].alias("owner"),
+        F.col("unknown")["tier"].alias("tier"), F.lit(shapes["broken"]).alias("broken"), F.lit("teams: ARRAY<BIGINT>" in shapes["shape"]).alias("shaped"),
+    )
+
+
 def status_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a priority, status and year as a run each, with its pretty-printed status in a file of its own."""
     root = qualified(spark, workspace(spark, "status-files"))
@@ -868,4 +886,5 @@ QUERIES: dict[str, Query] = {
     "q56_status_files": status_files,
     "q57_cluster_records": cluster_records,
     "q58_sync_by_ranges": sync_by_ranges,
+    "q59_unknown_definition_fields": unknown_definition_fields,
 }

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+import time
+import uuid
+from collections import deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from urllib.parse import unquote
 
+from pyspark import InheritableThread
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -133,15 +138,17 @@ def check_drift(spark: SparkSession, definition: TableDefinition) -> None:
         raise SchemaDrift("; ".join(problems))
 
 
-def register_table(spark: SparkSession, definition: TableDefinition) -> None:
+def register_table(spark: SparkSession, definition: TableDefinition, checked: bool = False) -> None:
     """Ensure the database and create the external table, or replace its catalog entry.
 
     Everything that can be checked is checked before the old entry is dropped. The files are
     never touched; a managed table of the same name is refused, as dropping it would delete data.
+    ``checked`` says that ``check_drift`` has passed.
     """
     if not definition.columns:
         raise ValueError(f"{definition.full_name} declares no columns")
-    check_drift(spark, definition)
+    if not checked:
+        check_drift(spark, definition)
     if definition.database:
         ensure_database(spark, definition.database)
     name = definition.full_name
@@ -271,26 +278,75 @@ def point_table_at(
         raise
 
 
-def register_batch(spark: SparkSession, definitions: DataFrame, order: list[Column | str] | None = None) -> DataFrame:
+class _Check:
+    """The drift check of one definition in a thread of its own, whose jobs bear a tag."""
+
+    def __init__(self, spark: SparkSession, row: Row) -> None:
+        self.spark, self.row, self.error, self.definition = spark, row, None, None
+        self.tag = f"drift-check-{uuid.uuid4().hex}"
+        self.began = time.monotonic()
+        self.thread = InheritableThread(target=self._run, session=spark)
+        self.thread.daemon = True  # one that cannot be cancelled must not keep the process alive
+        self.thread.start()
+
+    def _run(self) -> None:
+        self.spark.addTag(self.tag)
+        try:
+            if self.row["definition"] is None:
+                raise ValueError("not a table definition")
+            self.definition = TableDefinition.from_row(self.row["definition"])
+            if self.definition.columns:
+                check_drift(self.spark, self.definition)
+        except Exception as problem:  # isolate whatever one definition raises
+            self.error = problem
+
+    def outcome(self, timeout_s: float | None) -> Exception | None:
+        """The error, if any; a check that takes longer than its time is cancelled."""
+        self.thread.join(None if timeout_s is None else max(0.0, self.began + timeout_s - time.monotonic()))
+        if self.thread.is_alive():
+            self.spark.interruptTag(self.tag)
+            return TimeoutError(f"the files could not be checked within {timeout_s} s")
+        return self.error
+
+
+def _checked(spark: SparkSession, rows: Iterator[Row], threads: int, timeout_s: float | None) -> Iterator[tuple[_Check, Exception | None]]:
+    """Definitions in their order with the outcome of their checks, of which ``threads`` run at a time."""
+    running: deque[_Check] = deque()
+    for row in chain(rows, [None]):
+        while running and (row is None or len(running) == threads):
+            check = running.popleft()
+            yield check, check.outcome(timeout_s)
+        if row is not None:
+            running.append(_Check(spark, row))
+
+
+def register_batch(
+    spark: SparkSession,
+    definitions: DataFrame,
+    order: list[Column | str] | None = None,
+    threads: int = 8,
+    timeout_s: float | None = None,
+) -> DataFrame:
     """Register every definition in this session; a bad one is reported and does not stop the rest.
 
     Definitions are catalog metadata and DDL runs on the driver by nature; they are fetched one
     partition at a time, in ``order``, by default that of their paths. The outcome has one row per
-    definition, numbered ``idx`` of ``total`` in that order.
+    definition, numbered ``idx`` of ``total`` in that order. The files of ``threads`` definitions are
+    checked at the same time, and a check that takes longer than ``timeout_s`` is cancelled and
+    reported; the catalog is changed in order, one definition after the other.
     """
     ordered = definitions.orderBy(*(order or ["path"])).select("path", "definition").persist()
     try:
         total = ordered.count()
         outcome = []
-        for idx, row in enumerate(ordered.toLocalIterator(), start=1):
-            error = None
+        for idx, (check, error) in enumerate(_checked(spark, ordered.toLocalIterator(), threads, timeout_s), start=1):
             try:
-                if row["definition"] is None:
-                    raise ValueError("not a table definition")
-                register_table(spark, TableDefinition.from_row(row["definition"]))
-            except Exception as problem:  # isolate whatever one definition raises
-                error = f"{type(problem).__name__}: {problem}"
-            outcome.append((idx, total, row["path"], error is None, error))
+                if error is None:
+                    register_table(spark, check.definition, checked=True)
+            except Exception as problem:  # as above
+                error = problem
+            text = None if error is None else f"{type(error).__name__}: {error}"
+            outcome.append((idx, total, check.row["path"], error is None, text))
     finally:
         ordered.unpersist()
     return rows_source(spark, outcome, OUTCOME_SCHEMA)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakesteward.operators.quality import batch_outcome
 from lakesteward.sources import catalog
-from lakesteward.sources.definitions import read_table_defs
+from lakesteward.sources.definitions import read_table_defs, resolve_table_defs
 from lakesteward.sources.sinks import overwrite_sink, publish_version, same_or_nested
 
 
@@ -202,3 +202,59 @@ def test_undeclared_stored_columns_are_drift(spark, tmp_path):
     spark.range(3).selectExpr("id", "id AS extra").write.parquet(str(tmp_path / "t"))
     with pytest.raises(SchemaDrift, match="extra is stored but not declared"):
         register_table(spark, TableDefinition("drifted", str(tmp_path / "t"), [("id", "bigint")]))
+
+
+def test_a_hundred_definitions_are_checked_side_by_side(spark, tmp_path, monkeypatch):
+    import threading
+    import time
+
+    check, running, most, lock, never = catalog.check_drift, [0], [0], threading.Lock(), threading.Event()
+
+    def slow(session, definition):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        try:
+            if definition.table == "side_50":
+                # a job that does not end; it is cancelled by its tag
+                session.range(1).select(F.udf(lambda _: time.sleep(600))("id")).collect()
+            if definition.table == "side_60":
+                never.wait(600)  # cannot be cancelled at all
+            time.sleep(0.05)
+            check(session, definition)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    monkeypatch.setattr(catalog, "check_drift", slow)
+    overwrite_sink(spark.range(3), str(tmp_path / "data"))
+    rows = []
+    for i in range(100):
+        kind = "STRING" if i % 10 == 3 else "BIGINT"
+        body = f'{{"table": "side_{i}", "location": "{tmp_path}/data", "columns": [{{"name": "id", "type": "{kind}"}}]}}'
+        rows.append((f"{i:03d}", "gold", f"n{i}", "{ broken" if i % 10 == 7 else body))
+    texts = spark.createDataFrame(rows[::-1], "path STRING, section STRING, name STRING, body STRING")
+    began = time.monotonic()
+    outcome = sorted(catalog.register_batch(spark, resolve_table_defs(texts), threads=8, timeout_s=4.0).collect())
+    assert time.monotonic() - began < 120 and most[0] > 1
+    assert [(r["idx"], r["total"], r["path"]) for r in outcome] == [(i + 1, 100, f"{i:03d}") for i in range(100)]
+    for i, r in enumerate(outcome):
+        expected = "SchemaDrift" if i % 10 == 3 else "ValueError" if i % 10 == 7 else "TimeoutError" if i in (50, 60) else None
+        assert r["ok"] == (expected is None) and (expected is None or r["error"].startswith(expected)), r
+        assert spark.catalog.tableExists(f"side_{i}") == (expected is None)
+    never.set()
+
+
+def test_fields_of_unknown_shape_are_kept(spark):
+    from lakesteward.sources.definitions import definition_shapes
+
+    rows = [
+        ("a", "gold", "a", '{"table": "t", "location": "l", "owner": {"x": [1, null]}, "n": 1.50, "flag": null}'),
+        ("b", "gold", "b", '{"table": "t", "location": "l"}'), ("c", "gold", "c", "{ broken"), ("d", "bronze", "d", '[1, 2]'), ("e", "bronze", "e", None),
+    ]
+    texts = spark.createDataFrame(rows, "path STRING, section STRING, name STRING, body STRING")
+    found = {r["path"]: r for r in resolve_table_defs(texts, keep_unknown=True).collect()}
+    assert found["a"]["unknown"] == {"owner": '{"x":[1,null]}', "n": "1.5", "flag": "null"} and found["a"]["definition"]["table"] == "t"
+    assert found["b"]["unknown"] == {} and found["c"]["unknown"] is None and found["d"]["unknown"] is None and found["e"]["unknown"] is None
+    shapes = {r["section"]: r for r in definition_shapes(texts).collect()}
+    assert shapes["gold"]["broken"] == 1 and "owner: OBJECT<x: ARRAY<BIGINT>>" in shapes["gold"]["shape"] and shapes["bronze"]["broken"] == 1
