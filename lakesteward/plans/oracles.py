@@ -402,4 +402,8 @@ ORACLES: dict[str, str] = {
                CASE WHEN NOT ok THEN NULL WHEN k % 2 = 0 THEN CAST(n AS VARCHAR) ELSE '"low"' END AS tier,
                (SELECT count(*) FROM g WHERE NOT ok) AS broken, true AS shaped
         FROM g""",
+    "q60_retained_versions": """
+        SELECT p_partkey, p_name, p_size, (SELECT count(*) FROM part WHERE p_size <= 10) AS n_leased,
+               true AS leased_stays, true AS released_goes
+        FROM part WHERE p_size <= 50""",
 }

@@ -26,12 +26,17 @@ FILES_PER_ROUND = 20_000
 PLAN = "path STRING, folder STRING, length BIGINT, bin STRING"
 
 
-def table_files(spark: SparkSession, table: str) -> DataFrame:
-    """Manifest of the data files of a table, wherever its partitions lie.
+def table_folders(spark: SparkSession, table: str) -> list[str]:
+    """Folders that hold the files of a table, wherever its partitions lie.
 
-    The session's file index, which every query of the table needs, names their folders.
+    The session's file index, which every query of the table needs, names them.
     """
-    folders = sorted({os.path.dirname(unquote(f)) for f in spark.table(table).inputFiles()})
+    return sorted({os.path.dirname(unquote(f)) for f in spark.table(table).inputFiles()})
+
+
+def table_files(spark: SparkSession, table: str) -> DataFrame:
+    """Manifest of the data files of a table."""
+    folders = table_folders(spark, table)
     listed = file_manifest(spark, folders, recursive=False) if folders else spark.createDataFrame([], MANIFEST_SCHEMA)
     return data_files(listed)
 

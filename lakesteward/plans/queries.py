@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from lakesteward.plans.clone import clone_prefixes, clone_table
 from lakesteward.plans.offboard import offboard_tenant
 from lakesteward.plans.packing import pack_table, table_files
 from lakesteward.plans.partitions import delete_tenants, upsert_table
+from lakesteward.plans.retention import lease_version, publish_recorded, release_version, vacuum_versions
 from lakesteward.session import saved, workspace
 from lakesteward.sources.basic import range_source, rows_source
 from lakesteward.sources.catalog import catalogued_partitions, register_batch, table_location
@@ -442,6 +444,28 @@ def unknown_definition_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def retained_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of four sizes published one after the other; the first is leased, then released, and the newest two are kept."""
+    root = workspace(spark, "retained")
+    name = "retained_" + os.path.basename(root).rpartition("-")[2]
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    versions = [publish_recorded(part.filter(F.col("p_size") <= most), name, root) for most in (10, 20, 30, 50)]
+    soon = datetime.now() + timedelta(days=1)
+
+    def left() -> list[bool]:
+        vacuum_versions(spark, [name], root, newest=2, younger_than=soon, dry_run=False)
+        found = manifests.data_files(file_manifest(spark, [root])).select("path")
+        return [not found.filter(F.col("path").contains(os.path.basename(v))).isEmpty() for v in versions]
+
+    lease = lease_version(spark, root, versions[0], 3600)
+    while_leased, read = left(), spark.read.parquet(versions[0]).count()
+    release_version(spark, root, lease)
+    released = left()
+    checks = {"leased_stays": while_leased == [True, False, True, True], "released_goes": released == [False, False, True, True]}
+    rows = spark.table(name).select("p_partkey", "p_name", "p_size")
+    return rows.select("*", F.lit(read).cast("bigint").alias("n_leased"), *(F.lit(v).alias(k) for k, v in checks.items()))
+
+
 def status_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a priority, status and year as a run each, with its pretty-printed status in a file of its own."""
     root = qualified(spark, workspace(spark, "status-files"))
@@ -887,4 +911,5 @@ QUERIES: dict[str, Query] = {
     "q57_cluster_records": cluster_records,
     "q58_sync_by_ranges": sync_by_ranges,
     "q59_unknown_definition_fields": unknown_definition_fields,
+    "q60_retained_versions": retained_versions,
 }
