@@ -406,4 +406,14 @@ ORACLES: dict[str, str] = {
         SELECT p_partkey, p_name, p_size, (SELECT count(*) FROM part WHERE p_size <= 10) AS n_leased,
                true AS leased_stays, true AS released_goes
         FROM part WHERE p_size <= 50""",
+    "q61_merged_expectations": """
+        SELECT 'non_empty' AS rule, count(*) > 0 AS ok, count(*) || ' rows' AS message, true AS steady FROM lineitem
+        UNION ALL
+        SELECT 'discounted', bool_and(l_discount <= 0.05), count(*) FILTER (NOT l_discount <= 0.05) || ' rows violate it', true FROM lineitem
+        UNION ALL
+        SELECT 'positive', bool_and(l_quantity > 0), count(*) FILTER (NOT l_quantity > 0) || ' rows violate it', true FROM lineitem
+        UNION ALL
+        SELECT 'line_unique', count(*) = count(DISTINCT (l_orderkey, l_linenumber)), NULL, true FROM lineitem
+        UNION ALL
+        SELECT 'order_unique', count(*) = count(DISTINCT l_orderkey), NULL, true FROM lineitem""",
 }

@@ -18,7 +18,7 @@ from lakesteward.functions import logs as log_fn
 from lakesteward.functions import paths as path_fn
 from lakesteward.functions import runs as run_fn
 from lakesteward.functions.templates import resolve_template
-from lakesteward.operators import manifests, matching, ordering, quality, runs, scope, tenants
+from lakesteward.operators import manifests, matching, measures, ordering, quality, runs, scope, tenants
 from lakesteward.operators.clustering import cluster
 from lakesteward.operators.maintenance import compact, file_count_for, vacuum_execute, vacuum_plan
 from lakesteward.plans.clone import clone_prefixes, clone_table
@@ -466,6 +466,27 @@ def retained_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", F.lit(read).cast("bigint").alias("n_leased"), *(F.lit(v).alias(k) for k, v in checks.items()))
 
 
+def merged_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over line items out of measures of a part per return flag, and whether the columns drift between two flags."""
+    items = table(spark, sf_dir, "lineitem")
+    own = [
+        quality.NonEmpty(), quality.Holds("discounted", F.col("l_discount") <= 0.05), quality.Holds("positive", F.col("l_quantity") > 0),
+        quality.Unique(("l_orderkey", "l_linenumber"), "line_unique"), quality.Unique(("l_orderkey",), "order_unique"),
+    ]
+    parts = {
+        flag: saved(measures.measured(items.filter(F.col("l_returnflag") == flag), own, ["l_quantity"]), "measures")
+        for flag in sorted(r[0] for r in items.select("l_returnflag").distinct().collect())
+    }
+    flags = list(parts)
+    stacked = parts[flags[0]]
+    for flag in flags[1:]:
+        stacked = stacked.unionByName(parts[flag])
+    report = measures.measured_report(measures.merged_measures(stacked), own)
+    steady = not measures.drift(parts[flags[0]], parts[flags[-1]], 0.2).filter("drifted").count()
+    text = F.when(~F.col("rule").endswith("_unique"), F.col("message"))
+    return report.select("rule", "ok", text.alias("message"), F.lit(steady).alias("steady"))
+
+
 def status_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a priority, status and year as a run each, with its pretty-printed status in a file of its own."""
     root = qualified(spark, workspace(spark, "status-files"))
@@ -912,4 +933,5 @@ QUERIES: dict[str, Query] = {
     "q58_sync_by_ranges": sync_by_ranges,
     "q59_unknown_definition_fields": unknown_definition_fields,
     "q60_retained_versions": retained_versions,
+    "q61_merged_expectations": merged_expectations,
 }
