@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pyarrow as pa
@@ -32,22 +33,23 @@ def _scale(column: Column, kind: DataType) -> Column:
     raise ValueError(f"no order along a curve for a {kind.simpleString()}")
 
 
-def _rank(value: Column, bounds: list, bits: int) -> Column:
-    """How many of the sorted bounds, fewer than 2 ** bits, are at most ``value``, by bisection; a null ranks 0."""
-    if not bounds:
-        return F.lit(0)
-    known = F.array(*map(F.lit, bounds))
-    steps = F.array(*(F.lit(1 << b) for b in reversed(range(bits))))
+def _rank(column: str, bounds: list) -> Column:
+    """How many of the sorted bounds are at most the column's value, by nested comparisons; a null ranks 0."""
+    known = [b for b in bounds if isinstance(b, int) or math.isfinite(b)]
 
-    def add(rank: Column, step: Column) -> Column:
-        # beyond the last bound there is none to reach
-        return rank + F.when(value >= F.get(known, rank + step - 1), step).otherwise(0)
+    def among(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        bound = f"{known[middle]}L" if isinstance(known[middle], int) else f"{known[middle]!r}D"
+        return f"CASE WHEN {column} >= {bound} THEN {among(middle + 1, high)} ELSE {among(low, middle)} END"
 
-    return F.aggregate(steps, F.lit(0), add)
+    # as text, which is parsed at once: hundreds of calls to build columns take seconds
+    return F.expr(among(0, len(known)))
 
 
-def curve_key(df: DataFrame, columns: list[str], bits: int = 8) -> Column:
-    """Place of a row on a curve through the space of the columns' quantile ranks.
+def with_curve_key(df: DataFrame, columns: list[str], name: str, bits: int = 8) -> DataFrame:
+    """``df`` with the place of each row on a curve through the space of the columns' quantile ranks.
 
     Each column's values are cut into 2 ** bits parts of about equal numbers of rows, estimated in
     one aggregation; the bits of the ranks are interleaved. Rows that are near each other in all
@@ -58,17 +60,18 @@ def curve_key(df: DataFrame, columns: list[str], bits: int = 8) -> Column:
     values = [_scale(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns]
     shares = F.array(*(F.lit(i / 2**bits) for i in range(1, 2**bits)))
     found = df.agg(*(F.percentile_approx(v, shares, 2 ** (bits + 4)).alias(f"q{i}") for i, v in enumerate(values))).first()
-    ranks = [_rank(v, sorted(set(bounds or [])), bits) for v, bounds in zip(values, found, strict=True)]
-    # bound once as a lambda's argument, as every bit of a rank is mentioned
-    def interleaved(r: Column) -> Column:
-        taken = [
-            F.shiftleft(F.shiftright(F.get(r, i), b).bitwiseAND(1).cast("bigint"), b * len(columns) + len(columns) - 1 - i)
-            for b in range(bits)
-            for i in range(len(columns))
-        ]
-        return reduce(lambda a, b: a.bitwiseOR(b), taken)
-
-    return F.get(F.transform(F.array(F.array(*ranks)), interleaved), 0)
+    # in steps, as a value is compared and a rank is shifted many times
+    own = spare_names([*df.columns, name], *(f"_v{i}" for i in range(len(columns))), *(f"_r{i}" for i in range(len(columns))))
+    named, ranks = own[: len(columns)], own[len(columns) :]
+    ranked = df.withColumns(dict(zip(named, values, strict=True))).withColumns(
+        {r: _rank(v, sorted(set(bounds or []))) for r, v, bounds in zip(ranks, named, found, strict=True)}
+    )
+    taken = [
+        F.shiftleft(F.shiftright(F.col(r), b).bitwiseAND(1).cast("bigint"), b * len(columns) + len(columns) - 1 - i)
+        for b in range(bits)
+        for i, r in enumerate(ranks)
+    ]
+    return ranked.withColumn(name, reduce(lambda a, b: a.bitwiseOR(b), taken)).drop(*own)
 
 
 def cluster(df: DataFrame, files: int, columns: list[str], bits: int = 8, from_scan: bool = False) -> DataFrame:
@@ -78,7 +81,7 @@ def cluster(df: DataFrame, files: int, columns: list[str], bits: int = 8, from_s
     apart, so that a hot value is spread. ``from_scan`` as in ``with_ties_placed``.
     """
     (key,) = spare_names(df.columns, "_curve")
-    keyed = df.withColumn(key, curve_key(df, columns, bits))
+    keyed = with_curve_key(df, columns, key, bits)
     placed, ties = with_ties_placed(keyed, [key], from_scan)
     ranged = placed.repartitionByRange(files, key, *ties)
     return ranged.sortWithinPartitions(key, *columns, *ties).drop(key, *ties)

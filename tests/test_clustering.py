@@ -6,16 +6,16 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from lakesteward.operators.clustering import PACKED_AT_ONCE, _first_fit, _rank, cluster, curve_key, pack_files
+from lakesteward.operators.clustering import PACKED_AT_ONCE, _first_fit, _rank, cluster, pack_files, with_curve_key
 from lakesteward.plans import packing
 from lakesteward.plans.packing import finish_packing, pack_table, table_files
 from lakesteward.sources.sinks import overwrite_sink, publish_version
 
 
 def test_rank_is_the_number_of_bounds_reached(column):
-    bounds = [3, 5, 5.5, 9, 11]
+    bounds = [-1e300, 3.0, 5.0, 5.5, 9.0, 1.1e1]
     values = [None, 2.0, 3.0, 4.0, 5.0, 9.0, 10.9, 11.0, 99.0]
-    assert column(values, lambda c: _rank(c, bounds, 3), "DOUBLE") == [sum(v is not None and b <= v for b in bounds) for v in values]
+    assert column(values, lambda _: _rank("v", bounds), "DOUBLE") == [sum(v is not None and b <= v for b in bounds) for v in values]
 
 
 def test_near_rows_share_files_in_every_column(spark, tmp_path):
@@ -34,7 +34,7 @@ def test_near_rows_share_files_in_every_column(spark, tmp_path):
     flat = source.select("a", F.lit(1).alias("one"), F.lit(None).cast("double").alias("none"))
     assert cluster(flat, 8, ["one", "none", "a"]).count() == 40_000
     with pytest.raises(ValueError, match="do not fit"):
-        curve_key(source, ["a", "b", "c"], 21)
+        with_curve_key(source, ["a", "b", "c"], "k", 21)
 
 
 def test_a_hot_row_is_spread(spark, tmp_path):
