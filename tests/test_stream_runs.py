@@ -66,6 +66,22 @@ def test_batches_with_repeated_and_late_events_and_restarts_equal_the_fold(spark
         assert not any(r["overdue"] for r in found.values())
 
 
+def test_a_session_with_the_default_state_store(spark, tmp_path):
+    """The settings of the session that runs a stream need not be those of ``build_session``, and stay as they are."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    own, plain = spark.conf.get(setting), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(setting, plain)
+    try:
+        machine = Machine(spark, tmp_path)
+        machine.arrive(("v", 1, 1, "RUNNING", None, False, None), ("v", 2, 1, None, 0, True, None))
+        machine.run()
+        machine.arrive(("v", 1, 2, None, 1, True, None))
+        assert {k[1]: r["state"] for k, r in machine.run().items()} == {1: "FAILED", 2: "COMPLETED"}
+        assert spark.conf.get(setting) == plain
+    finally:
+        spark.conf.set(setting, own)
+
+
 def test_runs_without_an_end_become_overdue(spark, tmp_path):
     machine = Machine(spark, tmp_path, deadline_ms=1500)
     machine.arrive(("v", 1, 1, "RUNNING", None, False, None), ("v", 2, 1, "RUNNING", None, False, None), ("v", 3, 1, None, 0, True, None))
