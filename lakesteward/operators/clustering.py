@@ -16,6 +16,8 @@ from lakesteward.operators.ordering import with_ties_placed
 
 #: most files that are packed by one call of the packing function
 PACKED_AT_ONCE = 2000
+#: a file's share of the rows is known in so many steps, and a border of files may move by so many of them
+STEPS, SLACK = 8, 2
 
 
 def _scale(column: Column, kind: DataType) -> Column:
@@ -74,17 +76,48 @@ def with_curve_key(df: DataFrame, columns: list[str], name: str, bits: int = 8)
     return ranked.withColumn(name, reduce(lambda a, b: a.bitwiseOR(b), taken)).drop(*own)
 
 
+def roundest(low: int, high: int) -> int:
+    """The number in (low, high] with the most zero bits at its end; ``low`` if there is none."""
+    zeros = max((low ^ high).bit_length() - 1, 0)
+    return high >> zeros << zeros
+
+
+def file_borders(shares: list[int], files: int) -> list[int]:
+    """First curve key of each file but the first, out of the keys at all shares of 1 / (files * STEPS).
+
+    A border lies near its share of the rows where the curve enters as large a cell as can be: a file
+    that begins in the midst of cells would reach over parts of two that may be far apart.
+    """
+    at = [(i * STEPS - SLACK - 1, i * STEPS + SLACK - 1) for i in range(1, files)]
+    return [roundest(shares[low], shares[high]) for low, high in at] if shares else []
+
+
+def _file_number(key: str, part: str, shares: list[int], files: int) -> Column:
+    """The file of a row by its curve key; a key that fills a file deals its rows by ``part``, a number from 0 to 1."""
+    borders = file_borders(shares, files)
+    number = _rank(key, borders)
+    for hot in sorted(h for h in set(borders) if shares.count(h) >= STEPS):
+        first, last = sum(b < hot for b in borders), sum(b <= hot for b in borders)
+        place = F.floor((F.lit(shares.index(hot)) + F.lit(shares.count(hot)) * F.col(part)) / STEPS).cast("int")
+        number = F.when(F.col(key) == hot, F.least(F.lit(last), F.greatest(F.lit(first), place))).otherwise(number)
+    return number
+
+
 def cluster(df: DataFrame, files: int, columns: list[str], bits: int = 8, from_scan: bool = False) -> DataFrame:
     """The same rows in ``files`` partitions along a curve, so that a filter on any of the columns meets few of them.
 
-    ``compact`` serves filters on its first column only. Rows of one place on the curve are told
+    ``compact`` serves filters on its first column only. A partition has at least half and at most one and a half times its
+    share of the rows, about, as it begins where the curve enters a large cell if one is near. Rows of one place on the curve are told
     apart, so that a hot value is spread. ``from_scan`` as in ``with_ties_placed``.
     """
-    (key,) = spare_names(df.columns, "_curve")
+    key, part, number = spare_names(df.columns, "_curve", "_part", "_file")
     keyed = with_curve_key(df, columns, key, bits)
+    n = files * STEPS
+    shares = keyed.agg(F.percentile_approx(key, F.array(*(F.lit(i / n) for i in range(1, n))), 4 * n)).first()[0] if files > 1 else []
     placed, ties = with_ties_placed(keyed, [key], from_scan)
-    ranged = placed.repartitionByRange(files, key, *ties)
-    return ranged.sortWithinPartitions(key, *columns, *ties).drop(key, *ties)
+    parted = placed.withColumn(part, F.pmod(F.xxhash64(*ties), F.lit(1 << 20)) / F.lit(1 << 20))
+    dealt = parted.withColumn(number, _file_number(key, part, shares or [], files)).repartitionById(files, number)
+    return dealt.sortWithinPartitions(key, *columns, *ties).drop(key, part, number, *ties)
 
 
 def _first_fit(lengths: list[int], target: int) -> list[int]:

@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from lakesteward.operators.clustering import PACKED_AT_ONCE, _first_fit, _rank, cluster, pack_files, with_curve_key
+from lakesteward.operators.clustering import PACKED_AT_ONCE, _first_fit, _rank, cluster, file_borders, pack_files, roundest, with_curve_key
 from lakesteward.plans import packing
 from lakesteward.plans.packing import finish_packing, pack_table, table_files
 from lakesteward.sources.sinks import overwrite_sink, publish_version
@@ -37,6 +37,23 @@ def test_near_rows_share_files_in_every_column(spark, tmp_path):
         with_curve_key(source, ["a", "b", "c"], "k", 21)
 
 
+def test_borders_of_files_are_those_of_cells(spark, tmp_path):
+    """An interval at a border of the first cut meets at most the files of two of four parts of its column."""
+    assert [roundest(*x) for x in ((5, 9), (3, 4), (8, 11), (7, 7), (0, 255))] == [8, 4, 10, 7, 128]
+    # a border for each share, the cell's where one is near; a key that fills files has their borders
+    assert file_borders([*range(1, 8 * 4)], 4) == [8, 16, 24] and file_borders([7] * 31, 4) == [7, 7, 7] and file_borders([], 4) == []
+    rows = spark.range(60_000).select(*((F.pmod(F.xxhash64("id", F.lit(i)), F.lit(20_000))).alias(c) for i, c in enumerate("abc")))
+    source = overwrite_sink(rows, str(tmp_path / "in"))
+    stored = overwrite_sink(cluster(source, 64, ["a", "b", "c"], from_scan=True), str(tmp_path / "out"))
+    assert stored.exceptAll(source).isEmpty() and source.exceptAll(stored).isEmpty()
+    named = stored.withColumn("file", F.input_file_name())
+    sizes = [r["count"] for r in named.groupBy("file").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 2 * 60_000 / 64
+    # from a little before the middle, so that both halves of the column are met
+    met = {c: named.filter(F.col(c).between(9_700, 10_950)).select("file").distinct().count() for c in "abc"}
+    assert max(met.values()) <= 36, met
+
+
 def test_a_hot_row_is_spread(spark, tmp_path):
     rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("k"), F.lit("x").alias("t"))
     source = overwrite_sink(rows.repartition(9), str(tmp_path / "in"))
